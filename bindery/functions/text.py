@@ -305,3 +305,22 @@ def size_tier(full: Column, compact: Column, limit: int = FULL_INPUT_CHARS) -> C
 
 def title_flag(title: Column, words: tuple[str, ...] = CASE_TITLE_WORDS) -> Column:
     return F.regexp_like(title, F.lit("|".join(words)))
+
+
+def uuid5_hex(namespace_hex: str, name: Column) -> Column:
+    """Name-based identifier (RFC 4122 version 5) as 32 hex digits."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(name, "UTF-8")))
+    nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
+    variant = F.lower(F.hex(nibble.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(
+        F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15)
+    )
+
+
+# Fixed value: the URL namespace of RFC 4122.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def prompt_version_id(stage: Column, version: Column, prefix: str) -> Column:
+    """Stable id of a built-in prompt version."""
+    return uuid5_hex(URL_NAMESPACE, F.concat_ws(":", F.lit(prefix), stage, version))
