@@ -1,44 +1,48 @@
 """Run state derived from an event log, and batch roll-ups.
 
-Everything here is an aggregate with map-side combine or an equi join; the
-ordered part of the state rule is expressed through min/max over time, so no
-run's history is ever gathered in one place.
+Everything here is an aggregate with map-side combine, an equi join, or a
+look-back through `ordered.running`, so no run's history is ever gathered in
+one place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..ordered import running, time_block
+
 ACTIVE = ("pending", "running")
 TERMINAL = ("succeeded", "partial_failed", "failed", "cancelled")
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """Current state per run from (run_id, ts, seq, status).
+def effective_events(events: DataFrame, block: Column | None = None) -> DataFrame:
+    """Drop 'running' updates that arrive while a run is cancelled.
+
+    A run is cancelled when its last event other than 'running' says so; the
+    look-back crosses ordered time blocks, so a hot run is never one task.
+    """
+    block = time_block(F.col("ts")) if block is None else block
+    settled = F.when(F.col("status") != "running", F.col("status"))
+    seen = running(events, ["run_id"], ["ts", "seq"], block, before={"_settled": settled})
+    ignored = (F.col("status") == "running") & F.col("_settled").eqNullSafe(F.lit("cancelled"))
+    return seen.filter(~ignored).drop("_settled")
+
+
+def fold_runs(events: DataFrame, block: Column | None = None) -> DataFrame:
+    """Current state per run from a log of (run_id, ts, seq, status).
 
-    A cancelled run ignores later 'running' updates; any other status after
-    the cancellation lifts it. In terms of extremes: the state is that of the
-    last event that is not a 'running' directly under a cancellation, i.e. the
-    last non-running event, unless a running event follows it and it is not
-    'cancelled'.
+    started_at is the first running update and never moves; finished_at is
+    empty again after a re-run; every accepted running update is an attempt.
     """
+    accepted = effective_events(events, block)
     at = F.struct("ts", "seq")
-    settled = F.col("status") != "running"
-    firm = F.when(settled, at)
-    state = events.groupBy("run_id").agg(
-        F.max_by(F.when(settled, F.col("status")), firm).alias("_firm"),
-        F.max(firm).alias("_firm_at"),
-        F.max(F.when(~settled, at)).alias("_run_at"),
-        F.min(F.when(~settled, F.col("ts"))).alias("started_at"),
-        F.count_if(~settled).alias("attempt"),
+    state = accepted.groupBy("run_id").agg(
+        F.max_by("status", at).alias("status"),
         F.max("ts").alias("heartbeat_at"),
-        F.count(F.lit(1)).alias("events"),
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+        F.count_if(F.col("status") == "running").alias("attempt"),
     )
-    reruns = (F.col("_run_at") > F.col("_firm_at")) | F.col("_firm_at").isNull()
-    status = F.when(reruns & (F.coalesce("_firm", F.lit("")) != "cancelled"), F.lit("running")).otherwise(F.col("_firm"))
-    out = state.withColumn("status", status)
-    finished = F.when(F.col("status").isin(*TERMINAL), F.col("_firm_at.ts"))
-    return out.withColumn("finished_at", finished).drop("_firm", "_firm_at", "_run_at")
+    return state.withColumn("finished_at", F.when(F.col("status").isin(*TERMINAL), F.col("heartbeat_at")))
 
 
 def clamp_progress(current: Column, total: Column, status: Column) -> Column:
