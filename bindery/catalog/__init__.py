@@ -1,0 +1 @@
+"""Runnable queries over the standard tables, with SQL equivalents."""

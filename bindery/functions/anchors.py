@@ -7,8 +7,9 @@ in the original text and needs no mapping back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..rows import unnest
 from .text import clean_for_match, compact_text
 
 HEAD_CHARS = 12
@@ -52,3 +53,30 @@ def find_anchor(content: Column, sentence: Column) -> Column:
         hit(level4, 4),
         F.struct(F.lit(-1).alias("offset"), F.lit(0).alias("level")),
     )
+
+
+# Characters of a quote that serve as its join key.
+KEY_CHARS = 16
+
+
+def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Exact positions of stored quotes in a corpus: (doc_id, quote columns, quote_offset).
+
+    Comparing every text with every quote is a cross join. Instead a quote is
+    keyed by its first characters, and a text offers the same number of
+    characters from every word start and line start, de-duplicated per text;
+    the two meet in an equi join and only key hits are verified. Quotes begin
+    at a word, as sentences do; shorter ones are keyed by their whole text and
+    are found through `short_quotes`.
+
+    With few quotes Catalyst broadcasts them by measured size and the text is
+    never shuffled; with many, only (key, doc_id) pairs are, and the text
+    joins back for hits alone.
+    """
+    head = F.left("quote", F.lit(KEY_CHARS))
+    keyed = quotes.filter(F.length("quote") >= KEY_CHARS).select("*", F.xxhash64(head).alias("_key"))
+    starts = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=(\S.{{{KEY_CHARS - 1}}}))"), 1)
+    offered = unnest(docs, ["doc_id"], F.array_distinct(F.transform(starts, lambda s: F.xxhash64(s))), "_key")
+    hits = offered.join(keyed, "_key").drop("_key")
+    found = hits.join(docs, "doc_id").withColumn("quote_offset", F.instr("text", F.col("quote")) - 1)
+    return found.filter(F.col("quote_offset") >= 0).drop("text")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..rows import unnest
 
 _TEXT = "struct<text:string,source_content_indexes:array<string>>"
 _CASE = (
@@ -130,7 +131,7 @@ def flatten_assets(analyses: DataFrame, data: str = "data") -> DataFrame:
     # The filled array becomes a column first so that it is computed once.
     ready = analyses.withColumn("_subs", filled)
     rows = F.flatten(F.transform("_subs", per_subtopic))
-    return ready.select(*rest, F.explode(rows).alias("a")).select(*rest, "a.*")
+    return unnest(ready, rest, rows, "a").select(*rest, "a.*")
 
 
 # Resolving cited fragments -----------------------------------------------------
@@ -164,9 +165,7 @@ def resolve(analyses: DataFrame, fragments: DataFrame) -> DataFrame:
     analyses(analysis_id, root_section_id, set_id, data);
     fragments(set_id, root_section_id, content_index, book_position, source_section_id).
     """
-    cited = analyses.select(
-        "analysis_id", "set_id", "root_section_id", F.explode(_cited(F.col("data"))).alias("content_index")
-    )
+    cited = unnest(analyses, ["analysis_id", "set_id", "root_section_id"], _cited(F.col("data")), "content_index")
     found = cited.join(fragments, ["set_id", "root_section_id", "content_index"])
     maps = found.groupBy("analysis_id").agg(
         F.map_from_entries(F.collect_list(F.struct("content_index", F.col("book_position").cast("bigint")))).alias("positions"),
@@ -482,9 +481,8 @@ def _card_rows(valid: Column) -> Column:
 
 def derive_cards(validated: DataFrame) -> DataFrame:
     """One row per card with stable key, id, ordered sources and section ids."""
-    rows = validated.select(
-        "analysis_id", "book_id", "root_section_id", "homes", F.posexplode(_card_rows(F.col("valid"))).alias("card_no", "c")
-    ).select("analysis_id", "book_id", "root_section_id", "homes", "card_no", "c.*")
+    keep = ["analysis_id", "book_id", "root_section_id", "homes"]
+    rows = unnest(validated, keep, _card_rows(F.col("valid")), "c", "card_no").select(*keep, "card_no", "c.*")
     keyed = rows.withColumn("stable_key", X.card_key(F.col("book_id"), F.col("kind"), F.col("body"), F.col("indexes")))
     sections = F.array_distinct(F.transform("indexes", lambda x: F.try_element_at("homes", x)))
     return keyed.withColumn("card_id", X.card_id(F.col("stable_key"))).withColumn("source_section_ids", sections).drop("homes")
@@ -665,7 +663,7 @@ def rule_based_cards(sections: DataFrame, terminators: str = X.TERMINATORS, word
         ),
     )
     kept = F.filter(candidates, lambda c: c["body"].isNotNull())
-    return usable.select("book_id", "section_id", F.explode(kept).alias("c")).select("book_id", "section_id", "c.*")
+    return unnest(usable, ["book_id", "section_id"], kept, "c").select("book_id", "section_id", "c.*")
 
 
 RELATION_SCHEMA = "struct<relationships:array<struct<characters:array<string>,relationship:string,evidence:string>>>"

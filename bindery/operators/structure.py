@@ -10,10 +10,11 @@ content, kind, status, analysis_enabled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packing, text as X
-from ..ordered import BLOCK, position_block, running
+from ..ordered import position_block, running
+from ..rows import unnest
 
 HEADING = r"(?Ud)^(#{1,6})\s+(.+?)\s*$"
 
@@ -126,9 +127,9 @@ def parse_books(books: DataFrame, *, include_segments: bool = True) -> DataFrame
             parent["title"].alias("up_title"),
         )
 
-    rows = linked.select(
-        "book_id", "filename", "book_title", F.explode(F.transform("_heads", section)).alias("s")
-    ).select("book_id", "filename", "book_title", "s.*")
+    rows = unnest(linked, ["book_id", "filename", "book_title"], F.transform("_heads", section), "s").select(
+        "book_id", "filename", "book_title", "s.*"
+    )
     sections = rows.select(
         "book_id",
         "book_title",
@@ -153,7 +154,7 @@ def with_segments(sections: DataFrame) -> DataFrame:
     long = (F.col("level") >= 4) & (F.length("content") > packing.SEGMENT_TRIGGER)
     pieces = F.when(long, packing.semantic_chunks(F.col("content"))).otherwise(F.array().cast("array<string>"))
     listed = sections.withColumn("_pieces", F.concat(F.array(F.col("content")), pieces))
-    out = listed.select(*sections.columns, F.posexplode("_pieces").alias("_no", "_body"))
+    out = unnest(listed, sections.columns, "_pieces", "_body", "_no")
     is_segment = F.col("_no") > 0
     replaced = {
         "section_id": F.when(is_segment, X.stable_id("segment", F.col("section_id"), F.col("_no"))).otherwise(
@@ -202,50 +203,30 @@ def heading_parent(sections: DataFrame) -> DataFrame:
     return carried.withColumn("computed_parent", nearest["section_id"]).drop(*last)
 
 
-def lineage(sections: DataFrame, depth: int = 8) -> DataFrame:
+def lineage(sections: DataFrame, depth: int = 7) -> DataFrame:
     """Adds root_id, ancestors (root first, self last) and section_path titles.
 
-    Pointer doubling: each round joins the table to itself on the current
-    highest known ancestor, so `depth` levels need log2(depth) joins. Finished
-    rows get a key of their own that matches nothing, so they do not pile up
-    on one null key.
+    One equi join per level above a section; headings nest at most six deep
+    and segments add one. The parent side is the same narrow shuffle every
+    time and is reused. Finished rows get a key of their own that matches
+    nothing, so they do not pile up on one null key.
     """
-    rounds = max(1, (depth - 1).bit_length())
-    state = sections.select(
-        "book_id",
-        "section_id",
-        F.col("parent_id").alias("_up"),
-        F.array("section_id").alias("ancestors"),
-        F.array("title").alias("section_path"),
+    parents = sections.select(
+        F.col("book_id").alias("_b"), F.col("section_id").alias("_id"), F.col("parent_id").alias("_next"), F.col("title").alias("_title")
     )
-    known = sections.select("book_id", F.col("section_id").alias("_known"))
-    dangling = state.join(
-        known, (state.book_id == known.book_id) & (F.col("_up") == F.col("_known")), "left_semi"
-    ).select("section_id", "book_id", F.lit(True).alias("_has_parent"))
-    state = (
-        state.join(dangling, ["book_id", "section_id"], "left")
-        .withColumn("_up", F.when(F.col("_has_parent"), F.col("_up")))
-        .drop("_has_parent")
+    state = sections.select(
+        "book_id", "section_id", F.col("parent_id").alias("_up"), F.array("section_id").alias("ancestors"), F.array("title").alias("section_path")
     )
-    for _ in range(rounds):
-        above = state.select(
-            F.col("book_id").alias("_b"),
-            F.col("section_id").alias("_id"),
-            F.col("_up").alias("_next"),
-            F.col("ancestors").alias("_anc"),
-            F.col("section_path").alias("_path"),
-        )
-        probe = state.withColumn(
-            "_key", F.coalesce(F.col("_up"), F.concat(F.lit("\x00"), F.col("section_id")))
-        )
-        joined = probe.join(above, (F.col("book_id") == F.col("_b")) & (F.col("_key") == F.col("_id")), "left")
-        found = F.col("_id").isNotNull()
+    found = F.col("_id").isNotNull()
+    for _ in range(depth - 1):
+        probe = state.withColumn("_key", F.coalesce("_up", F.concat(F.lit("\x00"), F.col("section_id"))))
+        joined = probe.join(parents, (F.col("book_id") == F.col("_b")) & (F.col("_key") == F.col("_id")), "left")
         state = joined.select(
             "book_id",
             "section_id",
-            F.when(found, F.col("_next")).otherwise(F.col("_up")).alias("_up"),
-            F.when(found, F.concat("_anc", "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
-            F.when(found, F.concat("_path", "section_path")).otherwise(F.col("section_path")).alias("section_path"),
+            F.col("_next").alias("_up"),
+            F.when(found, F.concat(F.array("_id"), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
+            F.when(found, F.concat(F.array("_title"), "section_path")).otherwise(F.col("section_path")).alias("section_path"),
         )
     return state.select(
         "book_id", "section_id", F.get("ancestors", F.lit(0)).alias("root_id"), "ancestors", "section_path"
@@ -480,7 +461,7 @@ def split_section_half(sections: DataFrame, chosen: Column) -> DataFrame:
             F.struct(F.lit(1).alias("no"), second.alias("body")),
         ),
     ).otherwise(F.array(F.struct(F.lit(0).alias("no"), F.col("content").alias("body"))))
-    out = listed.select(*sections.columns, F.explode(parts).alias("_x"))
+    out = unnest(listed, sections.columns, parts, "_x")
     tail = F.col("_x.no") == 1
     replaced = {
         "section_id": F.when(tail, X.stable_id("split", F.col("section_id"))).otherwise(F.col("section_id")),

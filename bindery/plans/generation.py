@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packing, text as X
 from ..operators.sets import id_preservation
+from ..rows import unnest
 from ..session import cut_lineage
 
 # Chunk sizes of compression.
@@ -91,7 +92,7 @@ def compress(texts: DataFrame, fn: Generator, *, prompt_id: str = "chapter_compr
     Every round is materialised, so generation is not repeated downstream.
     """
     pieces = packing.split_markdown(F.col("text"), COMPRESS_CHUNK)
-    todo = texts.select("key", F.posexplode(pieces).alias("_n", "source")).select(
+    todo = unnest(texts, ["key"], pieces, "source", "_n").select(
         "key", F.format_string("%06d", F.col("_n")).alias("path"), "source"
     )
     finished: DataFrame | None = None
@@ -140,7 +141,7 @@ def compress(texts: DataFrame, fn: Generator, *, prompt_id: str = "chapter_compr
         cut = sized.withColumn("_atoms", F.filter(atoms, lambda a: X.strip(a) != "")).withColumn(
             "_no", packing.pack_numbers(F.transform("_atoms", lambda a: F.length(a)), F.col("_half"), 2)
         )
-        todo = cut.select("key", "path", F.posexplode(packing.regroup(F.col("_atoms"), F.col("_no"), "\n\n")).alias("_n", "source")).select(
+        todo = unnest(cut, ["key", "path"], packing.regroup(F.col("_atoms"), F.col("_no"), "\n\n"), "source", "_n").select(
             "key", F.concat("path", F.format_string(".%06d", F.col("_n"))).alias("path"), "source"
         )
     packed = finished.groupBy("key").agg(

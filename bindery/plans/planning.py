@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packing, text as X
 from ..ordered import assemble, position_block, running
+from ..rows import unnest
 
 # Defaults and labels of the planning formats.
 DEFAULT_THEME = "本章主题待模型结合子主题理解。"
@@ -26,7 +27,7 @@ FIELD_LINE = (
 )
 REQUIRED_FIELDS = ("听众钩子", "核心主题", "核心要点", "内容类型", "来源章节")
 MARKERS = ("听众钩子：", "核心主题：", "核心要点：")
-NO_ID_SHAPES = r"(?U)\b(?:knowledge|content)_[0-9a-f]+\b"
+NO_ID_SHAPES = r"(?<![\p{L}\p{N}_])(?:knowledge|content)_[0-9a-f]+(?![\p{L}\p{N}_])"
 KEY_POINT = r"(?m)(?:^|[\n；;])\s*(?:\d+\s*[.．、)）]|[-*])\s*\S+"
 
 
@@ -168,8 +169,11 @@ def split_oversized(modules: DataFrame, maximum: int = packing.MODULE_CHARS) ->
         ),
     )
     keep = [c for c in modules.columns if c not in ("title", "chapter_keys", "sizes", "suggested")]
-    flat = numbered.withColumn("oversized", oversized).select(
-        *keep, "title", "suggested", "oversized", F.array_max("_no").alias("parts"), F.size("chapter_keys").alias("_all"), F.explode(groups).alias("g")
+    flat = unnest(
+        numbered.withColumn("oversized", oversized),
+        [*keep, "title", "suggested", "oversized", F.array_max("_no").alias("parts"), F.size("chapter_keys").alias("_all")],
+        groups,
+        "g",
     )
     suffix = F.when(F.col("parts") > 1, F.format_string("（第 %d/%d 部分）", F.col("g.part"), F.col("parts"))).otherwise(F.lit(""))
     share = F.bround(F.col("suggested") * F.size("g.keys") / F.greatest(F.lit(1), F.col("_all"))).cast("int")
