@@ -107,11 +107,11 @@ def _(spark, d):
 
 @query(
     "effective_prompts", "W9",
-    """WITH t AS (SELECT n_nationkey AS template_id, n_nationkey * 10 AS sys, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 + 1 END AS glob FROM nation),
+    """WITH t AS (SELECT n_nationkey AS template_id, n_nationkey * 10 AS sys, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 + 1 END AS glb FROM nation),
             p AS (SELECT c_custkey AS project_id, unnest([c_nationkey, (c_nationkey + 1) % 25]) AS template_id FROM customer),
             b AS (SELECT DISTINCT o_custkey AS project_id, CAST(o_custkey % 25 AS INTEGER) AS template_id FROM orders)
-       SELECT p.project_id, t.template_id, CASE WHEN b.project_id IS NOT NULL THEN 'project' WHEN glob IS NOT NULL THEN 'global' ELSE 'system' END AS source_scope,
-              CASE WHEN b.project_id IS NOT NULL THEN '项目 v3' WHEN glob IS NOT NULL THEN '全局 v2' ELSE '系统默认' END AS source_label
+       SELECT p.project_id, t.template_id, CASE WHEN b.project_id IS NOT NULL THEN 'project' WHEN glb IS NOT NULL THEN 'global' ELSE 'system' END AS source_scope,
+              CASE WHEN b.project_id IS NOT NULL THEN '项目 v3' WHEN glb IS NOT NULL THEN '全局 v2' ELSE '系统默认' END AS source_label
        FROM p JOIN t USING (template_id) LEFT JOIN b ON b.project_id = p.project_id AND b.template_id = t.template_id""",
 )
 def _(spark, d):
@@ -151,7 +151,7 @@ def _(spark, d):
         F.lit("succeeded").alias("status"), F.lit("").alias("error_message"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
     )
     r = W.upsert_planning(log)
-    return r.select("run_id", "artifact_type", "content", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+    return r.select("run_id", "artifact_type", "content", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
 
 
 @query(
@@ -181,7 +181,7 @@ def _(spark, d):
 )
 def _(spark, d):
     r = R.fold_runs(V.run_events(spark, d), time_block(F.col("ts"), "day"))
-    return r.select("run_id", "status", "attempt", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"))
+    return r.select("run_id", "status", "attempt", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"), F.unix_micros(F.col("finished_at").cast("timestamp")).alias("finished_us"))
 
 
 @query(

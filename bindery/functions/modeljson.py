@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from . import text as X
 
@@ -98,7 +98,12 @@ _SUBTOPICS = (
 )
 
 
-@F.pandas_udf("array<struct<character_relationships:string,rest:string>>")
+_SPLIT = T.ArrayType(
+    T.StructType([T.StructField("character_relationships", T.StringType()), T.StructField("rest", T.StringType())])
+)
+
+
+@F.pandas_udf(_SPLIT)
 def split_concatenated(raw: pd.Series) -> pd.Series:
     """Each JSON object of a run-together string, its relations split off.
 
