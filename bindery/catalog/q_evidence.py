@@ -599,7 +599,7 @@ def _(spark, d):
     before = F.concat_ws(" ", c, k, c)
     after = F.concat_ws(" ", k, F.when(F.col("l_linenumber") % 2 == 1, c), F.when(F.col("l_linenumber") % 3 == 0, F.lit("content_ffffffffff")))
     r = S.id_preservation(before, after)
-    return table(spark, d, "lineitem").withColumn("r", r).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r.missing").cast("bigint").alias("missing"), F.col("r.unexpected").cast("bigint").alias("unexpected"))
+    return wide_table(spark, d, "lineitem").withColumn("r", r).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r.missing").cast("bigint").alias("missing"), F.col("r.unexpected").cast("bigint").alias("unexpected"))
 
 
 @query(

@@ -125,7 +125,7 @@ def cited(spark, d):
         F.lit("["), chapter, F.lit("] ，"), content, F.lit(" x knowledge_"), F.lower(F.hex("l_partkey")), F.lit("  "), content, F.lit(" "),
         F.col("l_returnflag"), F.lit(" "), chapter, F.lit("；"),
     )
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+    return wide_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
 
 
 @query(

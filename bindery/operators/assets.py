@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..rows import unnest
+from ..rows import computed_once, unnest
 
 _TEXT = "struct<text:string,source_content_indexes:array<string>>"
 _CASE = (
@@ -408,12 +408,13 @@ def validate(resolved: DataFrame) -> DataFrame:
         _required(data["chapter_theme"], "chapter_theme"),
         F.when(F.coalesce(F.size(data["subtopics"]), F.lit(0)) < 1, F.lit("subtopics 必须是非空数组")),
     )
-    checked = resolved.withColumn("rejected_reason", reason).withColumn(
-        "_checked", F.when(F.col("rejected_reason").isNull(), F.transform(data["subtopics"], subtopic))
+    checked = computed_once(
+        resolved.withColumn("rejected_reason", reason),
+        _checked=F.when(F.col("rejected_reason").isNull(), F.transform(data["subtopics"], subtopic)),
     )
-    out = checked.withColumn(
-        "valid",
-        F.when(
+    out = computed_once(
+        checked,
+        valid=F.when(
             F.col("rejected_reason").isNull(),
             F.struct(
                 X.strip(data["chapter_title"]).alias("chapter_title"),
@@ -421,7 +422,8 @@ def validate(resolved: DataFrame) -> DataFrame:
                 F.transform("_checked", clean).alias("subtopics"),
             ),
         ),
-    ).withColumn("issues", F.coalesce(F.flatten(F.transform("_checked", problems)), _none(ISSUE)))
+        issues=F.coalesce(F.flatten(F.transform("_checked", problems)), _none(ISSUE)),
+    )
     return (
         out.drop("_checked")
         .withColumn("valid_item_count", F.coalesce(F.size(_card_rows(F.col("valid"))), F.lit(0)))

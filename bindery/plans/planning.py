@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packing, text as X
 from ..ordered import assemble, position_block, running
-from ..rows import unnest
+from ..rows import computed_once, unnest
 
 # Defaults and labels of the planning formats.
 DEFAULT_THEME = "本章主题待模型结合子主题理解。"
@@ -22,9 +22,8 @@ MODULE_COUNT = r"(?U)建议(?:声音|集)数[：:]\s*(\d+)"
 EPISODE_START = r"(?mUd)(?=^##\s+第?\s*\d+\s*集\s*[：:])"
 EPISODE_HEADING = r"(?mUd)\A##\s+第?\s*\d+\s*集\s*[：:]\s*(.+?)\s*$"
 EPISODE_BLOCK = r"(?mUd)^##\s+第?\d+\s*集"
-FIELD_LINE = (
-    r"(?Ud)^\s*(?:\*\*)?(听众钩子|核心主题|核心要点|内容类型|来源章节|模块标识)(?:\*\*)?\s*[：:]\s*(.*?)\s*$"
-)
+FIELD_LABELS = "听众钩子|核心主题|核心要点|内容类型|来源章节|模块标识"
+_LABEL_OPEN, _LABEL_CLOSE = r"^[\s\u3000]*(?:\*\*)?", r"(?:\*\*)?[\s\u3000]*[：:]"
 REQUIRED_FIELDS = ("听众钩子", "核心主题", "核心要点", "内容类型", "来源章节")
 MARKERS = ("听众钩子：", "核心主题：", "核心要点：")
 NO_ID_SHAPES = r"(?<![\p{L}\p{N}_])(?:knowledge|content)_[0-9a-f]+(?![\p{L}\p{N}_])"
@@ -326,56 +325,15 @@ def validate_outline(markdown: Column, allowed: Column, expected: Column) -> Col
     return X.let(blocks, judge)
 
 
-def outline_fields(body: Column) -> Column:
-    """map<label, text> of labelled fields; text may continue over several lines.
+def outline_field(body: Column, label: str) -> Column:
+    """Text after a label up to the next label, blank lines dropped; empty if absent.
 
-    A label given twice keeps its last block; the module label only ends the
-    field before it.
+    A label given twice keeps its last block.
     """
-    lines = F.split(body, "\n")
-    zero = F.struct(F.lit("").alias("label"), F.lit(0).alias("no"), F.lit("").alias("value"))
-
-    def step(s: Column, line: Column) -> Column:
-        label = F.regexp_extract(line, FIELD_LINE, 1)
-        return F.when(
-            label != "",
-            F.struct(
-                F.when(label == "模块标识", F.lit("")).otherwise(label).alias("label"),
-                (s["no"] + 1).alias("no"),
-                F.regexp_extract(line, FIELD_LINE, 2).alias("value"),
-            ),
-        ).otherwise(F.struct(s["label"].alias("label"), s["no"].alias("no"), X.strip(line).alias("value")))
-
-    tagged = packing.scan(lines, zero, step, lambda s: s, "struct<label:string,no:int,value:string>")
-
-    def collect(t: Column) -> Column:
-        used = F.filter(t, lambda x: x["label"] != "")
-        blocks = F.array_distinct(F.transform(used, lambda x: F.struct(x["label"].alias("label"), x["no"].alias("no"))))
-        entries = F.transform(
-            blocks,
-            lambda b: F.struct(
-                b["label"].alias("key"),
-                X.strip(
-                    F.array_join(
-                        F.transform(
-                            F.filter(t, lambda x: (x["no"] == b["no"]) & (x["label"] != "") & (x["value"] != "")), lambda x: x["value"]
-                        ),
-                        "\n",
-                    )
-                ).alias("value"),
-            ),
-        )
-        return F.map_from_entries(entries)
-
-    # Later blocks of the same label win: keep the last entry per label.
-    def last_only(t: Column) -> Column:
-        return F.filter(
-            t,
-            lambda x: (x["label"] == "")
-            | (x["no"] == F.array_max(F.transform(F.filter(t, lambda y: y["label"] == x["label"]), lambda y: y["no"]))),
-        )
-
-    return X.let(X.let(tagged, last_only), collect)
+    block = rf"(?msd){_LABEL_OPEN}{label}{_LABEL_CLOSE}(.*?)(?={_LABEL_OPEN}(?:{FIELD_LABELS}){_LABEL_CLOSE}|\z)"
+    found = F.coalesce(F.try_element_at(F.regexp_extract_all(body, F.lit(block), 1), F.lit(-1)), F.lit(""))
+    lines = F.filter(F.transform(F.split(found, "\n"), X.strip), lambda x: x != "")
+    return F.array_join(lines, "\n")
 
 
 def parse_outlines(modules: DataFrame, markdown: str = "markdown") -> DataFrame:
@@ -384,21 +342,23 @@ def parse_outlines(modules: DataFrame, markdown: str = "markdown") -> DataFrame:
     modules(..., module_key, chapter_keys, catalog_keys, suggested, markdown).
     """
     parts = F.filter(F.split(X.strip(F.coalesce(markdown, F.lit(""))), EPISODE_START), lambda p: F.regexp_like(p, F.lit(EPISODE_HEADING)))
-    shaped = modules.withColumn(
-        "_eps",
-        F.transform(
+    shaped = computed_once(
+        modules,
+        _eps=F.transform(
             parts,
             lambda p: X.let(
                 X.strip(F.regexp_replace(p, EPISODE_HEADING, "")),
                 lambda body: F.struct(
-                    X.strip(F.regexp_extract(p, EPISODE_HEADING, 1)).alias("title"), body.alias("body"), outline_fields(body).alias("f")
+                    X.strip(F.regexp_extract(p, EPISODE_HEADING, 1)).alias("title"),
+                    body.alias("body"),
+                    *[outline_field(body, name).alias(f"f{i}") for i, name in enumerate(REQUIRED_FIELDS)],
                 ),
             ),
         ),
     )
 
     def field(e: Column, name: str) -> Column:
-        return F.coalesce(F.try_element_at(e["f"], F.lit(name)), F.lit(""))
+        return e[f"f{REQUIRED_FIELDS.index(name)}"]
 
     def problem(e: Column, k: Column) -> Column:
         where = F.concat(F.col("module_key"), F.format_string(" 第 %d 集", k + 1))

@@ -1,4 +1,4 @@
-"""Unnesting arrays that are costly to compute."""
+"""Keeping costly expressions from being evaluated more than once."""
 
 from __future__ import annotations
 
@@ -21,3 +21,15 @@ def unnest(df: DataFrame, keep: Sequence[str | Column], array: Column | str, nam
         return out.filter(F.col(name).isNotNull())
     out = df.select(*keep, F.posexplode_outer(array).alias(position, name))
     return out.filter(F.col(position).isNotNull())
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections cannot copy.
+
+    The optimizer moves filters below a projection by repeating the projected
+    expressions inside them. A one-element unnest is a boundary it does not
+    cross, so the expressions are evaluated once per row.
+    """
+    held = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    out = df.select("*", F.explode_outer(held).alias("_held"))
+    return out.withColumns({n: F.col(f"_held.{n}") for n in columns}).drop("_held")
