@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as a Unicode-aware class, sentence terminators,
-# identifier shapes and the countable-token pattern of the word metric.
-SPACE = r"[\s\x1c-\x1f]"
+# Unicode whitespace, sentence terminators, identifier shapes and
+# the countable-token pattern of the word metric.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as a character class; listing it beats \s in Unicode mode.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TERMINATORS = "。！？!?"
 QUOTE_TERMINATORS = "。！？"
 # Unicode word edges are spelled out: \b in Unicode mode is far slower.
@@ -43,7 +48,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -56,11 +61,11 @@ def nonblank(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def compact_text(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+", "")
+    return F.regexp_replace(c, f"{SPACE}+", "")
 
 
 def clean_for_match(c: Column) -> Column:
@@ -92,7 +97,7 @@ def extract_sentence(
     c: Column, low: int = 24, high: int = 180, fallback: int = 160, terminators: str = TERMINATORS
 ) -> Column:
     """First sentence of acceptable length, else a leading excerpt."""
-    flat = F.regexp_replace(c, rf"(?U){SPACE}+", " ")
+    flat = F.regexp_replace(c, f"{SPACE}+", " ")
     fitting = F.filter(_sentence_parts(flat, terminators), lambda s: F.length(s).between(low, high))
     return F.coalesce(F.get(fitting, F.lit(0)), excerpt(c, fallback))
 

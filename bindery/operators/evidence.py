@@ -75,18 +75,18 @@ def auxiliary_context(direct: DataFrame, members: DataFrame, section: str, reach
     """Fragments within `reach` positions of direct evidence, same set and section.
 
     The range condition becomes an equi join by listing the wanted positions.
+    Each direct fragment lists its own position as well, marked, so that one
+    aggregate both removes repeats and drops neighbours that are themselves
+    direct; `direct` is read once and no anti join is needed.
     """
-    offsets = [d for d in range(-reach, reach + 1) if d != 0]
-    wanted = (
-        direct.select(
-            "episode_id",
-            "set_id",
-            section,
-            F.explode(F.array(*[F.col("book_position") + d for d in offsets])).alias("book_position"),
-        )
-    ).distinct()
+    offsets = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
+    wanted = direct.select("episode_id", "set_id", section, "book_position", F.explode(offsets).alias("_d")).select(
+        "episode_id", "set_id", section, (F.col("book_position") + F.col("_d")).alias("book_position"), (F.col("_d") == 0).alias("_direct")
+    )
     near = wanted.join(members, ["set_id", section, "book_position"])
-    return near.join(direct.select("episode_id", "content_index"), ["episode_id", "content_index"], "left_anti")
+    place = [c for c in members.columns if c not in ("content_index",)]
+    found = near.groupBy("episode_id", "content_index").agg(F.max("_direct").alias("_direct"), *[F.first(c).alias(c) for c in place])
+    return found.filter(~F.col("_direct")).drop("_direct")
 
 
 def bundle_text(kind: str, header: Column, path: Column, body: Column) -> Column:
