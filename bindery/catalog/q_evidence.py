@@ -395,11 +395,11 @@ def _(spark, d):
 
 @query(
     "episode_indexes", "A10 X4",
-    f"""WITH {CTES}, o AS (SELECT e.episode_id, s.content_index, row_number() OVER (PARTITION BY e.episode_id, s.content_index ORDER BY e.position, e.card_id, s.source_order) AS rn,
-               e.position, e.card_id, s.source_order FROM episode_cards e JOIN card_sources s USING (card_id) WHERE e.episode_id % 3 <> 0),
-          l AS (SELECT episode_id, string_agg(content_index, ',' ORDER BY position, card_id, source_order) AS ix FROM o WHERE rn = 1 GROUP BY 1)
-        SELECT o_orderkey AS episode_id, CASE WHEN ix IS NOT NULL THEN ix WHEN o_orderkey % 2 = 0 AND o_custkey % 100 < 50 THEN '' ELSE 'content_n' || o_custkey END AS indexes
-        FROM orders LEFT JOIN l ON episode_id = o_orderkey""",
+    f"""WITH {CTES}, o AS (SELECT e.episode_id, s.content_index, row_number() OVER (PARTITION BY e.episode_id, s.content_index ORDER BY e.position, CAST(e.card_id AS VARCHAR), s.source_order) AS rn,
+               e.position, e.card_id, s.source_order FROM episode_cards e JOIN card_sources s USING (card_id) WHERE e.episode_id % 3 <> 0)
+        SELECT episode_id, CAST(content_index AS VARCHAR) AS content_index, CAST(position AS BIGINT) AS position, CAST(card_id AS VARCHAR) AS card_id FROM o WHERE rn = 1
+        UNION ALL SELECT o_orderkey, 'content_n' || o_custkey, 0, '' FROM orders
+        WHERE NOT (o_orderkey % 2 = 0 AND o_custkey % 100 < 50) AND o_orderkey NOT IN (SELECT episode_id FROM o)""",
 )
 def _(spark, d):
     episodes = table(spark, d, "orders").select(
@@ -409,7 +409,7 @@ def _(spark, d):
     linked = V.episode_cards(spark, d).filter(F.col("episode_id") % 3 != 0)
     sources = V.card_sources(spark, d).withColumn("content_index", F.col("content_index").cast("string"))
     precise = episodes.select("book_id").filter("book_id < 50")
-    return E.episode_indexes(episodes, linked, sources, precise).select("episode_id", F.array_join("content_indexes", ",").alias("indexes"))
+    return E.episode_indexes(episodes, linked, sources, precise).select("episode_id", "content_index", "place.position", "place.card_id")
 
 
 # Filters -----------------------------------------------------------------------

@@ -160,7 +160,8 @@ def _(spark, d):
     existing = docs.select(path.alias("path"), stored.alias("body"))
     manifest = docs.select(path.alias("path"), F.sha2(stored, 256).alias("digest"))
     changed, after = N.sync_notes(docs.select(path.alias("path"), F.col("text").alias("body")), existing, manifest)
-    return after.agg(F.count(F.lit(1)).alias("notes")).crossJoin(changed.agg(F.count(F.lit(1)).alias("changed")))
+    marks = after.select(F.lit(0).alias("c")).unionByName(changed.select(F.lit(1).alias("c")))
+    return marks.agg(F.count_if(F.col("c") == 0).alias("notes"), F.count_if(F.col("c") == 1).alias("changed"))
 
 
 def event_stream(spark, d) -> DataFrame:

@@ -314,25 +314,24 @@ def card_identity(items: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def episode_indexes(episodes: DataFrame, episode_cards: DataFrame, card_sources: DataFrame, precise_books: DataFrame) -> DataFrame:
-    """Ordered distinct fragment indexes per episode, with the legacy fallback.
+    """Distinct fragment indexes of episodes as rows (episode_id, content_index, place).
 
-    Without card links: none when a source section is a root of a precisely
-    analysed book, else one legacy index per source section.
+    `place` sorts the indexes of an episode: card position, card, source order.
+    Episodes without card links fall back to one legacy index per source
+    section, or to nothing when a source section is a root of a precisely
+    analysed book. Rows rather than arrays: an episode may cite any number.
     """
     linked = episode_cards.join(card_sources, "card_id").groupBy("episode_id", "content_index").agg(
-        F.min(F.struct("position", "card_id", "source_order")).alias("_o")
+        F.min(F.struct(F.col("position").cast("bigint").alias("position"), F.col("card_id").cast("string").alias("card_id"), F.col("source_order").cast("bigint").alias("source_order"))).alias("place")
     )
-    packed = linked.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("_o", "content_index"))).alias("_r"))
+    cited = linked.join(episodes.select("episode_id"), "episode_id", "left_semi")
+    bare = episodes.join(episode_cards.select("episode_id"), "episode_id", "left_anti")
     precise = precise_books.select("book_id").distinct().withColumn("_precise", F.lit(True))
-    out = episodes.join(packed, "episode_id", "left").join(precise, "book_id", "left")
-    legacy = F.transform("source_section_ids", X.legacy_content_index)
-    none = F.array().cast("array<string>")
-    return out.withColumn(
-        "content_indexes",
-        F.when(F.col("_r").isNotNull(), F.transform("_r", lambda r: r["content_index"]))
-        .when(F.col("has_root_source") & F.coalesce("_precise", F.lit(False)), none)
-        .otherwise(legacy),
-    ).drop("_r", "_precise")
+    pending = F.col("has_root_source") & F.coalesce("_precise", F.lit(False))
+    legacy = bare.join(precise, "book_id", "left").filter(~pending)
+    flat = legacy.select("episode_id", F.posexplode("source_section_ids").alias("_p", "_s"))
+    place = F.struct(F.col("_p").cast("bigint").alias("position"), F.lit("").alias("card_id"), F.lit(0).cast("bigint").alias("source_order"))
+    return cited.unionByName(flat.select("episode_id", X.legacy_content_index(F.col("_s")).alias("content_index"), place.alias("place")))
 
 
 def project_link_violations(episodes: DataFrame, sections: DataFrame, projects: DataFrame) -> DataFrame:

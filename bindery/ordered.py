@@ -12,14 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BLOCK = 65_536
 
 
 def position_block(position: Column, size: int = BLOCK) -> Column:
-    """Ordered block number of an integer position."""
-    return F.floor(position.cast("bigint") / F.lit(size)).cast("bigint")
+    """Ordered block number of an integer position, exact over all of bigint."""
+    p, n = position.cast("bigint"), F.lit(size).cast("bigint")
+    return F.call_function("div", p - F.pmod(p, n), n)
 
 
 def time_block(ts: Column, unit: str = "hour") -> Column:
@@ -47,9 +48,19 @@ def running(
     """
     sums, before = sums or {}, before or {}
     keys, order = list(keys), list(order)
-    # Null-safe keys without a null-safe join: carry the null flag along.
-    tagged = df.withColumn("_blk", block)
-    local = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    # Nulls form a group of their own. Keys are split into (is null, value)
+    # once, so that window, totals and join share one partitioning: the rows
+    # are shuffled a single time and the join finds them in place.
+    tagged = df.withColumn("_blk_raw", block)
+    types = {f.name: f.dataType for f in tagged.schema.fields}
+    parts: dict[str, Column] = {}
+    for i, k in enumerate([*keys, "_blk_raw"]):
+        parts[f"_z{i}"] = F.col(k).isNull()
+        parts[f"_v{i}"] = F.coalesce(F.col(k), _filler(types[k]))
+    tagged = tagged.withColumns(parts).drop("_blk_raw")
+    group = [c for i in range(len(keys)) for c in (f"_v{i}", f"_z{i}")]
+    blk = [f"_v{len(keys)}", f"_z{len(keys)}"]
+    local = Window.partitionBy(*group, *blk).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = local.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -66,8 +77,9 @@ def running(
         rank = F.when(expr.isNotNull(), F.struct(*order))
         total_cols.append(F.max_by(expr, rank).alias(f"_b{i}_t"))
 
-    totals = tagged.groupBy(*keys, "_blk").agg(*total_cols)
-    across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy(*group, *blk).agg(*total_cols)
+    # Null blocks come first, as null order values do.
+    across = Window.partitionBy(*group).orderBy(F.desc(blk[1]), blk[0]).rowsBetween(Window.unboundedPreceding, -1)
     carried: list[Column] = []
     if number:
         carried.append(F.coalesce(F.sum("_n_t").over(across), F.lit(0)).alias("_n_c"))
@@ -75,13 +87,8 @@ def running(
         carried.append(F.sum(f"_s{i}_t").over(across).alias(f"_s{i}_c"))
     for i in range(len(before)):
         carried.append(F.last(f"_b{i}_t", ignorenulls=True).over(across).alias(f"_b{i}_c"))
-    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    carry = totals.select(*renamed, F.col("_blk").alias("_blk_c"), *carried)
-
-    match = F.col("_blk").eqNullSafe(F.col("_blk_c"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = tagged.withColumns(local_cols).join(carry, match, "left")
+    carry = totals.select(*group, *blk, *carried)
+    joined = tagged.withColumns(local_cols).join(carry, [*group, *blk], "left")
 
     out: dict[str, Column] = {}
     if number:
@@ -97,6 +104,17 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns if c not in out], *[v.alias(k) for k, v in out.items()])
 
 
+def _filler(kind: T.DataType) -> Column:
+    """Any non-null value of a type; a null flag tells it from a real one."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(kind)
+    if isinstance(kind, T.DateType):
+        return F.lit("1970-01-01").cast(kind)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01 00:00:00").cast(kind)
+    return F.lit(0).cast(kind)
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], rank: Column, keep: Sequence[str]) -> DataFrame:
     """The row of greatest `rank` per group, as an aggregate (map-side combine)."""
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*keep), rank).alias("_best"))

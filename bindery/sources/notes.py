@@ -41,6 +41,11 @@ def _cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _continued(part: str) -> Column:
+    """Name suffix of the second and later parts of a note."""
+    return F.when(F.col(part) > 0, F.format_string("__%d", F.col(part) + 1)).otherwise(F.lit(""))
+
+
 def note_name(title: Column, ident: Column) -> Column:
     return _cat(X.safe_name(title), "__", F.left(ident, F.lit(8)))
 
@@ -135,11 +140,9 @@ def book_notes(
     ).select("content_index", "part_no", F.col("text").alias("_links"))
     place = sections.select("book_id", F.col("section_id").alias("source_section_id"), section_name.alias("_sec"))
     base = fragments.join(named, "book_id").join(place, ["book_id", "source_section_id"], "left").join(links, "content_index", "left")
-    continued = F.coalesce("part_no", F.lit(0)) > 0
     fragment_notes = base.select(
         _cat(
-            F.col("_dir"), "/01_原文片段/", F.col("content_index"),
-            F.when(continued, F.format_string("__%d", F.col("part_no") + 1)).otherwise(F.lit("")), ".md",
+            F.col("_dir"), "/01_原文片段/", F.col("content_index"), _continued("part_no"), ".md",
         ).alias("path"),
         _cat(
             X.frontmatter(
@@ -152,13 +155,15 @@ def book_notes(
             F.col("text"), "\n\n## 被以下知识资产引用\n", F.coalesce("_links", F.lit("- 暂无")), "\n",
         ).alias("body"),
     )
-    # A card's own source list is one row's array.
-    ordered = card_sources.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("source_order", "content_index"))).alias("_s"))
+    # Source lists longer than one part continue in further notes.
+    ordered = card_sources.groupBy("card_id", position_block(F.col("source_order"), LINK_PART).alias("_part")).agg(
+        F.sort_array(F.collect_list(F.struct("source_order", "content_index"))).alias("_s")
+    )
     listed = live.join(ordered, "card_id", "left").join(named, "book_id")
     ids = F.transform(F.col("_s"), lambda s: s["content_index"])
     folder = F.coalesce(X.map_lookup(F.col("kind"), KIND_FOLDERS), F.lit("02_知识点"))
     card_notes = listed.select(
-        _cat(F.col("_dir"), "/", folder, "/", note_name(F.col("title"), F.col("card_id")), ".md").alias("path"),
+        _cat(F.col("_dir"), "/", folder, "/", note_name(F.col("title"), F.col("card_id")), _continued("_part"), ".md").alias("path"),
         _cat(
             X.frontmatter(
                 ("id", F.col("card_id"), "text"), ("type", F.col("kind"), "text"), ("book_id", F.col("book_id"), "text"),
@@ -216,14 +221,13 @@ def project_notes(projects: DataFrame, episodes: DataFrame, episode_cards: DataF
     outline = assemble(outline_rows, ["project_id"], ["position", "episode_id"], F.col("_l"), part=part).join(named, "project_id")
     outline_notes = outline.select(
         _cat(
-            F.col("_dir"), "/02_专辑大纲",
-            F.when(F.col("part_no") > 0, F.format_string("__%d", F.col("part_no") + 1)).otherwise(F.lit("")), ".md",
+            F.col("_dir"), "/02_专辑大纲", _continued("part_no"), ".md",
         ).alias("path"),
         F.col("text").alias("body"),
     )
     assets = (
         episode_cards.join(cards.select("card_id", "title"), "card_id")
-        .groupBy("episode_id")
+        .groupBy("episode_id", position_block(F.col("position"), LINK_PART).alias("_part"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "card_id", "title"))).alias("_a"))
     )
     label = X.map_lookup(F.col("stage"), STAGE_LABELS)
@@ -235,7 +239,7 @@ def project_notes(projects: DataFrame, episodes: DataFrame, episode_cards: DataF
     episode_notes = texts.select(
         _cat(
             F.col("_dir"), "/03_声音/", F.format_string("%02d_", F.col("position")), note_name(F.col("title"), F.col("episode_id")),
-            "/", label, ".md",
+            "/", label, _continued("_part"), ".md",
         ).alias("path"),
         _cat(
             X.frontmatter(
