@@ -188,19 +188,76 @@ def _(spark, d):
     return r.filter(F.col("first_error") == "chapter_title 不能为空").select("analysis_id")
 
 
-@query("chapters_rendered", "N11")
+def _id_sql(kind: str, body: str, ix: str) -> str:
+    return (
+        "'knowledge_' || left(sha256('{\"body\": \"' || regexp_replace(" + body + ", '\\s+', '', 'g') || '\", \"book_id\": \"b' || o_custkey || '\", \"kind\": \""
+        + kind + "\", \"sources\": [\"' || array_to_string(" + ix + ", '\", \"') || '\"]}'), 24)"
+    )
+
+
+_NL = "chr(10)"
+_ONE, _NEXT = "['content_' || l_suppkey]", "['content_' || (l_suppkey + 1)]"
+_CASE_BODY = "'s' || l_partkey || chr(10) || chr(10) || '关联：r'"
+_ARG_LINES = f"'- a' || l_partkey || {_NL} || '  - 知识资产 ID：' || {_id_sql('论据', chr(39) + 'a' + chr(39) + ' || l_partkey', _NEXT)} || {_NL} || '  - 原文索引：content_' || (l_suppkey + 1)"
+_CASE_LINES = (
+    f"'- **概述：** s' || l_partkey || {_NL} || '- **关联：** r' || {_NL} || '- **知识资产 ID：** ' || {_id_sql('案例', _CASE_BODY, _BOTH)} || {_NL} || '- **原文索引：** ' || array_to_string({_BOTH}, '、') || {_NL}"
+    f" || '- **证据原文：**' || {_NL} || '  - e （content_' || l_suppkey || '）'"
+)
+_VIEW, _DEAD = "l_returnflag = 'N' AND v0 AND has_text", "l_returnflag = 'N' AND NOT (v0 AND has_text)"
+
+
+@query(
+    "chapters_rendered", "N11",
+    f"""WITH {LINES}, ok_lines AS (SELECT *, count(*) FILTER (WHERE {_VIEW}) OVER (PARTITION BY l_orderkey ORDER BY item_no, l_returnflag ROWS UNBOUNDED PRECEDING) AS vno FROM lines WHERE NOT bad_title),
+        blocks AS (
+          SELECT l_orderkey, 0 AS g, 0 AS i, '# ' || o_orderpriority || {_NL} || '**章节主题：** ' || o_orderstatus || {_NL} || {_NL} || '## 子主题：topic ' || l_orderkey AS t FROM ok_lines JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
+          UNION ALL SELECT l_orderkey, 1, item_no, {_NL} || '### 概念定义' || {_NL} || '**知识资产 ID：** ' || {_id_sql("概念", "'def ' || l_partkey", _BOTH)} || {_NL} || '**原文索引：** ' || array_to_string({_BOTH}, '、') || {_NL} || '**d' || l_partkey || '：** def ' || l_partkey
+            FROM ok_lines WHERE l_returnflag = 'A' AND v0 AND v1
+          UNION ALL SELECT DISTINCT l_orderkey, 2, 0, {_NL} || '### 金句' FROM ok_lines WHERE l_returnflag = 'R' AND v0
+          UNION ALL SELECT l_orderkey, 3, item_no, '- q' || l_partkey || {_NL} || '  - 知识资产 ID：' || {_id_sql("金句", "'q' || l_partkey", _ONE)} || {_NL} || '  - 原文索引：content_' || l_suppkey FROM ok_lines WHERE l_returnflag = 'R' AND v0
+          UNION ALL SELECT l_orderkey, 4, item_no, {_NL} || '### 主要观点' || vno || '：v' || l_partkey || {_NL} || '**知识资产 ID：** ' || {_id_sql("观点", "'v' || l_partkey", _ONE)} || {_NL} || '**原文索引：** content_' || l_suppkey || {_NL} || '**论据：**'
+              || CASE WHEN v1 THEN {_NL} || {_ARG_LINES} ELSE '' END || CASE WHEN l_linenumber % 2 = 0 AND v1 THEN {_NL} || {_NL} || '**案例故事：**' || {_NL} || {_CASE_LINES} ELSE '' END FROM ok_lines WHERE {_VIEW}
+          UNION ALL SELECT DISTINCT l_orderkey, 5, 0, {_NL} || '### 独立保留的论据（所属观点未通过原文校验）' FROM ok_lines WHERE {_DEAD} AND v1
+          UNION ALL SELECT l_orderkey, 6, item_no, {_ARG_LINES} FROM ok_lines WHERE {_DEAD} AND v1
+          UNION ALL SELECT DISTINCT l_orderkey, 7, 0, {_NL} || '### 独立保留的案例（所属观点未通过原文校验）' FROM ok_lines WHERE {_DEAD} AND v0 AND v1 AND l_linenumber % 2 = 0
+          UNION ALL SELECT l_orderkey, 8, item_no, {_CASE_LINES} FROM ok_lines WHERE {_DEAD} AND v0 AND v1 AND l_linenumber % 2 = 0)
+        SELECT l_orderkey AS analysis_id, string_agg(t, {_NL} ORDER BY g, i) AS markdown FROM blocks GROUP BY 1""",
+)
 def _(spark, d):
     v = validated(spark, d).filter(F.col("rejected_reason").isNull())
     return v.select("analysis_id", A.render_chapter(F.col("valid"), F.col("book_id")).alias("markdown"))
 
 
-@query("chapters_compact", "N12")
+def _entry_sql(kind: str, label: str, body: str, ix: str) -> str:
+    flat = f"trim(regexp_replace({body}, '\\s+', ' ', 'g'))"
+    return f"'- [{kind}] ' || {label} || '：' || {flat} || {_NL} || '  - 知识资产 ID：' || {_id_sql(kind, body, ix)} || {_NL} || '  - 原文索引：' || array_to_string({ix}, '、')"
+
+
+@query(
+    "chapters_compact", "N12",
+    f"""WITH {LINES}, ok_lines AS (SELECT * FROM lines WHERE NOT bad_title), blocks AS (
+          SELECT l_orderkey, 0 AS g, 0 AS i, 0 AS j, '# ' || o_orderpriority || {_NL} || '**章节主题：** ' || o_orderstatus || {_NL} || {_NL} || '## 子主题：topic ' || l_orderkey AS t FROM ok_lines JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
+          UNION ALL SELECT l_orderkey, 1, item_no, 0, {_entry_sql("概念", "'d' || l_partkey", "'def ' || l_partkey", _BOTH)} FROM ok_lines WHERE l_returnflag = 'A' AND v0 AND v1
+          UNION ALL SELECT l_orderkey, 2, item_no, 0, {_entry_sql("金句", "'金句'", "'q' || l_partkey", _ONE)} FROM ok_lines WHERE l_returnflag = 'R' AND v0
+          UNION ALL SELECT l_orderkey, 3, item_no, 0, {_entry_sql("观点", "'主要观点'", "'v' || l_partkey", _ONE)} FROM ok_lines WHERE {_VIEW}
+          UNION ALL SELECT l_orderkey, 3, item_no, 1, {_entry_sql("案例", "'案例'", _CASE_BODY, _BOTH)} FROM ok_lines WHERE {_VIEW} AND v1 AND l_linenumber % 2 = 0
+          UNION ALL SELECT l_orderkey, 4, item_no, 0, {_entry_sql("案例", "'案例'", _CASE_BODY, _BOTH)} FROM ok_lines WHERE {_DEAD} AND v0 AND v1 AND l_linenumber % 2 = 0)
+        SELECT l_orderkey AS analysis_id, string_agg(t, {_NL} ORDER BY g, i, j) AS compact_markdown FROM blocks GROUP BY 1""",
+)
 def _(spark, d):
     v = cut_lineage(validated(spark, d).filter(F.col("rejected_reason").isNull()))
     return A.render_compact(v, A.derive_cards(v)).select("analysis_id", "compact_markdown")
 
 
-@query("analyses_revalidated", "N21")
+@query(
+    "analyses_revalidated", "N21",
+    f"""WITH {LINES}, t AS (
+          SELECT l_orderkey, any_value(bad_title) AS bad_title,
+            sum(CASE l_returnflag WHEN 'A' THEN (v0 AND v1)::INT WHEN 'R' THEN v0::INT ELSE (v0 AND has_text)::INT + v1::INT + (l_linenumber % 2 = 0 AND v0 AND v1)::INT END) AS good,
+            sum(CASE l_returnflag WHEN 'A' THEN (NOT (v0 AND v1))::INT WHEN 'R' THEN (NOT v0)::INT ELSE (NOT (v0 AND has_text))::INT + (NOT v1)::INT + (l_linenumber % 2 = 0)::INT END) AS bad
+          FROM lines GROUP BY 1)
+        SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'skipped' WHEN NOT bad_title AND bad = 0 AND good > 0 THEN 'upgraded' ELSE 'failed' END AS outcome, count(*) AS analyses FROM t GROUP BY 1""",
+)
 def _(spark, d):
     partial = stored(spark, d).withColumn("status", F.when(F.col("analysis_id") % 3 == 0, "succeeded").otherwise("partial"))
     published = A.derive_cards(validated(spark, d)).select("analysis_id", "card_id")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as X
-from ..operators import runs as R, structure as ST, versions as W
+from ..operators import structure as ST, versions as W
+from ..plans import planning as PL
 from ..sources import notes as N, readers as RD
 from ..streaming import jobs as JB
 from . import views as V
@@ -69,8 +74,6 @@ def scratch(spark) -> str:
     """A fresh folder below the shared checkpoint folder, or a local one in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        import uuid
-
         return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
@@ -190,3 +193,61 @@ def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
 def _(spark, d):
     out = drained(JB.stream_latest_status(event_stream(spark, d)), scratch(spark), "update")
     return out.groupBy("run_id").agg(F.max_by(F.struct("status", "events"), F.col("batch")).alias("x")).select("run_id", "x.status", "x.events")
+
+
+# Archives, files and snapshots written from the tables --------------------------------
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_epub(page: pd.Series) -> pd.Series:
+    """A two-page archive around each page, the page coming second."""
+
+    def pack(html: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b/p.opf"/></rootfiles></container>')
+            z.writestr("b/p.opf", '<package><manifest><item id="y" href="2.html"/><item id="x" href="1.html"/></manifest><spine><itemref idref="x"/><itemref idref="y"/></spine></package>')
+            z.writestr("b/1.html", "<h1>cover</h1>")
+            z.writestr("b/2.html", html)
+        return out.getvalue()
+
+    return page.map(pack)
+
+
+@query(
+    "epub_spines", "S3 U2",
+    """SELECT page_id, CAST(0 AS BIGINT) AS spine_pos, '1.html' AS href, md5('<h1>cover</h1>') AS digest FROM pages WHERE page_id % 10 <> 7
+       UNION ALL SELECT page_id, 1, '2.html', md5(html) FROM pages WHERE page_id % 10 <> 7 UNION ALL SELECT page_id, -1, NULL, NULL FROM pages WHERE page_id % 10 = 7""",
+)
+def _(spark, d):
+    broken = F.encode("html", "UTF-8")
+    files = wide_table(spark, d, "pages").select(
+        F.concat(F.col("page_id").cast("string"), F.lit(".epub")).alias("path"), F.when(F.col("page_id") % 10 == 7, broken).otherwise(packed_epub("html")).alias("content")
+    )
+    r = RD.epub_to_spine(files)
+    ident = F.substring_index("path", ".", 1).cast("bigint")
+    return r.select(ident.alias("page_id"), F.col("spine_pos").cast("bigint").alias("spine_pos"), "href", F.md5("page").alias("digest"))
+
+
+@query("album_replaced", "P18", "SELECT o_orderkey AS episode_id, o_custkey AS project_id FROM orders WHERE o_orderstatus <> 'P'")
+def _(spark, d):
+    root = scratch(spark)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").alias("project_id"), "o_orderstatus")
+    links = V.episode_cards(spark, d)
+    PL.replace_album(o, links, root, "v1")
+    PL.replace_album(o.filter("o_orderstatus <> 'P'"), links, root, "v2")
+    return PL.read_album(spark, root)[0].select("episode_id", "project_id")
+
+
+@query(
+    "library_streamed", "R8 S1 S2 C3",
+    "SELECT md5(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) AS digest FROM pages",
+)
+def _(spark, d):
+    root = scratch(spark)
+    # One text file per page, as an upload folder would hold them.
+    table(spark, d, "pages").select("page_id", F.concat(F.lit("> "), "html").alias("value")).write.partitionBy("page_id").text(f"{root}/inbox")
+    sink = lambda df, batch_id: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id:09d}")
+    JB.stream_library(spark, f"{root}/inbox", sink, f"{root}/state", availableNow=True).awaitTermination()
+    body = F.substring(F.col("content"), F.lit(3), F.length("content"))
+    return spark.read.parquet(f"{root}/out/*").select(F.md5(X.strip(body)).alias("digest"))

@@ -262,10 +262,25 @@ def _(spark, d):
     return r.select("book_id", "heading_count", "h3_count", "h4_count", F.col("footnote_markers").cast("bigint").alias("footnote_markers"), F.col("literal_newlines_restored").cast("bigint").alias("literal_newlines_restored"))
 
 
-@query("md_segments", "C6 C3")
+@query(
+    "md_segments", "C6 C3",
+    f"""WITH RECURSIVE b AS (SELECT doc_id, regexp_replace({NORM}, '^\\s+|\\s+$', '', 'g') AS body FROM documents), long AS (SELECT * FROM b WHERE length(body) > 6500),
+        paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, count(*) OVER (PARTITION BY doc_id) AS k, p FROM (
+            SELECT doc_id, generate_subscripts(ls, 1) AS i, regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') AS p FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM long)) WHERE p <> ''),
+        units AS (SELECT doc_id, no, p FROM paras WHERE k > 1
+          UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j), s FROM (
+            SELECT doc_id, generate_subscripts(ss, 1) AS j, trim(unnest(ss)) AS s FROM (SELECT doc_id, string_split(regexp_replace(p, '([。！？!?])', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM paras WHERE k = 1)) WHERE s <> ''),
+        steps AS (SELECT doc_id, no, length(p) AS size, 1 AS chunk, p FROM units WHERE no = 1
+          UNION ALL SELECT u.doc_id, u.no, CASE WHEN s.size + length(u.p) <= 2600 THEN s.size + length(u.p) ELSE length(u.p) END,
+                           CASE WHEN s.size + length(u.p) <= 2600 THEN s.chunk ELSE s.chunk + 1 END, u.p FROM steps s JOIN units u ON u.doc_id = s.doc_id AND u.no = s.no + 1)
+        SELECT CAST(doc_id AS VARCHAR) AS book_id, 'article' AS kind, CAST(1 AS BIGINT) AS position, md5(body) AS digest FROM b
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), 'theme', 0, md5('') FROM b
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), 'semantic_segment', 1000 + chunk, md5(string_agg(p, chr(10) || chr(10) ORDER BY no)) FROM steps GROUP BY doc_id, chunk""",
+)
 def _(spark, d):
-    s = ST.parse_books(V.markdown_books(wide_table(spark, d, "documents")))
-    return s.groupBy("kind").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).alias("chars"), F.max(F.length("content")).alias("longest"))
+    whole = F.concat(F.lit("# "), "source", F.lit("\n#### whole\n"), "text")
+    books = wide_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), F.lit("x.md").alias("filename"), whole.alias("text"))
+    return ST.parse_books(books).select("book_id", "kind", "position", F.md5("content").alias("digest"))
 
 
 # Section trees -----------------------------------------------------------------
