@@ -28,8 +28,9 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
     The optimizer moves filters below a projection by repeating the projected
     expressions inside them. A one-element unnest is a boundary it does not
-    cross, so the expressions are evaluated once per row.
+    cross, so the expressions are evaluated once per row. All columns travel in
+    the one element.
     """
-    held = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    out = df.select("*", F.explode_outer(held).alias("_held"))
-    return out.withColumns({n: F.col(f"_held.{n}") for n in columns}).drop("_held")
+    kept = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in columns]
+    held = F.array(F.struct(*kept, *[c.alias(n) for n, c in columns.items()]))
+    return df.select(F.explode_outer(held).alias("_held")).select("_held.*")
