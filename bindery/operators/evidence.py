@@ -177,40 +177,44 @@ def recover_module(episodes: DataFrame, modules: DataFrame) -> DataFrame:
     run_at, module_key, chapters). Per run an exact match beats containment;
     the newest run with any match decides; several equals are ambiguous.
 
-    Containment is probed through one chapter per episode, the one held by the
-    fewest modules, instead of through every chapter.
+    Equal chapter sets are reduced to one row on both sides first, so only
+    distinct sets are compared; containment is probed through one chapter per
+    set, the one held by the fewest module sets of the project.
     """
-    exploded = modules.select("project_id", "run_id", "run_at", "module_key", "chapters", F.explode(F.array_distinct("chapters")).alias("_c"))
-    spread = exploded.groupBy("project_id", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    chapter_set = F.array_sort(F.array_distinct("chapters"))
+    offered = modules.withColumn("_have", chapter_set).groupBy("project_id", "run_id", "run_at", "_have").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("module_key").alias("_key")
+    )
+    wanted = episodes.select("project_id", "episode_id", chapter_set.alias("_want"))
+    asked = wanted.select("project_id", "_want").distinct()
+    exploded = offered.select("*", F.explode("_have").alias("_c"))
+    spread = exploded.groupBy("project_id", "_c").agg(F.count(F.lit(1)).alias("_m"))
     probe = (
-        episodes.select("project_id", "episode_id", F.explode(F.array_distinct("chapters")).alias("_c"))
+        asked.select("project_id", "_want", F.explode("_want").alias("_c"))
         .join(spread, ["project_id", "_c"], "left")
-        .groupBy("project_id", "episode_id")
-        .agg(F.min_by("_c", F.struct(F.coalesce("_n", F.lit(0)), "_c")).alias("_c"))
-    )
-    wanted = probe.join(
-        episodes.select("project_id", "episode_id", F.array_distinct("chapters").alias("_want")),
-        ["project_id", "episode_id"],
+        .groupBy("project_id", "_want")
+        .agg(F.min_by("_c", F.struct(F.coalesce("_m", F.lit(0)), "_c")).alias("_c"))
     )
-    hits = wanted.join(exploded, ["project_id", "_c"]).filter(F.size(F.array_except("_want", "chapters")) == 0)
-    scored = hits.withColumn("_exact", F.size(F.array_except("chapters", "_want")) == 0)
-    per_run = scored.groupBy("episode_id", "run_id", "run_at").agg(
-        F.count_if("_exact").alias("_ne"),
-        F.count(F.lit(1)).alias("_nc"),
-        F.min(F.when(F.col("_exact"), F.col("module_key"))).alias("_ke"),
-        F.min("module_key").alias("_kc"),
+    hits = probe.join(exploded, ["project_id", "_c"]).filter(F.size(F.array_except("_want", "_have")) == 0)
+    exact = F.size("_have") == F.size("_want")
+    per_run = hits.groupBy("project_id", "_want", "run_id", "run_at").agg(
+        F.sum(F.when(exact, F.col("_n")).otherwise(0)).alias("_ne"),
+        F.sum("_n").alias("_nc"),
+        F.min(F.when(exact, F.col("_key"))).alias("_ke"),
+        F.min("_key").alias("_kc"),
     )
     chosen = F.when(F.col("_ne") > 0, F.col("_ne")).otherwise(F.col("_nc"))
     key = F.when(F.col("_ne") > 0, F.col("_ke")).otherwise(F.col("_kc"))
-    picked = per_run.select("episode_id", "run_id", "run_at", chosen.alias("_k"), key.alias("module_key"))
-    best = first_per_group(picked, ["episode_id"], F.struct("run_at", "run_id"), ["run_id", "_k", "module_key"])
-    out = best.select(
+    picked = per_run.select("project_id", "_want", "run_id", "run_at", chosen.alias("_k"), key.alias("module_key"))
+    best = first_per_group(picked, ["project_id", "_want"], F.struct("run_at", "run_id"), ["run_id", "_k", "module_key"])
+    out = wanted.join(best, ["project_id", "_want"], "left")
+    one = F.col("_k") == 1
+    return out.select(
         "episode_id",
         "run_id",
-        F.when(F.col("_k") == 1, F.col("module_key")).alias("module_key"),
-        F.when(F.col("_k") == 1, F.lit("recovered")).otherwise(F.lit("ambiguous")).alias("outcome"),
+        F.when(one, F.col("module_key")).alias("module_key"),
+        F.when(F.col("_k").isNull(), F.lit("none")).when(one, F.lit("recovered")).otherwise(F.lit("ambiguous")).alias("outcome"),
     )
-    return episodes.select("episode_id").join(out, "episode_id", "left").fillna({"outcome": "none"})
 
 
 def relationships_for(episodes: DataFrame, cards: DataFrame) -> DataFrame:
