@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import modeljson as J, text as X
+from ..functions import modeljson as J
 from ..operators import assets as A
 from ..rows import unnest
 from ..session import cut_lineage

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import anchors as A, text as X
 from ..operators import evidence as E, library as L, runs as R, sets as S, structure as ST, versions as W
-from ..ordered import position_block
 from . import views as V
 from .registry import query, table, wide_table
 

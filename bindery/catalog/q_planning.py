@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..ordered import position_block, running
+from ..ordered import running
 from ..plans import planning as P
 from ..rows import unnest
 from . import views as V

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators import evidence as E, versions as W
@@ -66,7 +66,7 @@ def _(spark, d):
     "prompt_snapshots", "M4",
     """SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'e' || (o_custkey % 25) WHEN 1 THEN 'g' || (o_custkey % 25) WHEN 2 THEN 'p' || (o_custkey % 25) END AS prompt_version_id,
               CASE o_orderkey % 4 WHEN 0 THEN 'system' WHEN 1 THEN 'global' WHEN 2 THEN 'project' END AS source_scope, CASE o_orderkey % 4 WHEN 3 THEN '锁定的提示词版本不存在' END AS error
-       FROM orders WHERE o_orderkey % 4 <> 2 OR true""",
+       FROM orders""",
 )
 def _(spark, d):
     t = (F.col("o_custkey") % 25).cast("int")

@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from . import views as V
 from .q_text import FLAT, NORM, T
 from ..rows import unnest
-from .registry import query, table, wide_table
+from .registry import query, wide_table
 
 # Atoms of a document in SQL: lines; long ones as sentences; long sentences cut.
 ATOMS = """paras AS (
@@ -445,9 +445,6 @@ def _(spark, d):
     return wide_table(spark, d, "documents").select("doc_id", F.array_join(titles, " / ").alias("children"))
 
 
-NARRATIVE_LINES = ("lang", "source")
-
-
 def narrative(df: DataFrame) -> DataFrame:
     n = F.col("doc_id").cast("string")
     line = F.btrim(X.excerpt(F.replace("text", F.lit("#"), F.lit("")), 60))

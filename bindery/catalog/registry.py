@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import ship_code, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,7 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
             return fn(tune(spark), sf_dir)
 
         REGISTRY[name] = Query(name, tuple(covers.split()), run, sql)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..ordered import first_per_group, position_block, running
+from ..ordered import first_per_group, running
 
 STAGES = ("outline", "draft", "final")
 

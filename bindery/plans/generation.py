@@ -165,8 +165,6 @@ def produce_episodes(episodes: DataFrame, stages: dict[str, Callable[[DataFrame,
     (request_id = episode_id, prompt_id, source). Returns (new artifacts,
     failures); an episode stops at its first error, the others go on.
     """
-    from ..operators.versions import latest_artifact
-
     healthy, failures, made = episodes, None, None
     so_far = artifacts.select("episode_id", "stage", F.col("version").cast("bigint").alias("version"), "content")
     for stage, build in stages.items():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = pathlib.Path(__file__).resolve().parents[1]
+        target = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / "bindery"
+        context.addPyFile(shutil.make_archive(str(target), "zip", root_dir=str(root), base_dir="bindery"))
+        _SHIPPED.add(context.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` reliably in the cluster's shared checkpoint folder.
 

@@ -8,10 +8,6 @@ from bindery.ordered import assemble, position_block, running
 EVENT = "run_id string, ts timestamp, seq bigint, status string"
 
 
-def stamp(i):
-    return f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00"
-
-
 def events(spark, *histories):
     rows = [(f"r{k}", i, s) for k, h in enumerate(histories) for i, s in enumerate(h)]
     df = spark.createDataFrame(rows, "run_id string, seq bigint, status string")
