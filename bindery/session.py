@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import pathlib
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,15 +59,32 @@ def ship_code(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor and the driver can read and write.
+
+    It is the one the session names in ``spark.checkpoint.dir``. Where none is
+    named, a single-process session (tests, bench) gets a fresh folder of its
+    own; a session with executors elsewhere is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return str(folder).rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably in the cluster's shared checkpoint folder.
+    """Materialise `df` as a table in the shared folder and read it back.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it is; only where
-    none is configured (unit tests) is a fresh local folder chosen.
+    Later steps start from files that outlive any executor.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
