@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_code, tune
-from . import exact_dedup
+from . import bpe, exact_dedup, pack
 
 
 @dataclass(frozen=True)
@@ -35,3 +35,20 @@ def add(name: str, sql: str | None = None):
 @add("op9_exact_dedup", exact_dedup.SQL)
 def op9(spark, read):
     return exact_dedup.exact_groups(read("documents"), hash_all=True)
+
+
+def vocabulary() -> str:
+    """The public byte-level vocabulary of this installation; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@add("op2_bpe_round_trip")
+def op2(spark, read):
+    return bpe.round_trip_digests(read("documents"), vocabulary())
+
+
+@add("op4_packing")
+def op4(spark, read):
+    return pack.pack_documents(read("documents"), vocabulary())
