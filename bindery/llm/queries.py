@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_code, tune
-from . import bpe, exact_dedup, pack
+from . import bpe, exact_dedup, ngram_join, pack
 
 
 @dataclass(frozen=True)
@@ -52,3 +52,8 @@ def op2(spark, read):
 @add("op4_packing")
 def op4(spark, read):
     return pack.pack_documents(read("documents"), vocabulary())
+
+
+@add("op8_ngram_jaccard_join")
+def op8(spark, read):
+    return ngram_join.join_components(read("documents"))
