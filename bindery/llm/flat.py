@@ -57,10 +57,10 @@ def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs free of white space), and the first word of each text (n + 1 values)."""
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs free of `gap` bytes), and the first word of each text (n + 1 values)."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     end = inside.copy()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, tune
-from . import bpe, exact_dedup, ngram_join, pack
+from . import bpe, exact_dedup, ngram_join, pack, toxicity
 
 
 @dataclass(frozen=True)
@@ -57,3 +57,10 @@ def op4(spark, read):
 @add("op8_ngram_jaccard_join")
 def op8(spark, read):
     return ngram_join.join_components(read("documents"))
+
+
+@add("op1_toxicity")
+def op1(spark, read):
+    scored = toxicity.score(read("documents"), toxicity.train(read("documents"), read("labels")))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("toxic").alias("toxic_by_language"))
