@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, tune
-from . import bpe, exact_dedup, ngram_join, pack, toxicity
+from . import bpe, exact_dedup, ngram_join, pack, pii, toxicity
 
 
 @dataclass(frozen=True)
@@ -64,3 +64,11 @@ def op1(spark, read):
     scored = toxicity.score(read("documents"), toxicity.train(read("documents"), read("labels")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("toxic").alias("toxic_by_language"))
+
+
+@add("op10_pii")
+def op10(spark, read):
+    found = pii.find(read("documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [count(i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listing(F.col("spans")), 256).alias("base_sha256"), pii.listing(F.concat("spans", "more")).alias("spans"), F.size("more").cast("bigint").alias("n_found_by_context"))
