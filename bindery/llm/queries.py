@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, tune
-from . import bpe, exact_dedup, ngram_join, pack, pii, toxicity
+from . import ann, bpe, exact_dedup, ngram_join, pack, pii, toxicity
 
 
 @dataclass(frozen=True)
@@ -72,3 +72,8 @@ def op10(spark, read):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     counts = [count(i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listing(F.col("spans")), 256).alias("base_sha256"), pii.listing(F.concat("spans", "more")).alias("spans"), F.size("more").cast("bigint").alias("n_found_by_context"))
+
+
+@add("op6_nearest_vectors")
+def op6(spark, read):
+    return ann.nearest(read("embeddings"), F.col("vec_id") % 50 == 0)
