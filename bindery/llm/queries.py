@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, tune
-from . import ann, bpe, exact_dedup, ngram_join, pack, pii, toxicity
+from . import ann, bpe, exact_dedup, ngram_join, pack, pii, quotes, token_counts, toxicity, warc
 
 
 @dataclass(frozen=True)
@@ -77,3 +77,22 @@ def op10(spark, read):
 @add("op6_nearest_vectors")
 def op6(spark, read):
     return ann.nearest(read("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@add("op3_warc_derivatives")
+def op3(spark, read):
+    return warc.derive(warc.responses(read("pages")))
+
+
+@add("op5_token_counts")
+def op5(spark, read):
+    # The first identifier behind the vocabulary: no text can hold it.
+    return token_counts.counts_of_documents(read("documents"), vocabulary(), 50257)
+
+
+@add("op7_quote_linking", quotes.SQL)
+def op7(spark, read):
+    found = quotes.conversations(quotes.mails(read("conversations")))
+    digest = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
+    path = F.array_join(F.col("path").cast("array<string>"), "/")
+    return found.select(F.col("scope").alias("conv_id"), F.col("position").alias("turn"), "parent_id", "root_id", F.col("depth").cast("bigint").alias("depth"), path.alias("reply_path"), digest.alias("text_sha256"))
