@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from .rows import write_counted
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    return write_counted(edges, sum=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges do not appear. Each round writes a table; only a count and a
     checksum of it reach the driver.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    edges, mark = _written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while mark["rows"]:
         # Every node hands its larger neighbours to the smallest one.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -28,8 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Then every node ties its smaller neighbours, and itself, to the smallest.
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         tied = large.join(least, F.col("b") == F.col("u")).select(F.col("m").alias("x"), F.explode(F.array("a", "u")).alias("y"))
-        edges = cut_lineage(tied.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        after = _mark(edges)
+        edges, after = _written(tied.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         if after == mark:
             break
         mark = after

@@ -4,7 +4,10 @@ Documents with the same set form a class, and classes are what is joined. All
 sets are read in one global order of n-grams, rare first, so two sets over the
 threshold share one of their first few n-grams (the prefix). Candidates come
 from a join on prefix n-grams and pass a length, a positional and a suffix
-filter; what is left is verified on whole sets, once per pair.
+filter; what is left is verified on whole sets, once per pair. The suffix
+filter bounds the distance of two sets from below: n-grams fall into hash bins,
+and a bin with an odd number of them in one set and an even number in the
+other holds at least one in which they differ.
 
 The order is: n-grams of a hashed universe (a fixed share of all n-grams) by
 frequency, then the others by frequency. Frequencies of the universe are
@@ -14,32 +17,32 @@ n-grams; those send all of theirs. N-grams of a single class cannot join
 anything: they are only counted.
 
 Only components are asked for, so a pair whose classes are known to be
-connected need not be looked at. Rounds in which every posting list meets one
-of its members connect the bulk of large groups of near copies; then every
-pair still in different components is compared. No list is cut and no pair in
-different components is left out.
+connected need not be looked at. First every posting list meets a few of its
+own members, the same in all lists they lead, which connects the bulk of large
+groups of near copies; then every pair still in different components is
+compared. No list is cut and no pair in different components is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .flat import bounds, mix
 from .graph import components
-from .rows import mark_members
+from .rows import mark_members, write_counted
 from .shingles import WORDS, shingle_sets
 
 #: Jaccard threshold as a ratio of whole numbers.
 THRESHOLD = (4, 5)
 #: Share of n-grams, by hash, that come first in the global order.
 UNIVERSE = 0.4
-#: Rounds in which posting lists meet one member only.
-PIVOT_ROUNDS = 3
-#: Hash classes whose sizes the suffix filter compares.
-SUFFIX_BINS = 64
+#: Members of a posting list that all of it meets first.
+PIVOTS = 16
+#: Hash bins whose parities the suffix filter compares, 64 to a number.
+PARITY_WORDS = 8
 
 
 def _prefix(n, threshold):
@@ -60,16 +63,27 @@ def _class_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity of every hash bin of each set, packed (sets, PARITY_WORDS)."""
+    sets, bins = len(offsets) - 1, 64 * PARITY_WORDS
+    cell = np.repeat(np.arange(sets), np.diff(offsets)) * bins + (values % np.uint64(bins)).astype(np.int64)
+    odd = np.bincount(cell, minlength=sets * bins) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(sets, bins), axis=1).view(np.int64)
+
+
+_PARITY = [f"s{i}" for i in range(PARITY_WORDS)]
+
+
 def classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, c): the set size and the key of the set of each document."""
+    """(doc_id, n_shingles, c, s0, ...): size, key and bin parities of the set of each document."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, values, offsets in shingle_sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(_class_keys(values, offsets).view(np.int64))], ["doc_id", "n_shingles", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(_class_keys(values, offsets).view(np.int64)), *map(pa.array, np.ascontiguousarray(_parities(values, offsets).T))], ["doc_id", "n_shingles", "c", *_PARITY])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, c bigint")
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, c bigint, " + ", ".join(f"{x} bigint" for x in _PARITY))
 
 
 def _in_universe(values: np.ndarray, universe: float) -> np.ndarray:
@@ -77,7 +91,7 @@ def _in_universe(values: np.ndarray, universe: float) -> np.ndarray:
 
 
 def _grams(docs: DataFrame, size: int, threshold, universe: float, text: str) -> DataFrame:
-    """(h, c, n, u, late): the n-grams that each class sends, once per task; u: how many lie in the universe."""
+    """(h, c, nu): the n-grams that each class sends, once per task; nu: set size << 32 | how many lie in the universe."""
 
     def run(batches):
         seen = np.zeros(0, np.uint64)
@@ -95,30 +109,36 @@ def _grams(docs: DataFrame, size: int, threshold, universe: float, text: str) ->
                 u = np.bincount(row[inside], minlength=len(n))
                 send = fresh[row] & (inside | (u < _prefix(n, threshold))[row])
                 row = row[send]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[send].view(np.int64)), pa.array(key[row].view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(u[row].astype(np.int32)), pa.array(~inside[send])],
-                    ["h", "c", "n", "u", "late"],
-                )
+                packed = (n << 32 | u)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(values[send].view(np.int64)), pa.array(key[row].view(np.int64)), pa.array(packed)], ["h", "c", "nu"])
 
-    return docs.selectExpr(f"`{text}` AS text").mapInArrow(run, "h bigint, c bigint, n int, u int, late boolean")
+    return docs.selectExpr(f"`{text}` AS text").mapInArrow(run, "h bigint, c bigint, nu bigint")
 
 
 def postings(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, universe: float = UNIVERSE, text: str = "text") -> DataFrame:
     """(h, c, n, pos): the prefix n-grams that two classes or more send, with their place in the class's ordered set."""
-    sent = _grams(docs, size, threshold, universe, text).repartition("h")
-    shared = sent.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "df")
-    rows = sent.join(shared, "h").groupBy("c", "n", "u").agg(F.sort_array(F.collect_set(F.struct("late", "df", "h"))).alias("g"))
-    early = F.size(F.filter("g", lambda x: ~x["late"]))
-    placed = rows.select("c", "n", "u", F.size("g").alias("m"), early.alias("e"), F.posexplode("g").alias("i", "x"))
-    pos = F.when(F.col("x.late"), F.expr("n - m + i")).otherwise(F.expr("u - e + i"))
+    sent = _grams(docs, size, threshold, universe, text)
+    gram = Window.partitionBy("h")
+    rows = sent.withColumns({"df": F.count(F.lit(1)).over(gram), "lo": F.min("c").over(gram), "hi": F.max("c").over(gram)}).where("lo <> hi")
+    late = F.shiftrightunsigned("h", 11) >= F.lit(int(universe * (1 << 53)))
+    rows = rows.select("h", "c", "nu", "df", late.alias("late")).dropDuplicates(["h", "c"])
+    own = Window.partitionBy("c", "nu")
+    placed = rows.withColumns({"i": F.row_number().over(own.orderBy("late", "df", "h")), "m": F.count(F.lit(1)).over(own), "e": F.count(F.when(~F.col("late"), 1)).over(own)})
+    placed = placed.selectExpr("h", "c", "cast(shiftright(nu, 32) AS int) AS n", "cast(nu & 4294967295 AS int) AS u", "i", "m", "e", "late")
     num, den = threshold
-    return placed.select(F.col("x.h").alias("h"), "c", "n", pos.alias("pos")).where(f"pos < n - cast(floor((n * {num} + {den - 1}) / {den}) as int) + 1")
+    # N-grams of no other class come first in their part of the order.
+    placed = placed.selectExpr("h", "c", "n", "cast(if(late, n - m, u - e) + i - 1 AS int) AS pos")
+    return placed.where(f"pos < n - cast(floor((n * {num} + {den - 1}) / {den}) AS int) + 1")
 
 
 def _close(threshold) -> str:
-    """Length and positional filter of a candidate (c, n, pos) and (c2, n2, pos2)."""
+    """Length, positional and suffix filter of a candidate (c, n, pos, ...) and (c2, n2, pos2, ...)."""
     num, den = threshold
-    return f"{den} * least(n, n2) >= {num} * greatest(n, n2) AND {num + den} * (1 + least(n - pos - 1, n2 - pos2 - 1)) >= {num} * (n + n2)"
+    apart = " + ".join(f"bit_count({x} ^ {x}2)" for x in _PARITY)
+    return (
+        f"{den} * least(n, n2) >= {num} * greatest(n, n2) AND {num + den} * (1 + least(n - pos - 1, n2 - pos2 - 1)) >= {num} * (n + n2)"
+        f" AND {num + den} * ({apart}) <= {den - num} * (n + n2)"
+    )
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
@@ -141,17 +161,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, th
     """The pairs (c, n, c2, n2) whose whole sets reach the threshold, as (c, c2)."""
     num, den = threshold
 
-    def bins(batches):
-        """Sizes of the hash classes of each set."""
-        for batch in batches:
-            raw = batch.column(2)
-            at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-            values = np.frombuffer(raw.buffers()[2], np.uint64, (at[-1] - at[0]) // 8, at[0])
-            n = np.diff(at) // 8
-            cell = np.repeat(np.arange(len(n)), n) * SUFFIX_BINS + (values % np.uint64(SUFFIX_BINS)).astype(np.int64)
-            counts = np.bincount(cell, minlength=len(n) * SUFFIX_BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SUFFIX_BINS), pa.array(counts))], ["c", "n", "bins"])
-
     def compare(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -168,17 +177,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, th
     ends = pairs.select("c", "n").union(pairs.select("c2", "n2")).distinct()
     wanted = members.join(ends, ["c", "n"], "left_semi")
     sets = cut_lineage(_sets(docs, wanted, size, id_col, text))
-    # Suffix filter: no more can be shared than the smaller part of every hash class.
-    sizes = sets.mapInArrow(bins, "c bigint, n int, bins array<int>")
-    left, right = (t.selectExpr(f"c AS c{k}", f"n AS n{k}", f"bins AS bins{k}") for t, k in ((sizes, ""), (sizes, "2")))
-    most = F.aggregate(F.zip_with("bins", "bins2", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    near = pairs.join(left, ["c", "n"]).join(right, ["c2", "n2"]).where((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("c", "n", "c2", "n2")
     left, right = (sets.selectExpr(f"c AS c{k}", f"n AS n{k}", f"hashes AS s{k}") for k in ("", "2"))
-    both = near.join(left, ["c", "n"]).join(right, ["c2", "n2"]).select("c", "n", "c2", "n2", "s", "s2")
+    both = pairs.join(left, ["c", "n"]).join(right, ["c2", "n2"]).select("c", "n", "c2", "n2", "s", "s2")
     return both.mapInArrow(compare, "c bigint, c2 bigint")
 
 
-def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, universe: float = UNIVERSE, pivot_rounds: int = PIVOT_ROUNDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, universe: float = UNIVERSE, pivots: int = PIVOTS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, with the smallest id reachable over links.
 
     Two documents link when their sets' Jaccard similarity reaches the
@@ -188,50 +192,37 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
     table gives no rows.
     """
     known = cut_lineage(classes(docs, size, id_col, text))
-    members = cut_lineage(known.where("n_shingles > 0").groupBy("c", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("doc_id")))
-    lists = cut_lineage(postings(docs, size, threshold, universe, text))
-    root = None  # (c, root) of classes connected so far
+    members = cut_lineage(known.where("n_shingles > 0").groupBy("c", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("doc_id"), *[F.min(x).alias(x) for x in _PARITY]))
+    lists = cut_lineage(postings(docs, size, threshold, universe, text).join(members.drop("doc_id"), ["c", "n"]))
+    place = ["c", "n", "pos", *_PARITY]
 
-    def labelled() -> DataFrame:
-        rows = lists.withColumn("root", F.col("c")) if root is None else lists.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-        return rows.join(mixed, "h", "left_semi")
+    def candidates(met: DataFrame) -> tuple[DataFrame, int]:
+        swap = "c > c2"
+        pairs = met.selectExpr("least(c, c2) AS c", f"if({swap}, n2, n) AS n", "greatest(c, c2) AS c2", f"if({swap}, n, n2) AS n2")
+        table, seen = write_counted(pairs.distinct())
+        return table, seen["rows"]
 
-    def connect(pairs: DataFrame) -> None:
-        nonlocal root
-        linked = _verify(pairs, docs, members, size, threshold, id_col, text)
-        if root is not None:
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs, docs, members, size, threshold, id_col, text)
+
+    root = None  # (c, root) of classes connected so far
+    leads = [F.min_by(F.struct(*place), F.xxhash64("c", F.lit(i))) for i in range(pivots)]
+    lead = lists.groupBy("h").agg(F.array_distinct(F.array(*leads)).alias("p")).select("h", F.explode("p").alias("p"))
+    met = lists.join(lead.selectExpr("h", *[f"p.{x} AS {x}2" for x in place]), "h").where("c <> c2")
+    tested, count = candidates(met.where(_close(threshold)))
+    if count:
+        root = cut_lineage(components(linked(tested).toDF("a", "b")).withColumnRenamed("node", "c"))
+        rows = lists.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        rows = cut_lineage(rows.join(mixed, "h", "left_semi"))
+        met = rows.join(rows.selectExpr("h", *[f"{x} AS {x}2" for x in [*place, "root"]]), "h").where("c < c2 AND root <> root2")
+        rest, count = candidates(met.where(_close(threshold)).join(tested.select("c", "c2"), ["c", "c2"], "left_anti"))
+        if count:
             a, b = root.selectExpr("c", "root AS a"), root.selectExpr("c AS c2", "root AS b")
-            linked = linked.join(a, "c", "left").join(b, "c2", "left").select(F.coalesce("a", "c").alias("c"), F.coalesce("b", "c2").alias("c2"))
-        joined = components(linked.toDF("a", "b"))
-        if root is not None:
-            moved = joined.selectExpr("node", "root AS top")
+            more = linked(rest).join(a, "c", "left").join(b, "c2", "left").select(F.coalesce("a", "c").alias("a"), F.coalesce("b", "c2").alias("b"))
+            moved = cut_lineage(components(more).withColumnRenamed("root", "top"))
             old = root.join(moved, F.col("root") == F.col("node"), "left").select("c", F.coalesce("top", "root").alias("root"))
-            new = joined.selectExpr("node AS c", "root").join(root, "c", "left_anti")
-            joined = old.union(new)
-        else:
-            joined = joined.selectExpr("node AS c", "root")
-        root = cut_lineage(joined)
-
-    tested = None
-    for turn in range(pivot_rounds + 1):
-        rows = cut_lineage(labelled())
-        if turn < pivot_rounds:
-            # One member of each list, the same in all lists it leads.
-            lead = rows.groupBy("h").agg(F.min_by(F.struct("c", "n", "pos", "root"), F.xxhash64("c", F.lit(turn))).alias("p"))
-            met = rows.join(lead, "h").selectExpr("c", "n", "pos", "root", "p.c AS c2", "p.n AS n2", "p.pos AS pos2", "p.root AS root2").where("c <> c2")
-        else:
-            met = rows.join(rows.selectExpr("h", "c AS c2", "n AS n2", "pos AS pos2", "root AS root2"), "h").where("c < c2")
-        met = met.where("root <> root2").where(_close(threshold))
-        swap = "c > c2"
-        met = met.selectExpr("least(c, c2) AS c", f"if({swap}, n2, n) AS n", "greatest(c, c2) AS c2", f"if({swap}, n, n2) AS n2").distinct()
-        if tested is not None:
-            met = met.join(tested, ["c", "c2"], "left_anti")
-        met = cut_lineage(met)
-        done = met.select("c", "c2")
-        tested = done if tested is None else tested.union(done)
-        if not met.isEmpty():
-            connect(met)
+            root = old.union(moved.select(F.col("node").alias("c"), F.col("top").alias("root")).join(root, "c", "left_anti"))
     label = members.select("c", "n", "doc_id") if root is None else members.join(root, "c", "left")
     label = label.withColumn("root", F.coalesce("root", "c")) if root is not None else label.withColumn("root", F.col("c"))
     # The class with its set size names the component of classes that link nothing.
@@ -239,3 +230,18 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
     named = label.join(top, "root").select(F.col("c").alias("k"), F.col("n").alias("kn"), "component_id")
     full = known.where("n_shingles > 0").join(named, (F.col("c") == F.col("k")) & (F.col("n_shingles") == F.col("kn")), "left").select("doc_id", "n_shingles", "component_id")
     return full.union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """`docs` with one document of each component of `join_components`: the one whose id names it.
+
+    Rows are decided by id: rows of an id that names a component all stay, so
+    no text is lost where an id repeats. Other columns are unchanged, and only
+    rows that may go are shuffled.
+    """
+    found = cut_lineage(join_components(docs, id_col=id_col, text=text, **settings).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
+    gone = found.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays").select("doc_id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    rows = mark_members(rows, F.col("id"), gone, F.col("doc_id"), "_gone")
+    left = rows.where("_gone").join(gone, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti")
+    return rows.where("NOT _gone").select("row").unionByName(left.select("row")).select("row.*")

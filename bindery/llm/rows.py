@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+
+from ..session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,3 +38,10 @@ def mark_members(df: DataFrame, key: Column, members: DataFrame, member_key: Col
     hit = F.col("_map").isNotNull() & (F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
     joined = placed.join(F.broadcast(maps), "_bucket", "left")
     return joined.select(*[F.col(c) for c in df.columns], F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def write_counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """`df` as a table in the shared folder, and aggregates over it taken while it is written."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]))
+    return table, seen.get
