@@ -34,7 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Something like an identifier: a word with a digit or @, and digit groups behind it.
-_WORD = re.compile(r"[^\s\",;:'<>|]+(?: [0-9()+.-]*[0-9][0-9()+.-]*)*")
+_WORD = re.compile(r"(?<![^\s\",;:'<>|])(?=[^\s\",;:'<>|]*[0-9@])[^\s\",;:'<>|]+(?: [0-9()+.-]*[0-9][0-9()+.-]*)*")
 _MARK = re.compile(r"[0-9@]")
 _TRIM = ".!?*%#$&=()[]{}"
 _SHAPES = str.maketrans({**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")})

@@ -37,7 +37,7 @@ _NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 def page_text(page: str) -> str:
     """Visible text, a line per block."""
-    page = _DROPPED.sub(" ", page)
+    page = _DROPPED.sub("", page)
     page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", page)))
     lines = (x.strip() for x in _BLANKS.sub(" ", html.unescape(page)).split("\n"))
     return "\n".join(x for x in lines if x)
