@@ -256,7 +256,7 @@ def _(spark, d):
         ls AS (SELECT root_id, position AS p, 0 AS q, repeat('#', level) || ' ' || title AS t FROM tree JOIN walk USING (section_id) WHERE status = 'confirmed'
           UNION ALL SELECT root_id, position, 1, '[content_index: content_' || section_id || ']' || chr(10) || '[章节路径: ' || path || ']' || chr(10) || trim(content) || chr(10)
           FROM tree JOIN walk USING (section_id) WHERE status = 'confirmed' AND level = 4)
-        SELECT root_id, CAST(p // 1024 AS BIGINT) AS part_no, md5(regexp_replace(string_agg(t, chr(10) ORDER BY p, q), '^\\s+|\\s+$', '', 'g')) AS digest FROM ls GROUP BY ALL""",
+        SELECT root_id, md5(regexp_replace(string_agg(t, chr(10) ORDER BY p, q), '^\\s+|\\s+$', '', 'g')) AS digest FROM ls GROUP BY ALL""",
 )
 def _(spark, d):
     sections = V.tree(spark, d)
@@ -265,7 +265,7 @@ def _(spark, d):
         "book_id", F.col("section_id").alias("source_section_id"), F.concat(F.lit("content_"), "section_id").alias("content_index"), F.lit(1).alias("book_position"),
         "section_path", F.trim("content").alias("text"),
     )
-    return E.chapter_source(sections, lines, frags).select("root_id", "part_no", F.md5("text").alias("digest"))
+    return E.chapter_source(sections, lines, frags).select("root_id", F.md5("text").alias("digest"))
 
 
 @query(

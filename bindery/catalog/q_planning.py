@@ -181,11 +181,11 @@ def _(spark, d):
 
 @query(
     "catalog_rendered", "P2",
-    f"""WITH {CATALOG} SELECT book_id, position // 4096 AS part_no, md5(string_agg('[' || chapter_key || '] ' || title || chr(10) || '章节主题：' || theme || coalesce(chr(10) || '子主题：' || subs, '') || coalesce(chr(10) || '主要观点：' || points, ''), chr(10) || chr(10) ORDER BY position)) AS digest
+    f"""WITH {CATALOG} SELECT book_id, md5(string_agg('[' || chapter_key || '] ' || title || chr(10) || '章节主题：' || theme || coalesce(chr(10) || '子主题：' || subs, '') || coalesce(chr(10) || '主要观点：' || points, ''), chr(10) || chr(10) ORDER BY position)) AS digest
         FROM entries GROUP BY ALL""",
 )
 def _(spark, d):
-    return P.render_catalog(catalog(spark, d), points=True).select("book_id", "part_no", F.md5("text").alias("digest"))
+    return P.render_catalog(catalog(spark, d), points=True).select("book_id", F.md5("text").alias("digest"))
 
 
 @query(

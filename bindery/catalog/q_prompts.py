@@ -132,14 +132,14 @@ def _(spark, d):
     f"""WITH {V.EVIDENCE_CTES}, cur AS (SELECT * FROM members WHERE set_id IN (SELECT set_id FROM sets WHERE status = 'current')),
           c AS (SELECT w.content_index AS episode_id, card_id, min(c.book_position) AS fp FROM members w JOIN cur c ON c.section_id = w.section_id JOIN card_sources s ON s.content_index = c.content_index
                 JOIN cards USING (card_id) WHERE status = 'active' AND source_scheme = 'paragraph_evidence_v1' GROUP BY ALL)
-        SELECT episode_id, fp // 4096 AS part_no, md5(string_agg('[' || card_id || '] ' || kind || ' · ' || title || chr(10) || left(trim(body), 320), chr(10) || chr(10) ORDER BY fp, card_id)) AS digest FROM c JOIN cards USING (card_id) GROUP BY ALL""",
+        SELECT episode_id, md5(string_agg('[' || card_id || '] ' || kind || ' · ' || title || chr(10) || left(trim(body), 320), chr(10) || chr(10) ORDER BY fp, card_id)) AS digest FROM c JOIN cards USING (card_id) GROUP BY ALL""",
 )
 def _(spark, d):
     by_section = lambda df: df.withColumn("root_section_id", F.col("section_id"))
     episodes = V.members(spark, d).select(F.col("content_index").alias("episode_id"), F.array("section_id").alias("source_section_ids"))
     cards = V.cards(spark, d)
     c = E.episode_candidates(episodes, cards, V.card_sources(spark, d), by_section(current(spark, d)))
-    return P.source_match_prompt(c, cards).select("episode_id", "part_no", F.md5("text").alias("digest"))
+    return P.source_match_prompt(c, cards).select("episode_id", F.md5("text").alias("digest"))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import text as X
 from ..operators import structure as ST, versions as W
 from ..plans import planning as PL
+from ..session import shared_folder
 from ..sources import notes as N, readers as RD
 from ..streaming import jobs as JB
 from . import views as V
@@ -71,11 +71,8 @@ def _(spark, d):
 
 
 def scratch(spark) -> str:
-    """A fresh folder below the shared checkpoint folder, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder below the one that driver and executors share."""
+    return f"{shared_folder(spark)}/bindery-{uuid.uuid4().hex}"
 
 
 def album_frames(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,10 +90,10 @@ def album_frames(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
          SELECT c_custkey AS project_id, -1 AS position, '# a ' || c_name || chr(10) || CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN chr(10) || '> 当前专辑尚未创建声音。' || chr(10) ELSE '' END AS t FROM customer
          UNION ALL SELECT o_custkey, o_orderkey, '## 第 ' || CASE WHEN o_orderkey < 10 THEN '0' ELSE '' END || o_orderkey || ' 集：' || CASE WHEN o_orderkey % 6 = 0 THEN '未命名声音' ELSE o_orderpriority END || chr(10) || chr(10)
            || CASE WHEN o_orderstatus = 'P' THEN '> 本集终稿尚未生成' ELSE o_orderstatus || ' text' END || chr(10) FROM orders)
-       SELECT project_id, greatest(position // 1024, 0) AS part_no, md5(rtrim(string_agg(t, chr(10) ORDER BY position), ' ' || chr(10)) || chr(10)) AS digest FROM l WHERE position >= -1 GROUP BY 1, 2""",
+       SELECT project_id, md5(rtrim(string_agg(t, chr(10) ORDER BY position), ' ' || chr(10)) || chr(10)) AS digest FROM l GROUP BY 1""",
 )
 def _(spark, d):
-    return N.export_album(*album_frames(spark, d)).select("project_id", F.col("part_no").cast("bigint").alias("part_no"), F.md5("text").alias("digest"))
+    return N.export_album(*album_frames(spark, d)).select("project_id", F.md5("text").alias("digest"))
 
 
 @query("book_notes", "S11 J17 T17 T22")

@@ -59,10 +59,10 @@ def direct_evidence(episode_cards: DataFrame, card_sources: DataFrame, members:
     """
     cited = episode_cards.join(card_sources, "card_id").join(members, "content_index")
     place = [c for c in members.columns if c != "content_index"]
-    return cited.groupBy("episode_id", "content_index").agg(
-        F.min_by("card_id", F.struct("position", "card_id", "source_order")).alias("card_id"),
-        *[F.first(c).alias(c) for c in place],
-    )
+    # One row decides the card and the place together.
+    first = F.min(F.struct("position", "card_id", "source_order", *place)).alias("_row")
+    best = cited.groupBy("episode_id", "content_index").agg(first)
+    return best.select("episode_id", "content_index", *[F.col(f"_row.{c}").alias(c) for c in ["card_id", *place]])
 
 
 def cards_without_evidence(episode_cards: DataFrame, card_sources: DataFrame, members: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def auxiliary_context(direct: DataFrame, members: DataFrame, section: str, reach
     )
     near = wanted.join(members, ["set_id", section, "book_position"])
     place = [c for c in members.columns if c not in ("content_index",)]
-    found = near.groupBy("episode_id", "content_index").agg(F.max("_direct").alias("_direct"), *[F.first(c).alias(c) for c in place])
-    return found.filter(~F.col("_direct")).drop("_direct")
+    found = near.groupBy("episode_id", "content_index").agg(F.max("_direct").alias("_direct"), F.min(F.struct(*place)).alias("_row"))
+    return found.filter(~F.col("_direct")).select("episode_id", "content_index", *[F.col(f"_row.{c}").alias(c) for c in place])
 
 
 def bundle_text(kind: str, header: Column, path: Column, body: Column) -> Column:
@@ -98,15 +98,19 @@ def bundle_text(kind: str, header: Column, path: Column, body: Column) -> Column
 
 
 def previous_final(episodes: DataFrame, finals: DataFrame, block: Column | None = None) -> DataFrame:
-    """As-of join: each episode with the newest final of the nearest earlier one.
+    """As-of join: each episode with the newest final of the nearest smaller position.
 
-    `finals` holds one row per episode (see versions.latest_artifact).
+    `finals` holds one row per episode (see versions.latest_artifact). Of
+    episodes at one position the last one with a final counts; they do not see
+    each other.
     """
     block = position_block(F.col("position")) if block is None else block
     joined = episodes.join(finals.select("episode_id", F.col("content").alias("_final")), "episode_id", "left")
-    return running(
-        joined, ["project_id"], ["position", "episode_id"], block, before={"previous_final": F.col("_final")}
-    ).drop("_final")
+    last = F.max_by("_final", F.when(F.col("_final").isNotNull(), F.col("episode_id"))).alias("_final")
+    places = joined.groupBy("project_id", "position").agg(last)
+    seen = running(places, ["project_id"], ["position"], block, before={"previous_final": F.col("_final")}).drop("_final")
+    same = [F.col(f"_s.{c}").eqNullSafe(F.col(f"_e.{c}")) for c in ("project_id", "position")]
+    return episodes.alias("_e").join(seen.alias("_s"), same, "left").select("_e.*", "_s.previous_final")
 
 
 def episode_candidates(
@@ -235,7 +239,7 @@ def orphan_refs(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return refs.join(known.select(key), key, "left_anti")
 
 
-def chapter_source(sections: DataFrame, lines: DataFrame, fragments: DataFrame, part_sections: int = 1024) -> DataFrame:
+def chapter_source(sections: DataFrame, lines: DataFrame, fragments: DataFrame) -> DataFrame:
     """Prompt source of every root: headings and indexed fragments in reading order.
 
     sections need book_id, section_id, level, position, title, status;
@@ -261,7 +265,6 @@ def chapter_source(sections: DataFrame, lines: DataFrame, fragments: DataFrame,
         ["book_id", "root_id"],
         ["_p", "_q"],
         F.col("_t"),
-        part=position_block(F.col("_p"), part_sections),
     )
     return out.withColumn("text", X.strip(F.col("text")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import packing, text as X
 from ..ordered import position_block, running
 from ..rows import unnest
+from ..session import cut_lineage
 
 HEADING = r"(?Ud)^(#{1,6})\s+(.+?)\s*$"
 
@@ -203,13 +204,15 @@ def heading_parent(sections: DataFrame) -> DataFrame:
     return carried.withColumn("computed_parent", nearest["section_id"]).drop(*last)
 
 
-def lineage(sections: DataFrame, depth: int = 7) -> DataFrame:
+def lineage(sections: DataFrame, levels: int = 6) -> DataFrame:
     """Adds root_id, ancestors (root first, self last) and section_path titles.
 
-    One equi join per level above a section; headings nest at most six deep
-    and segments add one. The parent side is the same narrow shuffle every
-    time and is reused. Finished rows get a key of their own that matches
-    nothing, so they do not pile up on one null key.
+    One equi join per level above a section, `levels` of them at a time, until
+    every row has reached its root: headings nest six deep, but moved sections
+    may stand anywhere. The parent side is the same narrow shuffle every time
+    and is reused. Finished rows get a key of their own that matches nothing,
+    so they do not pile up on one null key. A chain that comes back to itself
+    ends there; its sections then have no root but the one before the loop.
     """
     parents = sections.select(
         F.col("book_id").alias("_b"), F.col("section_id").alias("_id"), F.col("parent_id").alias("_next"), F.col("title").alias("_title")
@@ -218,16 +221,24 @@ def lineage(sections: DataFrame, depth: int = 7) -> DataFrame:
         "book_id", "section_id", F.col("parent_id").alias("_up"), F.array("section_id").alias("ancestors"), F.array("title").alias("section_path")
     )
     found = F.col("_id").isNotNull()
-    for _ in range(depth - 1):
+
+    def climb(state: DataFrame) -> DataFrame:
         probe = state.withColumn("_key", F.coalesce("_up", F.concat(F.lit("\x00"), F.col("section_id"))))
         joined = probe.join(parents, (F.col("book_id") == F.col("_b")) & (F.col("_key") == F.col("_id")), "left")
-        state = joined.select(
+        again = F.array_contains("ancestors", F.col("_next")) | (F.col("_next") == F.col("_id"))
+        return joined.select(
             "book_id",
             "section_id",
-            F.col("_next").alias("_up"),
+            F.when(~F.coalesce(again, F.lit(False)), F.col("_next")).alias("_up"),
             F.when(found, F.concat(F.array("_id"), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
             F.when(found, F.concat(F.array("_title"), "section_path")).otherwise(F.col("section_path")).alias("section_path"),
         )
+    while True:
+        for _ in range(levels):
+            state = climb(state)
+        state = cut_lineage(state)
+        if state.filter(F.col("_up").isNotNull()).isEmpty():
+            break
     return state.select(
         "book_id", "section_id", F.get("ancestors", F.lit(0)).alias("root_id"), "ancestors", "section_path"
     )

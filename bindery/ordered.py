@@ -127,16 +127,14 @@ def assemble(
     order: Sequence[str],
     line: Column,
     *,
-    part: Column | None = None,
     separator: str = "\n",
 ) -> DataFrame:
-    """Join ordered lines into text, at most one part of bounded size per row.
+    """Join ordered lines into one text per key.
 
-    `part` is an ordered block number; a document longer than one part comes
-    out as several rows in `part_no` order instead of one huge value.
+    For texts that a reader or a model takes as a whole (a note, a prompt), so
+    their length is bounded by that use. Listings without such a bound stay rows.
     """
-    part = F.lit(0).cast("bigint") if part is None else part
-    packed = df.select(*keys, part.alias("part_no"), F.struct(*order, line.alias("_line")).alias("_row"))
-    grouped = packed.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    packed = df.select(*keys, F.struct(*order, line.alias("_line")).alias("_row"))
+    grouped = packed.groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     text = F.array_join(F.transform("_rows", lambda r: r["_line"]), separator)
-    return grouped.select(*keys, "part_no", text.alias("text"))
+    return grouped.select(*keys, text.alias("text"))

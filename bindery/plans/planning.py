@@ -6,6 +6,7 @@ across the modules of a project uses aggregates and `ordered.running`.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import packing, text as X
@@ -37,12 +38,12 @@ def _cat(*parts: str | Column) -> Column:
 # Catalog ----------------------------------------------------------------------
 
 
-def chapter_catalog(roots: DataFrame, analyses: DataFrame) -> DataFrame:
+def chapter_catalog(roots: DataFrame, analyses: DataFrame, max_points: int | None = 12) -> DataFrame:
     """Planning entries of confirmed roots.
 
     roots(book_id, section_id, title, position); analyses(section_id, valid)
     holds the newest succeeded analysis per root. A root without one comes out
-    with missing = true.
+    with missing = true. `max_points` main points are listed; None lists all.
     """
     numbered = running(roots, ["book_id"], ["position", "section_id"], position_block(F.col("position")), number="_no")
     joined = numbered.join(analyses.select("section_id", "valid"), "section_id", "left")
@@ -60,7 +61,7 @@ def chapter_catalog(roots: DataFrame, analyses: DataFrame) -> DataFrame:
         X.strip(F.col("title")).alias("title"),
         F.coalesce(F.nullif(theme, F.lit("")), F.lit(DEFAULT_THEME)).alias("theme"),
         F.array_distinct(titles).alias("subtopic_titles"),
-        F.array_distinct(F.slice(points, 1, 12)).alias("concise_points"),
+        F.array_distinct(points if max_points is None else F.slice(points, 1, max_points)).alias("concise_points"),
         "position",
         F.col("valid").isNull().alias("missing"),
     )
@@ -81,11 +82,10 @@ def entry_text(points: bool) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def render_catalog(entries: DataFrame, *, points: bool = False, part_chapters: int = 4096) -> DataFrame:
-    """Catalog text per book, in parts of bounded size."""
+def render_catalog(entries: DataFrame, *, points: bool = False) -> DataFrame:
+    """Catalog text, a row per book."""
     return assemble(
-        entries.withColumn("_t", entry_text(points)), ["book_id"], ["position", "chapter_key"], F.col("_t"),
-        part=position_block(F.col("position"), part_chapters), separator="\n\n",
+        entries.withColumn("_t", entry_text(points)), ["book_id"], ["position", "chapter_key"], F.col("_t"), separator="\n\n"
     )
 
 
@@ -275,7 +275,7 @@ def apportion(modules: DataFrame, budgets: DataFrame) -> DataFrame:
     ).drop("_w", "_k", "_floor", "_neg", "_r", "_above", "_spent")
 
 
-def render_module_plan(modules: DataFrame, budgets: DataFrame, part_modules: int = 4096) -> DataFrame:
+def render_module_plan(modules: DataFrame, budgets: DataFrame) -> DataFrame:
     """Plan text per project: budget header, then module blocks."""
     head = budgets.select(
         "project_id", F.lit(0).cast("bigint").alias("position"),
@@ -289,7 +289,7 @@ def render_module_plan(modules: DataFrame, budgets: DataFrame, part_modules: int
             "\n来源章节：", keys, "\n建议声音数：", F.col("episodes").cast("string"), "\n",
         ).alias("_t"),
     )
-    out = assemble(head.unionByName(body), ["project_id"], ["position"], F.col("_t"), part=position_block(F.col("position"), part_modules))
+    out = assemble(head.unionByName(body), ["project_id"], ["position"], F.col("_t"))
     return out.withColumn("text", X.strip(F.col("text")))
 
 
@@ -634,10 +634,14 @@ def replace_album(episodes: DataFrame, links: DataFrame, root: str, version: str
     spark = episodes.sparkSession
     episodes.write.mode("overwrite").parquet(f"{root}/versions/{version}/episodes")
     links.write.mode("overwrite").parquet(f"{root}/versions/{version}/links")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/current")
+    try:
+        number = spark.read.parquet(f"{root}/current").agg(F.max("number")).first()[0] + 1
+    except AnalysisException:  # the first snapshot
+        number = 1
+    spark.createDataFrame([(number, version)], "number bigint, version string").coalesce(1).write.mode("append").parquet(f"{root}/current")
 
 
 def read_album(spark, root: str) -> tuple[DataFrame, DataFrame]:
-    """The current snapshot; versions sort by name."""
-    version = spark.read.parquet(f"{root}/current").agg(F.max("version")).first()[0]
+    """The snapshot that was stored last, whatever its name."""
+    version = spark.read.parquet(f"{root}/current").agg(F.max_by("version", "number")).first()[0]
     return spark.read.parquet(f"{root}/versions/{version}/episodes"), spark.read.parquet(f"{root}/versions/{version}/links")

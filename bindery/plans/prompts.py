@@ -163,8 +163,8 @@ def episode_context(episodes: DataFrame, stage: str, evidence: DataFrame, previo
     return base.select("episode_id", F.lit(stage).alias("stage"), F.create_map(*pairs).alias("variables"), error.alias("error"))
 
 
-def source_match_prompt(candidates: DataFrame, cards: DataFrame, part_cards: int = 4096) -> DataFrame:
-    """Candidate listing per episode from evidence.episode_candidates, in parts."""
+def source_match_prompt(candidates: DataFrame, cards: DataFrame) -> DataFrame:
+    """Candidate listing per episode from evidence.episode_candidates."""
     from ..ordered import assemble
 
     shown = candidates.join(cards.select("card_id", "kind", "title", "body"), "card_id")
@@ -172,8 +172,7 @@ def source_match_prompt(candidates: DataFrame, cards: DataFrame, part_cards: int
         F.lit("["), "card_id", F.lit("] "), "kind", F.lit(" · "), "title", F.lit("\n"), X.excerpt(F.col("body"), 320)
     )
     return assemble(
-        shown, ["episode_id"], ["first_position", "card_id"], line,
-        part=F.floor(F.col("first_position") / part_cards).cast("bigint"), separator="\n\n",
+        shown, ["episode_id"], ["first_position", "card_id"], line, separator="\n\n"
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..ordered import assemble, position_block
+from ..ordered import assemble
 
 SYSTEM_BEGIN, SYSTEM_END = "<!-- GENERATED:BEGIN -->", "<!-- GENERATED:END -->"
 USER_BEGIN, USER_END = "<!-- USER_NOTES:BEGIN -->", "<!-- USER_NOTES:END -->"
@@ -22,7 +22,6 @@ USER_BEGIN, USER_END = "<!-- USER_NOTES:BEGIN -->", "<!-- USER_NOTES:END -->"
 BOOKS, PROJECTS = "01_书籍", "02_内容项目"
 KIND_FOLDERS = {"观点": "02_知识点", "论据": "02_知识点", "概念": "02_知识点", "案例": "03_案例", "金句": "04_金句"}
 STAGE_LABELS = {"outline": "声音细纲", "draft": "声音初稿", "final": "声音终稿"}
-LINK_PART = 4_096
 
 
 def write_library(df: DataFrame, path: str, key: str = "book_id", buckets: int = 256) -> None:
@@ -41,13 +40,9 @@ def _cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _continued(part: str) -> Column:
-    """Name suffix of the second and later parts of a note."""
-    return F.when(F.col(part) > 0, F.format_string("__%d", F.col(part) + 1)).otherwise(F.lit(""))
-
-
 def note_name(title: Column, ident: Column) -> Column:
-    return _cat(X.safe_name(title), "__", F.left(ident, F.lit(8)))
+    """A readable name that no other id shares."""
+    return _cat(X.safe_name(title), "__", ident)
 
 
 # Album export ---------------------------------------------------------------
@@ -75,11 +70,10 @@ def album_lines(projects: DataFrame, episodes: DataFrame, finals: DataFrame) ->
     return heads.unionByName(parts)
 
 
-def export_album(projects: DataFrame, episodes: DataFrame, finals: DataFrame, part_episodes: int = 1024) -> DataFrame:
-    """(project_id, part_no, text); one part up to `part_episodes` episodes."""
+def export_album(projects: DataFrame, episodes: DataFrame, finals: DataFrame) -> DataFrame:
+    """(project_id, text): an album as one text; `album_lines` has it as rows."""
     lines = album_lines(projects, episodes, finals)
-    part = F.greatest(position_block(F.col("position"), part_episodes), F.lit(0))
-    out = assemble(lines, ["project_id"], ["position", "episode_id"], F.col("line"), part=part)
+    out = assemble(lines, ["project_id"], ["position", "episode_id"], F.col("line"))
     return out.withColumn("text", F.concat(F.regexp_replace("text", r"(?U)\s+\z", ""), F.lit("\n")))
 
 
@@ -127,22 +121,16 @@ def book_notes(
         ).alias("body"),
     )
 
-    # Links to the cards citing a fragment: parts keep a famous fragment bounded.
+    # Links to the cards citing a fragment, in one note.
     citing = card_sources.join(live.select("card_id", "kind", "title"), "card_id").select(
         "content_index", "kind", "title", "card_id", _cat("- [[", note_name(F.col("title"), F.col("card_id")), "]]").alias("_l")
     )
-    count = citing.groupBy("content_index").agg(F.count(F.lit(1)).alias("_n"))
-    spread = F.when(
-        F.col("_n") > LINK_PART, F.pmod(F.xxhash64("card_id"), F.ceil(F.col("_n") / LINK_PART))
-    ).otherwise(F.lit(0))
-    links = assemble(
-        citing.join(count, "content_index"), ["content_index"], ["kind", "title", "card_id"], F.col("_l"), part=spread.cast("bigint")
-    ).select("content_index", "part_no", F.col("text").alias("_links"))
+    links = assemble(citing, ["content_index"], ["kind", "title", "card_id"], F.col("_l")).withColumnRenamed("text", "_links")
     place = sections.select("book_id", F.col("section_id").alias("source_section_id"), section_name.alias("_sec"))
     base = fragments.join(named, "book_id").join(place, ["book_id", "source_section_id"], "left").join(links, "content_index", "left")
     fragment_notes = base.select(
         _cat(
-            F.col("_dir"), "/01_原文片段/", F.col("content_index"), _continued("part_no"), ".md",
+            F.col("_dir"), "/01_原文片段/", F.col("content_index"), ".md",
         ).alias("path"),
         _cat(
             X.frontmatter(
@@ -155,15 +143,14 @@ def book_notes(
             F.col("text"), "\n\n## 被以下知识资产引用\n", F.coalesce("_links", F.lit("- 暂无")), "\n",
         ).alias("body"),
     )
-    # Source lists longer than one part continue in further notes.
-    ordered = card_sources.groupBy("card_id", position_block(F.col("source_order"), LINK_PART).alias("_part")).agg(
+    ordered = card_sources.groupBy("card_id").agg(
         F.sort_array(F.collect_list(F.struct("source_order", "content_index"))).alias("_s")
     )
     listed = live.join(ordered, "card_id", "left").join(named, "book_id")
     ids = F.transform(F.col("_s"), lambda s: s["content_index"])
     folder = F.coalesce(X.map_lookup(F.col("kind"), KIND_FOLDERS), F.lit("02_知识点"))
     card_notes = listed.select(
-        _cat(F.col("_dir"), "/", folder, "/", note_name(F.col("title"), F.col("card_id")), _continued("_part"), ".md").alias("path"),
+        _cat(F.col("_dir"), "/", folder, "/", note_name(F.col("title"), F.col("card_id")), ".md").alias("path"),
         _cat(
             X.frontmatter(
                 ("id", F.col("card_id"), "text"), ("type", F.col("kind"), "text"), ("book_id", F.col("book_id"), "text"),
@@ -217,17 +204,16 @@ def project_notes(projects: DataFrame, episodes: DataFrame, episode_cards: DataF
     ).unionByName(
         episodes.select("project_id", F.col("position").cast("bigint").alias("position"), "episode_id", entry.alias("_l"))
     )
-    part = F.greatest(position_block(F.col("position"), 1024), F.lit(0))
-    outline = assemble(outline_rows, ["project_id"], ["position", "episode_id"], F.col("_l"), part=part).join(named, "project_id")
+    outline = assemble(outline_rows, ["project_id"], ["position", "episode_id"], F.col("_l")).join(named, "project_id")
     outline_notes = outline.select(
         _cat(
-            F.col("_dir"), "/02_专辑大纲", _continued("part_no"), ".md",
+            F.col("_dir"), "/02_专辑大纲", ".md",
         ).alias("path"),
         F.col("text").alias("body"),
     )
     assets = (
         episode_cards.join(cards.select("card_id", "title"), "card_id")
-        .groupBy("episode_id", position_block(F.col("position"), LINK_PART).alias("_part"))
+        .groupBy("episode_id")
         .agg(F.sort_array(F.collect_list(F.struct("position", "card_id", "title"))).alias("_a"))
     )
     label = X.map_lookup(F.col("stage"), STAGE_LABELS)
@@ -239,7 +225,7 @@ def project_notes(projects: DataFrame, episodes: DataFrame, episode_cards: DataF
     episode_notes = texts.select(
         _cat(
             F.col("_dir"), "/03_声音/", F.format_string("%02d_", F.col("position")), note_name(F.col("title"), F.col("episode_id")),
-            "/", label, _continued("_part"), ".md",
+            "/", label, ".md",
         ).alias("path"),
         _cat(
             X.frontmatter(

@@ -35,10 +35,9 @@ def test_album_export(spark):
     assert got["q"] == "# 空\n\n> 当前专辑尚未创建声音。\n"
 
 
-def test_album_parts_join_to_the_whole(spark):
-    whole = {r["project_id"]: r["text"] for r in N.export_album(*album(spark)).collect()}["p"]
-    parts = N.export_album(*album(spark), part_episodes=2).filter("project_id = 'p'").orderBy("part_no").collect()
-    assert len(parts) == 2 and "\n".join(p["text"] for p in parts) == whole
+def test_same_titles_have_names_of_their_own(spark):
+    df = spark.createDataFrame([("T", "knowledge_aaa"), ("T", "knowledge_bbb")], "t string, i string")
+    assert len({r[0] for r in df.select(N.note_name(F.col("t"), F.col("i"))).collect()}) == 2
 
 
 def test_note_merge(one):

@@ -83,6 +83,21 @@ def test_fingerprint_of_small_set_is_the_plain_digest(spark):
     assert tree != want and tree == FR.set_fingerprint(members.repartition(7), ["k"], block=4).first()["content_fingerprint"]
 
 
+def test_one_digest_rule_at_every_size(spark):
+    members = spark.range(1, 5001).select(F.lit("k").alias("k"), F.format_string("c%d", "id").alias("content_index"), F.col("id").alias("book_position"))
+    lines = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.concat_ws(":", F.format_string("c%d", i), i.cast("string")))
+    for block in (4096, 7):
+        want = FR.set_fingerprint(members, ["k"], block=block).first()["content_fingerprint"]
+        assert spark.range(1).select(FR.tree_digest(lines, block, 6).alias("d")).first()["d"] == want
+
+
+def test_deep_and_circular_lineage(spark):
+    rows = [("b", f"s{i}", f"s{i - 1}" if i else None, f"t{i}") for i in range(13)] + [("b", "x", "y", "X"), ("b", "y", "x", "Y"), ("b", "z", "gone", "Z")]
+    got = {r["section_id"]: r for r in ST.lineage(spark.createDataFrame(rows, "book_id string, section_id string, parent_id string, title string")).collect()}
+    assert got["s12"]["root_id"] == "s0" and got["s12"]["section_path"] == [f"t{i}" for i in range(13)]
+    assert got["x"]["ancestors"] == ["y", "x"] and got["y"]["ancestors"] == ["x", "y"] and got["z"]["root_id"] == "z"
+
+
 def test_anchor_levels(spark):
     rows = [("你好，世界 再见", "世界", 1, 3), ("a  b c", "ab", 2, 0), ("x, y! z.", "x y z", 3, 0), ("目标句子一二三四五六七八九十后文", "目标句子一二三四五六七八不同结尾", 4, 0), ("abc", "zzz", 0, -1)]
     df = spark.createDataFrame(rows, "c string, q string, level int, at int").withColumn("f", A.find_anchor(F.col("c"), F.col("q")))
