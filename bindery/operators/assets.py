@@ -34,10 +34,67 @@ CONCEPT, QUOTE, VIEWPOINT, ARGUMENT, CASE, EVIDENCE = "概念", "金句", "观
 RELATION = "人物关系"
 
 
+def _field(v: Column, name: str) -> Column:
+    return F.variant_get(v, f"$.{name}", "variant")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _string(v: Column, name: str) -> Column:
+    """A text field; null where it is missing or of another type."""
+    return F.when(_is(_field(v, name), "STRING"), F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def _elements(v: Column, name: str) -> Column:
+    return F.when(_is(_field(v, name), "ARRAY"), F.try_variant_get(v, f"$.{name}", "array<variant>"))
+
+
 def parse_analysis(raw: Column) -> Column:
-    """Model output to the nested analysis; null when it is not a JSON object."""
-    bare = X.strip_code_fence(raw)
-    return F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(bare, ANALYSIS_SCHEMA))
+    """Model output to the nested analysis; null when it is not a JSON object.
+
+    Lists are read element by element: what is no object becomes a null
+    element, what is no text a null text, so one bad item never hides its
+    neighbours. A case that is no object has nulls throughout, its list of
+    indexes included, which an object never has.
+    """
+
+    def ids(v: Column) -> Column:
+        texts = F.transform(_elements(v, "source_content_indexes"), lambda e: F.when(_is(e, "STRING"), F.try_variant_get(e, "$", "string")))
+        return _list(texts, "string").alias("source_content_indexes")
+
+    def each(v: Column, name: str, item) -> Column:
+        return F.transform(_elements(v, name), lambda e: F.when(_is(e, "OBJECT"), item(e))).alias(name)
+
+    def text(e: Column) -> Column:
+        return F.struct(_string(e, "text").alias("text"), ids(e))
+
+    def definition(e: Column) -> Column:
+        return F.struct(_string(e, "name").alias("name"), _string(e, "definition").alias("definition"), ids(e))
+
+    def case(e: Column) -> Column:
+        return F.struct(_string(e, "summary").alias("summary"), _string(e, "relation").alias("relation"), ids(e), each(e, "evidence_quotes", text))
+
+    def optional_case(v: Column) -> Column:
+        c = _field(v, "case")
+        broken = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("summary", "string"), ("relation", "string"), ("source_content_indexes", "array<string>"), ("evidence_quotes", f"array<{_TEXT}>"))])
+        return F.when(_is(c, "OBJECT"), case(c)).when(c.isNotNull() & ~_is(c, "VOID"), broken).alias("case")
+
+    def viewpoint(e: Column) -> Column:
+        return F.struct(_string(e, "text").alias("text"), ids(e), each(e, "arguments", text), optional_case(e))
+
+    def subtopic(e: Column) -> Column:
+        return F.struct(
+            _string(e, "title").alias("title"), each(e, "definitions", definition), each(e, "quotes", text),
+            each(e, "viewpoints", viewpoint), each(e, "orphan_arguments", text), each(e, "orphan_cases", case),
+        )
+
+    def whole(v: Column) -> Column:
+        top = F.struct(_string(v, "chapter_title").alias("chapter_title"), _string(v, "chapter_theme").alias("chapter_theme"), each(v, "subtopics", subtopic))
+        return F.when(_is(v, "OBJECT"), top)
+
+    return X.let(F.struct(F.try_parse_json(X.strip_code_fence(raw)).alias("v")), lambda s: whole(s["v"])).cast(ANALYSIS_SCHEMA)
 
 
 def parse_json_object(raw: Column) -> Column:
@@ -216,8 +273,8 @@ def _issue(kind: str, title: Column, fallback: str, error: Column, raw: Column)
     )
 
 
-def _checked_text(x: Column, field: str, label: str, kind: str, structure: str, positions: Column) -> Column:
-    """Struct(ok, item, issue) of a text asset."""
+def _checked_text(x: Column, field: str, label: str, kind: str, structure: str, positions: Column, unnamed: Column | None = None) -> Column:
+    """Struct(ok, item, issue) of a text asset; `unnamed` titles an issue without text, else the kind does."""
     return X.let(
         check_indexes(x["source_content_indexes"], F.lit(label), positions),
         lambda r: X.let(
@@ -229,7 +286,7 @@ def _checked_text(x: Column, field: str, label: str, kind: str, structure: str,
                 F.struct(
                     X.strip(x["text"]).alias("text"), r["indexes"].alias("source_content_indexes")
                 ).alias("item"),
-                _issue(kind, x["text"], kind, e, x["source_content_indexes"]).alias("issue"),
+                _issue(kind, x["text"] if unnamed is None else F.coalesce(x["text"], unnamed), kind, e, x["source_content_indexes"]).alias("issue"),
             ),
         ),
     )
@@ -317,6 +374,7 @@ def _checked_case(c: Column, positions: Column) -> Column:
         lambda r: X.let(
             F.struct(
                 F.coalesce(
+                    F.when(c["summary"].isNull() & c["relation"].isNull() & c["source_content_indexes"].isNull() & c["evidence_quotes"].isNull(), F.lit("case 结构无效")),
                     _required(c["summary"], "case.summary"),
                     _required(c["relation"], "case.relation"),
                     r["error"],
@@ -342,7 +400,8 @@ def validate(resolved: DataFrame) -> DataFrame:
     pos = F.col("positions")
 
     def viewpoint(v: Column) -> Column:
-        head = _checked_text(v, "viewpoint.text", "主要观点", VIEWPOINT, "viewpoints 条目结构无效", pos)
+        unnamed = F.when(v.isNull(), F.lit("结构无效的观点")).otherwise(F.lit("主要观点"))
+        head = _checked_text(v, "viewpoint.text", "主要观点", VIEWPOINT, "viewpoints 条目结构无效", pos, unnamed)
         args = F.transform(
             _list(v["arguments"], _TEXT),
             lambda a: _checked_text(a, "argument.text", ARGUMENT, ARGUMENT, "arguments 条目必须包含 text 和 source_content_indexes", pos),
@@ -407,6 +466,10 @@ def validate(resolved: DataFrame) -> DataFrame:
         _required(data["chapter_title"], "chapter_title"),
         _required(data["chapter_theme"], "chapter_theme"),
         F.when(F.coalesce(F.size(data["subtopics"]), F.lit(0)) < 1, F.lit("subtopics 必须是非空数组")),
+        F.when(
+            F.exists(data["subtopics"], lambda s: s.isNull()),
+            F.format_string("第 %d 个子主题结构无效", F.array_position(F.transform(data["subtopics"], lambda s: s.isNull()), F.lit(True))),
+        ),
     )
     checked = computed_once(
         resolved.withColumn("rejected_reason", reason),

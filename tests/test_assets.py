@@ -126,3 +126,27 @@ def test_loose_json(spark, one):
     df = spark.createDataFrame([('{"character_relationships":[1],"x":2}{"y":3} tail',)], "t string")
     rows = df.select(J.split_concatenated(F.col("t"))).first()[0]
     assert [(json.loads(r["character_relationships"]), json.loads(r["rest"])) for r in rows] == [([1], {"x": 2}), ([], {"y": 3})]
+
+
+def test_one_bad_element_hides_no_other(spark):
+    sub = {
+        "title": "乙",
+        "quotes": ["oops", text("引", "content_a"), {"text": 5, "source_content_indexes": GOOD}, {"text": "数", "source_content_indexes": [7]}, None],
+        "definitions": [3, {"name": "名", "definition": "义", "source_content_indexes": GOOD}],
+        "viewpoints": ["x", {**text("观", "content_a"), "arguments": [[]], "case": "oops"}, {**text("静", "content_a"), "case": None}],
+    }
+    r = run(spark, {"chapter_title": "章", "chapter_theme": "题", "subtopics": [sub]}).first()
+    kept = r["valid"]["subtopics"][0]
+    assert [q["text"] for q in kept["quotes"]] == ["引"] and len(kept["definitions"]) == 1
+    assert [(v["text"], v["case"]) for v in kept["viewpoints"]] == [("观", None), ("静", None)]
+    errors = [(i["asset_type"], i["error"]) for i in r["issues"]]
+    assert errors.count(("金句", "quotes 条目必须包含 text 和 source_content_indexes")) == 2
+    assert ("金句", "quote.text 不能为空") in errors and ("金句", "金句 的 source_content_indexes 无效") in errors
+    assert ("案例", "case 结构无效") in errors and ("概念", "definitions 条目结构无效") in errors
+    assert [i["title"] for i in r["issues"] if i["error"] == "viewpoints 条目结构无效"] == ["结构无效的观点"]
+    assert len(errors) == 8
+
+
+def test_broken_subtopic_rejects(spark):
+    r = run(spark, {"chapter_title": "章", "chapter_theme": "题", "subtopics": [{"title": "a"}, "oops"]}, ["no object"])
+    assert {x["rejected_reason"] for x in r.collect()} == {"第 2 个子主题结构无效", "模型输出必须是 JSON 对象"}
