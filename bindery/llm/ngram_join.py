@@ -41,6 +41,9 @@ THRESHOLD = (4, 5)
 UNIVERSE = 0.4
 #: Members of a posting list that all of it meets first.
 PIVOTS = 16
+#: In lists longer than LONG a pair is offered only by the first such list it shares,
+#: as far as the first SEEN of them tell; it is offered once at least in any case.
+LONG, SEEN = 32, 64
 #: Hash bins whose parities the suffix filter compares, 64 to a number.
 PARITY_WORDS = 8
 
@@ -116,7 +119,10 @@ def _grams(docs: DataFrame, size: int, threshold, universe: float, text: str) ->
 
 
 def postings(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, universe: float = UNIVERSE, text: str = "text") -> DataFrame:
-    """(h, c, n, pos): the prefix n-grams that two classes or more send, with their place in the class's ordered set."""
+    """(h, c, n, pos, prev): the prefix n-grams that two classes or more have, with their place in the class's ordered set.
+
+    `prev` holds, for n-grams of long lists, those of the class that come before it.
+    """
     sent = _grams(docs, size, threshold, universe, text)
     gram = Window.partitionBy("h")
     rows = sent.withColumns({"df": F.count(F.lit(1)).over(gram), "lo": F.min("c").over(gram), "hi": F.max("c").over(gram)}).where("lo <> hi")
@@ -128,16 +134,28 @@ def postings(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, universe:
     num, den = threshold
     # N-grams of no other class come first in their part of the order.
     placed = placed.selectExpr("h", "c", "n", "cast(if(late, n - m, u - e) + i - 1 AS int) AS pos")
-    return placed.where(f"pos < n - cast(floor((n * {num} + {den - 1}) / {den}) AS int) + 1")
+    placed = placed.where(f"pos < n - cast(floor((n * {num} + {den - 1}) / {den}) AS int) + 1")
+    # Lists of one are of no use; long ones are remembered by the class for its later n-grams.
+    placed = placed.withColumn("size", F.count(F.lit(1)).over(gram)).where("size > 1")
+    before = Window.partitionBy("c", "n").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col("size") > LONG
+    rank = F.coalesce(F.count(F.when(long, 1)).over(before), F.lit(0))
+    placed = placed.withColumn("long", long & (rank < SEEN))
+    prev = F.when(long, F.collect_list(F.when(F.col("long"), F.col("h"))).over(before)).otherwise(F.array().cast("array<bigint>"))
+    return placed.select("h", "c", "n", "pos", prev.alias("prev"))
 
 
 def _close(threshold) -> str:
-    """Length, positional and suffix filter of a candidate (c, n, pos, ...) and (c2, n2, pos2, ...)."""
+    """Length, positional and suffix filter of a candidate (c, n, pos, ...) and (c2, n2, pos2, ...), offered for the first time.
+
+    A positional filter holds for the first n-gram shared. If that lies in a
+    short list, the pair is offered there, whatever long lists say.
+    """
     num, den = threshold
     apart = " + ".join(f"bit_count({x} ^ {x}2)" for x in _PARITY)
     return (
         f"{den} * least(n, n2) >= {num} * greatest(n, n2) AND {num + den} * (1 + least(n - pos - 1, n2 - pos2 - 1)) >= {num} * (n + n2)"
-        f" AND {num + den} * ({apart}) <= {den - num} * (n + n2)"
+        f" AND {num + den} * ({apart}) <= {den - num} * (n + n2) AND NOT arrays_overlap(prev, prev2)"
     )
 
 
@@ -194,7 +212,7 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
     known = cut_lineage(classes(docs, size, id_col, text))
     members = cut_lineage(known.where("n_shingles > 0").groupBy("c", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("doc_id"), *[F.min(x).alias(x) for x in _PARITY]))
     lists = cut_lineage(postings(docs, size, threshold, universe, text).join(members.drop("doc_id"), ["c", "n"]))
-    place = ["c", "n", "pos", *_PARITY]
+    place = ["c", "n", "pos", "prev", *_PARITY]
 
     def candidates(met: DataFrame) -> tuple[DataFrame, int]:
         swap = "c > c2"
@@ -206,9 +224,9 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
         return _verify(pairs, docs, members, size, threshold, id_col, text)
 
     root = None  # (c, root) of classes connected so far
-    leads = [F.min_by(F.struct(*place), F.xxhash64("c", F.lit(i))) for i in range(pivots)]
-    lead = lists.groupBy("h").agg(F.array_distinct(F.array(*leads)).alias("p")).select("h", F.explode("p").alias("p"))
-    met = lists.join(lead.selectExpr("h", *[f"p.{x} AS {x}2" for x in place]), "h").where("c <> c2")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("c", F.lit("lead")), "c"))
+    lead = lists.withColumn("rank", rank).where(F.col("rank") <= pivots)
+    met = lists.join(lead.selectExpr("h", *[f"{x} AS {x}2" for x in place]), "h").where("c <> c2")
     tested, count = candidates(met.where(_close(threshold)))
     if count:
         root = cut_lineage(components(linked(tested).toDF("a", "b")).withColumnRenamed("node", "c"))
