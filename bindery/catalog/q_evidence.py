@@ -288,7 +288,7 @@ def _(spark, d):
 )
 def _(spark, d):
     titles = table(spark, d, "part").select(F.col("p_partkey").alias("episode_id"), F.col("p_name").alias("episode_title"))
-    return V.batch_children(spark, d).join(titles, "episode_id").select("parent_run_id", "run_id", "status", "episode_title")
+    return E.batch_children(V.batch_children(spark, d), titles).select("parent_run_id", "run_id", "status", "episode_title")
 
 
 @query(
@@ -376,7 +376,7 @@ def _(spark, d):
 )
 def _(spark, d):
     titles = table(spark, d, "customer").select(F.col("c_custkey").alias("root_section_id"), F.col("c_name").alias("chapter_title"))
-    return analyses(spark, d).join(titles, "root_section_id").select("analysis_id", "chapter_title", "version", "status")
+    return E.chapter_titles(analyses(spark, d), titles).select("analysis_id", "chapter_title", "version", "status")
 
 
 @query(
@@ -570,7 +570,7 @@ def _(spark, d):
 
 @query("fragment_counts", "A14", f"WITH {CURRENT} SELECT set_id, count(*) AS fragments FROM cur GROUP BY 1")
 def _(spark, d):
-    return current(spark, d).groupBy("set_id").agg(F.count(F.lit(1)).alias("fragments"))
+    return L.fragment_counts(current(spark, d), ["set_id"])
 
 
 @query("run_stats", "A15", f"WITH {V.RUNS} SELECT count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status IN ('pending', 'running') AND parent_run_id IS NULL) AS active FROM runs")

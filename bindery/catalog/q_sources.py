@@ -31,13 +31,18 @@ def _(spark, d):
     return ST.parse_diagnostics(books, ST.parse_books(books))
 
 
+@F.pandas_udf(T.BinaryType())
+def legacy_bytes(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.encode("gb18030"))
+
+
 @query(
     "bytes_decoded", "S2",
     "SELECT doc_id, md5(text) AS digest FROM documents",
 )
 def _(spark, d):
     # Even rows as UTF-8 with a byte order mark, odd rows as GB18030 bytes.
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(legacy_bytes("text"))
     return wide_table(spark, d, "documents").select("doc_id", F.md5(RD.decode_bytes(raw)).alias("digest"))
 
 

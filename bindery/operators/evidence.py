@@ -57,7 +57,8 @@ def direct_evidence(episode_cards: DataFrame, card_sources: DataFrame, members:
 
     `members` must already be limited to current sets.
     """
-    cited = episode_cards.join(card_sources, "card_id").join(members, "content_index")
+    # Sources meet their places first: that is dimension-sized, episode cards are not.
+    cited = episode_cards.join(card_sources.join(members, "content_index"), "card_id")
     place = [c for c in members.columns if c != "content_index"]
     # One row decides the card and the place together.
     first = F.min(F.struct("position", "card_id", "source_order", *place)).alias("_row")
@@ -295,6 +296,20 @@ DEFAULT_LABELS = {
 }
 
 
+def batch_children(children: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Child runs of batches with the title of their episode; runs of unknown episodes are left out.
+
+    children(parent_run_id, run_id, status, episode_id, ...);
+    episodes(episode_id, episode_title).
+    """
+    return children.join(episodes.select("episode_id", "episode_title"), "episode_id")
+
+
+def chapter_titles(analyses: DataFrame, sections: DataFrame) -> DataFrame:
+    """Analyses with the title of their root section, as (root_section_id, chapter_title)."""
+    return analyses.join(sections.select("root_section_id", "chapter_title"), "root_section_id")
+
+
 def backlinks(card_sources: DataFrame, cards: DataFrame, keys: list[str]) -> DataFrame:
     """Active cards by fragment, as ordered rows (never one array per hot fragment)."""
     active = cards.filter(F.col("status") == "active").select("card_id", "kind", "title")

@@ -73,3 +73,8 @@ def material_sizes(materials: DataFrame, limit: int = 6_000) -> DataFrame:
     return materials.groupBy("owner_id").agg(
         F.sum(F.length("value")).alias("characters"), F.bool_or(F.length("value") > limit).alias("truncated")
     )
+
+
+def fragment_counts(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Fragments per set, or whatever `keys` name."""
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("fragments"))

@@ -251,22 +251,25 @@ def user_block(existing: Column) -> Column:
 
 
 def merge_note(existing: Column, generated: Column) -> Column:
-    return _cat(
-        f"{SYSTEM_BEGIN}\n", X.strip(generated), f"\n{SYSTEM_END}\n\n{USER_BEGIN}\n", user_block(existing), f"\n{USER_END}\n"
-    )
+    return _note(user_block(existing), generated)
+
+
+def _note(user: Column, generated: Column) -> Column:
+    return _cat(f"{SYSTEM_BEGIN}\n", X.strip(generated), f"\n{SYSTEM_END}\n\n{USER_BEGIN}\n", F.coalesce(user, F.lit("")), f"\n{USER_END}\n")
 
 
 def sync_notes(new: DataFrame, existing: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changed notes to write, new manifest).
 
     A note is written when its digest differs from the manifest or its file
-    is gone. Bodies meet by path in one join; unchanged ones go no further.
+    is gone. New bodies meet what readers wrote by path in one join; of stored
+    notes only that part is shuffled. Unchanged ones go no further.
     """
-    old = existing.select("path", F.col("body").alias("_old"))
+    old = existing.select("path", user_block(F.col("body")).alias("_user"), F.lit(True).alias("_there"))
     known = manifest.select("path", F.col("digest").alias("_known"))
     merged = new.join(old, "path", "left").join(known, "path", "left")
     ready = merged.select(
-        "path", merge_note(F.col("_old"), F.col("body")).alias("body"), F.col("_old").isNull().alias("_gone"), "_known"
+        "path", _note(F.col("_user"), F.col("body")).alias("body"), F.col("_there").isNull().alias("_gone"), "_known"
     ).withColumn("digest", F.sha2("body", 256))
     same = F.col("digest").eqNullSafe(F.col("_known")) & ~F.col("_gone")
     changed = ready.filter(~same).select("path", "body", "digest")
