@@ -101,7 +101,43 @@ def _(spark, d):
     return N.export_album(*album_frames(spark, d)).select("project_id", F.md5("text").alias("digest"))
 
 
-@query("book_notes", "S11 J17 T17 T22")
+# Notes in SQL; the sign stands for a line feed.
+_NL = "¶"
+BOOK_NOTES = f"""WITH {V.TREE}, {V.CARDS}, {V.CARD_SOURCES},
+  b AS (SELECT 'r' || r_regionkey AS book_id, r_name AS bt, '01_书籍/' || r_name || '__r' || r_regionkey AS dir FROM region),
+  live AS (SELECT CAST(card_id AS VARCHAR) AS card_id, 'r' || book_id AS book_id, kind, title, body, source_scheme FROM cards WHERE status = 'active'),
+  src AS (SELECT CAST(card_id AS VARCHAR) AS card_id, CAST(content_index AS VARCHAR) AS content_index, source_order FROM card_sources),
+  sec AS (SELECT *, printf('%03d_', position) || title || '__' || section_id AS name FROM tree),
+  links AS (SELECT content_index, string_agg('- [[' || title || '__' || card_id || ']]', '{_NL}' ORDER BY kind, title, card_id) AS l FROM src JOIN live USING (card_id) GROUP BY 1),
+  used AS (SELECT card_id, string_agg('  - ' || content_index, '{_NL}' ORDER BY source_order) AS ids, string_agg('- [[' || content_index || '|' || content_index || ']]', '{_NL}' ORDER BY source_order) AS refs FROM src GROUP BY 1),
+  notes AS (
+    SELECT dir || '/00_书籍主页.md' AS path, '---¶id: "' || book_id || '"¶type: "book"¶status: "analyzed"¶---¶¶# ' || bt || '¶¶作者：未填写¶¶- 原文小节：'
+      || (SELECT count(*) FROM tree t WHERE t.book_id = b.book_id) || '¶- 知识资产：' || (SELECT count(*) FROM live l WHERE l.book_id = b.book_id) || '¶' AS body FROM b
+    UNION ALL SELECT dir || '/01_原文小节/' || name || '.md', '---¶id: "' || section_id || '"¶type: "section"¶book_id: "' || book_id || '"¶---¶¶# ' || title || '¶¶' || content || '¶' FROM sec JOIN b USING (book_id)
+    UNION ALL SELECT dir || '/01_原文片段/' || substr(section_id, 2) || '.md', '---¶id: "' || substr(section_id, 2) || '"¶type: "source_fragment"¶book_id: "' || book_id || '"¶source_section_id: "' || section_id
+      || '"¶section_path:¶  - ' || title || '¶fragment_set_version: 1¶---¶¶# 原文片段 ' || substr(section_id, 2) || '¶¶原章节：[[' || name || ']]¶¶' || content || '¶¶## 被以下知识资产引用¶' || coalesce(l, '- 暂无') || '¶'
+      FROM sec JOIN b USING (book_id) LEFT JOIN links ON content_index = substr(section_id, 2) WHERE level = 4
+    UNION ALL SELECT dir || '/02_知识点/' || title || '__' || card_id || '.md', '---¶id: "' || card_id || '"¶type: "' || kind || '"¶book_id: "' || book_id || '"¶source_section_ids:¶  - x'
+      || coalesce('¶source_content_indexes:¶' || ids, '') || '¶source_scheme: "' || source_scheme || '"¶---¶¶# ' || title || '¶¶' || body || '¶¶## 段落级原文证据¶' || coalesce(refs, '- 历史资产暂无段落级索引') || '¶'
+      FROM live JOIN b USING (book_id) LEFT JOIN used USING (card_id)
+    UNION ALL SELECT dir || '/05_思维导图.md', '---¶id: "map-' || book_id || '"¶type: "mind_map"¶book_id: "' || book_id || '"¶---¶¶# ' || bt || '¶' FROM b)
+SELECT path, replace(body, '{_NL}', chr(10)) AS body FROM notes"""
+PROJECT_NOTES = f"""WITH {V.CARDS}, {V.EPISODE_CARDS}, {V.ARTIFACTS},
+  p AS (SELECT c_custkey AS project_id, c_name AS pt, '02_内容项目/' || c_name || '__' || c_custkey AS dir FROM customer),
+  newest AS (SELECT episode_id, stage, max(version) AS version, max_by(content, version) AS content FROM artifacts GROUP BY 1, 2),
+  assets AS (SELECT episode_id, string_agg('  - ' || card_id, '{_NL}' ORDER BY position, CAST(card_id AS VARCHAR)) AS ids, string_agg('- [[' || title || '__' || card_id || ']]', '{_NL}' ORDER BY position, CAST(card_id AS VARCHAR)) AS refs
+             FROM episode_cards JOIN cards USING (card_id) GROUP BY 1),
+  named AS (SELECT *, CASE stage WHEN 'outline' THEN '声音细纲' WHEN 'draft' THEN '声音初稿' ELSE '声音终稿' END AS label FROM newest),
+  notes AS (
+    SELECT dir || '/00_项目主页.md' AS path, '---¶id: "' || project_id || '"¶type: "project"¶status: "ready"¶---¶¶# ' || pt || '¶¶声音数量：' || (SELECT count(*) FROM orders WHERE o_custkey = project_id) || '¶' AS body FROM p
+    UNION ALL SELECT dir || '/02_专辑大纲.md', '# ' || pt || ' · 专辑大纲' || coalesce((SELECT string_agg('¶- ' || printf('%02d ', o_orderkey) || o_orderpriority || '（解读 / 观点）¶  - 内容框架：a¶    b', '' ORDER BY o_orderkey) FROM orders WHERE o_custkey = project_id), '') FROM p
+    UNION ALL SELECT dir || '/03_声音/' || printf('%02d_', o_orderkey) || o_orderpriority || '__' || o_orderkey || '/' || label || '.md', '---¶id: "' || o_orderkey || '-' || stage || '-' || version || '"¶type: "' || stage || '"¶project_id: "' || project_id || '"¶episode_id: "' || o_orderkey
+      || '"¶source_section_ids:¶  - x' || coalesce('¶knowledge_item_ids:¶' || ids, '') || '¶---¶¶# ' || o_orderpriority || ' · ' || label || '¶¶## 本集知识资产¶' || coalesce(refs, '- 历史声音暂无知识资产关联') || '¶¶## 文稿¶' || content || '¶'
+      FROM named n JOIN orders ON o_orderkey = n.episode_id JOIN p ON project_id = o_custkey LEFT JOIN assets a ON a.episode_id = n.episode_id)
+SELECT path, replace(body, '{_NL}', chr(10)) AS body FROM notes"""
+
+
+@query("book_notes", "S11 J17 T17 T22", BOOK_NOTES)
 def _(spark, d):
     sections = V.tree(spark, d)
     books = table(spark, d, "region").select(
@@ -120,7 +156,7 @@ def _(spark, d):
     return N.book_notes(books, sections, cards, sources, fragments, maps)
 
 
-@query("project_notes", "S12 W1 J17")
+@query("project_notes", "S12 W1 J17", PROJECT_NOTES)
 def _(spark, d):
     s = lambda c, a: F.col(c).cast("string").alias(a)
     projects = table(spark, d, "customer").select(s("c_custkey", "project_id"), F.col("c_name").alias("title"), F.lit("ready").alias("status"))
