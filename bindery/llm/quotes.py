@@ -2,8 +2,8 @@
 
 Lines of a message are read by quote level (nested ">"). Runs of one level are
 passages; passages and their lines are hashed after normalisation and joined
-to the first message that wrote them itself. The message with most of the
-directly quoted text is the one replied to; replies are followed to their root
+to the first message that wrote them itself. The message with most of the text
+at the shallowest level that is found is the one replied to; replies are followed to their root
 by pointer doubling. What comes out is text without quotes, in reply order.
 """
 
@@ -95,8 +95,9 @@ def conversations(messages: DataFrame, scope: str = "scope", msg_id: str = "msg_
     """(scope, msg_id, position, parent_id, root_id, depth, path, text): a row per message, quotes removed.
 
     A message replies to the earlier one (by position) in its scope that wrote
-    most of what it quotes at the first level; ties go to the later one. Of
-    messages that wrote the same passage, the first counts. Without such a
+    most of what it quotes at the shallowest level of which any is found there;
+    ties go to the later one. Of messages that wrote the same passage, the
+    first counts. Without such a
     message it starts a conversation. `path` holds the positions from the root
     down: sorted by it, a conversation reads in reply order. Null text is
     empty. Rows without id or position, and all but one of rows that repeat an
@@ -110,9 +111,9 @@ def conversations(messages: DataFrame, scope: str = "scope", msg_id: str = "msg_
     wrote = rows.select("scope", "id", "pos", F.explode("wrote").alias("h")).select(key.alias("k"), "id", "pos")
     first = wrote.groupBy("k").agg(F.min(F.struct("pos", "id")).alias("src"))
     quoted = rows.select("scope", "id", "pos", F.explode("quoted").alias("q")).select("scope", "id", "pos", F.col("q.h").alias("h"), F.col("q.level").alias("level"), F.col("q.weight").alias("weight"))
-    votes = quoted.where("level = 1").select("id", "pos", "weight", key.alias("k")).join(first, "k").where(F.col("src.pos") < F.col("pos"))
-    tally = votes.groupBy("id", F.col("src.id").alias("parent"), F.col("src.pos").alias("parent_pos")).agg(F.sum("weight").alias("weight"))
-    best = tally.groupBy("id").agg(F.max(F.struct("weight", "parent_pos", "parent")).alias("b")).select(F.col("id").alias("child"), F.col("b.parent").alias("parent_id"))
+    votes = quoted.select("id", "pos", "level", "weight", key.alias("k")).join(first, "k").where(F.col("src.pos") < F.col("pos"))
+    tally = votes.groupBy("id", "level", F.col("src.id").alias("parent"), F.col("src.pos").alias("parent_pos")).agg(F.sum("weight").alias("weight"))
+    best = tally.groupBy("id").agg(F.max(F.struct(-F.col("level"), "weight", "parent_pos", "parent")).alias("b")).select(F.col("id").alias("child"), F.col("b.parent").alias("parent_id"))
     # Pointer doubling: `up` moves to twice the distance each round; a null means that the root is reached.
     linked = rows.select("id", "pos").join(best, F.col("id") == F.col("child"), "left")
     state, seen = write_counted(linked.select("id", F.col("parent_id").alias("up"), F.col("id").alias("top"), F.array("pos").alias("path")), open=F.count("up"))

@@ -255,6 +255,21 @@ def test_conversations(table):
     assert quotes.conversations(table([], "scope bigint, msg_id string, position bigint, text string")).count() == 0
 
 
+def test_conversations_without_the_direct_parent(table):
+    data = [
+        (1, "a", 1, "First words."),
+        (1, "b", 2, "Second words."),
+        (1, "c", 4, "Parent missing.\n> lost text\n>> second words.\n>>> First words."),
+        (1, "d", 5, "Parent empty.\n>\n>> Deeper lost\n>>> First words."),
+        (1, "e", 6, "Shallow wins.\n> First words.\n>> Second words."),
+    ]
+    got = {r.msg_id: r for r in quotes.conversations(table(data, "scope bigint, msg_id string, position bigint, text string")).collect()}
+    assert {k: r.parent_id for k, r in got.items()} == {"a": None, "b": None, "c": "b", "d": "a", "e": "a"}
+    turns = [(7, 1, "One."), (7, 2, "Two."), (7, 3, ""), (7, 4, "Four."), (7, 6, "Six.")]
+    mails = quotes.mails(table(turns, "conv_id bigint, turn bigint, text string"))
+    assert {r.position: r.parent_id for r in quotes.conversations(mails).collect()} == {1: None, 2: "7-1", 3: "7-2", 4: "7-2", 6: "7-4"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from bindery.llm import toxicity
