@@ -29,8 +29,10 @@ TREES = 16
 SEARCH_SHARE, SEARCH_LEAST = 0.8, 4096
 #: Leaves that these entries make up: the search, not the input, sets how often a query is sent.
 VISITS = 100
-#: Vectors of a leaf that one task scores at once.
-BLOCK = 4096
+#: Vectors of a leaf, and queries that reached it, that one task is given at once.
+BLOCK, ASKED = 4096, 4096
+#: Queries that are scored at once.
+SLICE = 256
 
 
 class Forest:
@@ -97,6 +99,48 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
+def _repeat(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the running number of each copy, for rows that are copied `counts` times."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _copies(batch: pa.RecordBatch, at: np.ndarray, **more: np.ndarray):
+    """Rows `at` of a batch with more columns before them, in batches of bounded size."""
+    for i in range(0, len(at), BLOCK):
+        rows = pa.array(at[i : i + BLOCK])
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[i : i + BLOCK].astype(np.int32)) for x in more.values()], *[c.take(rows) for c in batch.columns]], [*more, *batch.schema.names])
+
+
+def _salt(keys) -> np.ndarray:
+    return np.array([int(k[:12], 16) for k in keys.to_pylist()], np.int64)
+
+
+def rank(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """Of one block: the k + 1 best ids for each query that came to it."""
+    ids = left.column("ids").to_pylist()
+    x, every = (_matrix(t.column("v").combine_chunks()) if t.num_rows else np.zeros((0, 1)) for t in (left, right))
+    lx = np.sqrt((x * x).sum(1))
+    keys = right.column("q").to_pylist()
+    q_out, id_out, score_out = [], [], []
+    low = np.array([i[0] for i in ids])
+    keep = min(len(x), k + 1 + 10)
+    for start in range(0, len(every) if len(x) else 0, SLICE):
+        y = every[start : start + SLICE]
+        ly = np.sqrt((y * y).sum(1))
+        rough = (y / ly[:, None]) @ (x / lx[:, None]).T
+        near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+        exact = (x[near] * y[:, None]).sum(2) / (lx[near] * ly[:, None])
+        for key, i, score in zip(keys[start : start + SLICE], near, exact, strict=True):
+            best = np.lexsort((low[i], -score))[: k + 1]
+            pairs = sorted((-score[j], v) for j in best for v in ids[i[j]])[: k + 1]
+            q_out += [key] * len(pairs)
+            id_out += [v for _, v in pairs]
+            score_out += [-s for s, _ in pairs]
+    kind = left.schema.field("ids").type.value_type
+    return pa.table([pa.array(q_out, pa.string()), pa.array(id_out, kind), pa.array(score_out, pa.float64())], names=["q", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, search_share: float = SEARCH_SHARE, visits: int = VISITS, sample: int = SAMPLE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest found by cosine, ties to the smaller id.
 
@@ -141,49 +185,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
         sizes[r["tree"], r["leaf"]] = r["count"]
     leaf_sizes = vectors.sparkSession.sparkContext.broadcast(sizes)
 
+    def reach(batches):
+        for batch in batches:
+            places = [[t << depth | x for t, x in forest.value.probe(q, leaf_sizes.value, search)] for q in unit(_matrix(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.list_(pa.int32()))], ["q", "v", "places"])
+
+    reached = cut_lineage(index.where("q").select("key", "v").mapInArrow(reach, "q string, v array<double>, places array<int>"))
+    counts = np.zeros((trees, 1 << depth), np.int64)
+    for r in reached.select(F.explode("places").alias("p")).groupBy("p").count().collect():  # a row per leaf as well
+        counts[r["p"] >> depth, r["p"] & (1 << depth) - 1] = r["count"]
+    leaf_asks = vectors.sparkSession.sparkContext.broadcast(counts)
+
     def ask(batches):
+        """Send a query to every block of the leaves it reached, into one of their parts of the queries."""
         for batch in batches:
-            v = _matrix(batch.column(1))
-            out = [(i, t, x, b) for i, q in enumerate(unit(v)) for t, x in forest.value.probe(q, leaf_sizes.value, search) for b in range(-(-int(leaf_sizes.value[t, x]) // BLOCK))]
-            i, t, x, b = np.array(out, np.int32).reshape(-1, 4).T
-            pick = pa.array(i)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(x), pa.array(b), batch.column(0).take(pick), batch.column(1).take(pick)], ["tree", "leaf", "block", "q", "v"])
+            places = batch.column(2)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(places.offsets)))
+            p = np.asarray(places.flatten())
+            t, x = p >> depth, p & (1 << depth) - 1
+            part = _salt(batch.column(0))[at] % -(-leaf_asks.value[t, x] // ASKED)
+            i, b = _repeat(-(-leaf_sizes.value[t, x] // BLOCK))
+            yield from _copies(batch.select(["q", "v"]), at[i], tree=t[i], leaf=x[i], block=b, part=part[i])
 
-    probes = index.where("q").select("key", "v").mapInArrow(ask, "tree int, leaf int, block int, q string, v array<double>")
+    probes = reached.mapInArrow(ask, "tree int, leaf int, block int, part int, q string, v array<double>")
 
     def spread(batches):
-        """Deal large leaves out over blocks."""
+        """Deal large leaves out over blocks, each to meet every part of the queries."""
         for batch in batches:
             t, x = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            blocks = np.maximum(-(-leaf_sizes.value[t, x] // BLOCK), 1)
-            h = np.array([int(k[:12], 16) for k in batch.column(2).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((h % blocks).astype(np.int32))], [*batch.schema.names, "block"])
-
-    stored = routed.mapInArrow(spread, f"tree int, leaf int, key string, v array<double>, ids array<{id_kind}>, block int")
-
-    def rank(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of one block: the k + 1 best ids for each query that came to it."""
-        ids = left.column("ids").to_pylist()
-        x, y = (_matrix(t.column("v").combine_chunks()) if t.num_rows else np.zeros((0, 1)) for t in (left, right))
-        lx, ly = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-        q_out, id_out, score_out = [], [], []
-        if len(x) and len(y):
-            low = np.array([i[0] for i in ids])
-            keep = min(len(x), k + 1 + 10)
-            rough = (y / ly[:, None]) @ (x / lx[:, None]).T
-            near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-            exact = (x[near] * y[:, None]).sum(2) / (lx[near] * ly[:, None])
-            for key, i, score in zip(right.column("q").to_pylist(), near, exact, strict=True):
-                best = np.lexsort((low[i], -score))[: k + 1]
-                pairs = sorted((-score[j], v) for j in best for v in ids[i[j]])[: k + 1]
-                q_out += [key] * len(pairs)
-                id_out += [v for _, v in pairs]
-                score_out += [-s for s, _ in pairs]
-        kind = left.schema.field("ids").type.value_type
-        return pa.table([pa.array(q_out, pa.string()), pa.array(id_out, kind), pa.array(score_out, pa.float64())], names=["q", "vec_id", "score"])
-
-    place = ("tree", "leaf", "block")
-    scored = stored.groupBy(*place).cogroup(probes.groupBy(*place)).applyInArrow(rank, f"q string, vec_id {id_kind}, score double")
+            block = _salt(batch.column(2)) % np.maximum(-(-leaf_sizes.value[t, x] // BLOCK), 1)
+            i, part = _repeat(-(-leaf_asks.value[t, x] // ASKED))
+            yield from _copies(batch, i, block=block[i], part=part)
+
+    stored = routed.mapInArrow(spread, f"block int, part int, tree int, leaf int, key string, v array<double>, ids array<{id_kind}>")
+
+    place = ("tree", "leaf", "block", "part")
+    best_of = lambda _, left, right: rank(left, right, k)
+    scored = stored.groupBy(*place).cogroup(probes.groupBy(*place)).applyInArrow(best_of, f"q string, vec_id {id_kind}, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = scored.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))

@@ -6,9 +6,11 @@ import hashlib
 import json
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -181,6 +183,36 @@ def test_nearest(table):
     assert [r.vec_id for r in sorted(got[50], key=lambda r: r.rank)] == [100, 101, 102, 103, 104]  # ties: smaller ids
 
 
+def test_queries_of_a_leaf_are_dealt_out(table, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((500, 8)).astype(np.float32)
+    vectors = table([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    whole = sorted(map(tuple, ann.nearest(vectors, F.lit(True)).collect()))
+    groups = table([], "n int").sparkSession.sparkContext.accumulator(0)
+    first = ann.rank
+
+    def counted(left, right, k):
+        assert right.num_rows <= 40  # 500 queries, dealt over 50 parts by hash
+        groups.add(1)
+        return first(left, right, k)
+
+    monkeypatch.setattr(ann, "rank", counted)
+    monkeypatch.setattr(ann, "ASKED", 10)
+    assert sorted(map(tuple, ann.nearest(vectors, F.lit(True)).collect())) == whole and len(whole) == 2500
+    assert groups.value >= 50
+
+
+def test_many_queries_of_a_block_take_bounded_memory():
+    rng = np.random.default_rng(6)
+    vectors = lambda n: pa.array(list(rng.standard_normal((n, 4))), pa.list_(pa.float64()))
+    left = pa.table({"v": vectors(4096), "ids": pa.array([[i] for i in range(4096)])})
+    right = pa.table({"v": vectors(4096), "q": pa.array([str(i) for i in range(4096)])})
+    tracemalloc.start()
+    assert ann.rank(left, right, 5).num_rows == 6 * 4096
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores of the block would take 134 MB, and their order as much
+
+
 def test_nearest_of_few(table):
     schema = "vec_id bigint, embedding array<float>"
     assert ann.nearest(table([], schema), F.lit(True)).count() == 0
