@@ -31,8 +31,10 @@ SEARCH_SHARE, SEARCH_LEAST = 0.8, 4096
 VISITS = 100
 #: Vectors of a leaf, and queries that reached it, that one task is given at once.
 BLOCK, ASKED = 4096, 4096
-#: Queries that are scored at once.
-SLICE = 256
+#: Queries that are scored at once, and pairs that are scored exactly at once.
+SLICE, PAIRS = 256, 1 << 16
+#: Rough scores this far below the last one that counts may still tie with it.
+MARGIN = 1e-9
 
 
 class Forest:
@@ -124,17 +126,18 @@ def rank(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     keys = right.column("q").to_pylist()
     q_out, id_out, score_out = [], [], []
     low = np.array([i[0] for i in ids])
-    keep = min(len(x), k + 1 + 10)
+    keep = min(len(x), k + 1)
     for start in range(0, len(every) if len(x) else 0, SLICE):
         y = every[start : start + SLICE]
         ly = np.sqrt((y * y).sum(1))
         rough = (y / ly[:, None]) @ (x / lx[:, None]).T
-        near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-        exact = (x[near] * y[:, None]).sum(2) / (lx[near] * ly[:, None])
-        for key, i, score in zip(keys[start : start + SLICE], near, exact, strict=True):
-            best = np.lexsort((low[i], -score))[: k + 1]
-            pairs = sorted((-score[j], v) for j in best for v in ids[i[j]])[: k + 1]
-            q_out += [key] * len(pairs)
+        last = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep]
+        row, near = np.nonzero(~(rough < last[:, None] - MARGIN))  # whatever may be among the best, ties included
+        exact = np.concatenate([(x[n] * y[r]).sum(1) / (lx[n] * ly[r]) for r, n in ((row[a : a + PAIRS], near[a : a + PAIRS]) for a in range(0, len(row), PAIRS))])
+        order = np.lexsort((low[near], -exact, row))
+        for q, a in enumerate(np.searchsorted(row, np.arange(len(y)))):  # `order` keeps the rows where they are
+            pairs = sorted((-exact[j], v) for j in order[a : a + keep] for v in ids[near[j]])[: k + 1]
+            q_out += [keys[start + q]] * len(pairs)
             id_out += [v for _, v in pairs]
             score_out += [-s for s, _ in pairs]
     kind = left.schema.field("ids").type.value_type

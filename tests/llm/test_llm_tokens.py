@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import json
 import random
 import struct
@@ -213,6 +214,17 @@ def test_many_queries_of_a_block_take_bounded_memory():
     assert peak < 100e6  # all scores of the block would take 134 MB, and their order as much
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_ids(table):
+    schema = "vec_id bigint, embedding array<float>"
+    scaled = [(i, [3.0 * 2.0 ** (i * 7 % 60 - 30), 4.0 * 2.0 ** (i * 7 % 60 - 30)]) for i in range(1, 61)]
+    binary = [(100 + n, [float(d in pair) for d in range(16)]) for n, pair in enumerate(itertools.combinations(range(16), 2))]
+    for ask, rows in (([1.0, 0.0], scaled), ([1.0] * 16, binary)):
+        for some in (rows, [(i, v) for (i, _), (_, v) in zip(rows, reversed(rows), strict=True)]):
+            got = ann.nearest(table([(0, ask), *some], schema), F.col("vec_id") == 0).collect()
+            assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for i, _ in rows[:5]]
+            assert len({r.score for r in got}) == 1
+
+
 def test_nearest_of_few(table):
     schema = "vec_id bigint, embedding array<float>"
     assert ann.nearest(table([], schema), F.lit(True)).count() == 0
