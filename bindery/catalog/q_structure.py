@@ -445,9 +445,11 @@ def _(spark, d):
     return wide_table(spark, d, "documents").select("doc_id", F.array_join(titles, " / ").alias("children"))
 
 
-def narrative(df: DataFrame) -> DataFrame:
+def narrative(df: DataFrame, whole: bool = False) -> DataFrame:
+    """Chapters composed around each document: its first 60 characters, or the `whole` of it on one line."""
     n = F.col("doc_id").cast("string")
-    line = F.btrim(X.excerpt(F.replace("text", F.lit("#"), F.lit("")), 60))
+    plain = F.replace("text", F.lit("#"), F.lit(""))
+    line = F.btrim(X.collapse_ws(plain) if whole else X.excerpt(plain, 60))
     text = F.concat(
         F.lit("# 第"), n, F.lit("章 "), F.col("source"), F.lit("\n## 人物关系\n- 甲"), n, F.lit("：朋友\n  续行\n- 乙：对手\n## 子主题："), F.col("lang"),
         F.lit("\n### 金句\n- "), line, F.lit("\n- 第二句\n### 事件1：开端\n**事件背景：** "), line, F.lit("\n**事件经过：**\n- 一\n- 二\n**事件影响：** 深远\n\n## 子主题：尾声\n### 金句\n- 末句\n"),
@@ -462,7 +464,7 @@ def narrative(df: DataFrame) -> DataFrame:
        UNION ALL SELECT doc_id, '附录' || doc_id, '附录' || doc_id FROM documents""",
 )
 def _(spark, d):
-    n = narrative(wide_table(spark, d, "documents"))
+    n = narrative(wide_table(spark, d, "documents"), whole=True)
     return unnest(n, ["doc_id"], ST.split_narrative_chapters(F.col("text")), "c").select("doc_id", "c.number", "c.title")
 
 

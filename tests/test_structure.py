@@ -158,3 +158,14 @@ def test_toc_and_narrative(spark, one):
     assert [s["subtopic_title"] for s in bare] == ["无"]
     each = one(ST.narrative_subtopics(F.lit("# 章\n文"), F.lit("主题"), F.array(F.lit("p"), F.lit(" "), F.lit("q"))))
     assert [s["subtopic_title"] for s in each] == ["p", "q"]
+
+
+def test_composed_chapters_hold_whole_documents(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ST, "split_narrative_chapters", lambda c: F.array(F.struct(c.alias("number"), c.alias("title"))))
+    composed = {r.doc_id: r.title for r in entry.queries()["narrative_chapters"](spark, d).collect()}
+    texts = {r.doc_id: r.text.replace("#", "").split() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert set(composed) == set(texts) and max(map(len, texts.values())) > 1000
+    assert all(" ".join(words) in " ".join(composed[i].split()) for i, words in texts.items())
