@@ -27,6 +27,9 @@ _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
+#: Responses that have no body, whatever their headers say.
+_BODILESS = re.compile(r"HTTP/\S+\s+(?:1\d\d|204|304)\b")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 OUT = "kind string, record_id string, refers_to string, target_uri string, date string, block_digest string, payload_digest string, source_digests_ok boolean, error string, record binary"
@@ -79,21 +82,48 @@ def _same(stated: str | None, data: bytes) -> bool:
     return value.lower() == own.hexdigest() or value.rstrip("=").upper() == base64.b32encode(own.digest()).decode().rstrip("=")
 
 
+def _codings(headers: list[tuple[str, str]], name: str) -> list[str]:
+    """Encodings that a header lists, last applied first."""
+    listed = ",".join(v for k, v in headers if k.lower() == name.lower()).lower().split(",")
+    return [x for x in (y.strip() for y in reversed(listed)) if x not in ("", "identity")]
+
+
+def _joined(body: bytes) -> bytes:
+    """The chunks of a body; ValueError if one, or the last of size 0, is missing."""
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not _HEX.fullmatch(size):
+            raise ValueError("no chunk size")
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    raise ValueError("no last chunk")
+
+
+def _inflated(coding: str, body: bytes) -> bytes:
+    """All members of a compressed body; ValueError if the last one ends early. No bytes are an empty body."""
+    out = []
+    while body.strip(b"\0") or body and not out:
+        member = zlib.decompressobj(47 if "gzip" in coding or body[:1] == b"\x78" else -15)
+        out.append(member.decompress(body))
+        if not member.eof:
+            raise ValueError("compressed data end early")
+        body = member.unused_data
+    return b"".join(out)
+
+
 def _entity(headers: list[tuple[str, str]], body: bytes) -> bytes:
-    """The body without transfer and content encoding."""
-    if "chunked" in (_get(headers, "Transfer-Encoding") or "").lower():
-        out, at = [], 0
-        while (end := body.find(b"\n", at)) >= 0:
-            size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
-            if not size:
-                break
-            out.append(body[end + 1 : end + 1 + size])
-            at = end + 1 + size
-            at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
-        body = b"".join(out)
-    coding = (_get(headers, "Content-Encoding") or "").lower()
-    if coding in ("gzip", "x-gzip", "deflate"):
-        body = zlib.decompressobj(47 if "gzip" in coding or body[:1] == b"\x78" else -15).decompress(body)
+    """The body without transfer and content encodings; ValueError or zlib.error if one can't be undone."""
+    for coding in _codings(headers, "Transfer-Encoding") + _codings(headers, "Content-Encoding"):
+        if coding == "chunked":
+            body = _joined(body)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            body = _inflated(coding, body)
+        else:
+            raise ValueError(f"encoding {coding} is not known")
     return body
 
 
@@ -137,7 +167,7 @@ def derive_one(raw: bytes | None) -> list[dict]:
     if not status.startswith("HTTP/"):
         return [row | {"kind": "error", "error": "no HTTP response"}]
     try:
-        entity = _entity(headers, body)
+        entity = body if not body and _BODILESS.match(status) else _entity(headers, body)
     except (ValueError, zlib.error):
         return [row | {"kind": "error", "error": "encoding of the body can't be undone"}]
     page = _decode(headers, entity)

@@ -270,6 +270,41 @@ def test_derivatives_of_bad_records(table):
     assert warc.derive(table([], "page_id bigint, record binary")).count() == 0
 
 
+def test_bodies_are_read_whole_or_refused():
+    page, packed = b"<p>one</p><p>two</p>", gzip.compress
+    chunk = lambda b: f"{len(b):x}\r\n".encode() + b + b"\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bare = raw.compress(page) + raw.flush()
+    whole = [
+        (packed(page[:10]) + packed(page[10:]), "Content-Encoding: gzip"),
+        (packed(page) + bytes(8), "Content-Encoding: gzip"),
+        (packed(packed(page)), "Content-Encoding: gzip, x-gzip"),
+        (packed(zlib.compress(page)), "Content-Encoding: deflate\r\nContent-Encoding: gzip"),
+        (bare, "Content-Encoding: identity, deflate"),
+        (chunk(packed(page)) + b"0\r\n\r\n", "Transfer-Encoding: gzip, chunked"),
+    ]
+    for body, headers in whole:
+        text = warc.derive_one(record(body, headers))[1]["record"]
+        assert text.rstrip().endswith(b"\r\n\r\none\ntwo"), headers
+    cut = [
+        (packed(page)[:-9], "Content-Encoding: gzip"),
+        (packed(page) + packed(page)[:-9], "Content-Encoding: gzip"),
+        (packed(page) + b"<p>rest</p>", "Content-Encoding: gzip"),
+        (zlib.compress(page)[:-5], "Content-Encoding: deflate"),
+        (chunk(page), "Transfer-Encoding: chunked"),
+        (chunk(page)[:-9], "Transfer-Encoding: chunked"),
+        (chunk(page) + b"-1\r\n", "Transfer-Encoding: chunked"),
+        (b"", "Transfer-Encoding: chunked"),
+        (page, "Content-Encoding: br"),
+        (page, "Content-Encoding: zstd"),
+        (packed(page), "Content-Encoding: br, gzip"),
+    ]
+    for body, headers in cut:
+        assert [r["kind"] for r in warc.derive_one(record(body, headers))] == ["error"], (body, headers)
+    unchanged = record(b"", "Transfer-Encoding: chunked").replace(b"200 OK", b"304 No")
+    assert len(warc.derive_one(unchanged)) == 2
+
+
 def test_quote_levels():
     text = "Yes.\n\nOn Monday Ann wrote:\n> Shall we?\n>\n> > First  \n>> idea\n> Tell me.\nBye"
     found = [(level, [x for x in lines if x]) for level, lines in quotes.passages(text)]
