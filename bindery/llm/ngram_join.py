@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .flat import bounds, mix
 from .graph import components
-from .rows import mark_members, write_counted
+from .rows import mark_members
 from .shingles import WORDS, shingle_sets
 
 #: Jaccard threshold as a ratio of whole numbers.
@@ -214,35 +214,35 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
     lists = cut_lineage(postings(docs, size, threshold, universe, text).join(members.drop("doc_id"), ["c", "n"]))
     place = ["c", "n", "pos", "prev", *_PARITY]
 
-    def candidates(met: DataFrame) -> tuple[DataFrame, int]:
+    def candidates(met: DataFrame, done: DataFrame | None = None) -> DataFrame:
+        """The distinct pairs of `met` that pass the filters, but for those in `done`."""
         swap = "c > c2"
-        pairs = met.selectExpr("least(c, c2) AS c", f"if({swap}, n2, n) AS n", "greatest(c, c2) AS c2", f"if({swap}, n, n2) AS n2")
-        table, seen = write_counted(pairs.distinct())
-        return table, seen["rows"]
+        pairs = met.where(_close(threshold)).selectExpr("least(c, c2) AS c", f"if({swap}, n2, n) AS n", "greatest(c, c2) AS c2", f"if({swap}, n, n2) AS n2").distinct()
+        return cut_lineage(pairs if done is None else pairs.join(done, ["c", "c2"], "left_anti"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return _verify(pairs, docs, members, size, threshold, id_col, text)
 
-    root = None  # (c, root) of classes connected so far
     rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("c", F.lit("lead")), "c"))
     lead = lists.withColumn("rank", rank).where(F.col("rank") <= pivots)
     met = lists.join(lead.selectExpr("h", *[f"{x} AS {x}2" for x in place]), "h").where("c <> c2")
-    tested, count = candidates(met.where(_close(threshold)))
-    if count:
-        root = cut_lineage(components(linked(tested).toDF("a", "b")).withColumnRenamed("node", "c"))
-        rows = lists.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        rows = cut_lineage(rows.join(mixed, "h", "left_semi"))
-        met = rows.join(rows.selectExpr("h", *[f"{x} AS {x}2" for x in [*place, "root"]]), "h").where("c < c2 AND root <> root2")
-        rest, count = candidates(met.where(_close(threshold)).join(tested.select("c", "c2"), ["c", "c2"], "left_anti"))
-        if count:
-            a, b = root.selectExpr("c", "root AS a"), root.selectExpr("c AS c2", "root AS b")
-            more = linked(rest).join(a, "c", "left").join(b, "c2", "left").select(F.coalesce("a", "c").alias("a"), F.coalesce("b", "c2").alias("b"))
-            moved = cut_lineage(components(more).withColumnRenamed("root", "top"))
-            old = root.join(moved, F.col("root") == F.col("node"), "left").select("c", F.coalesce("top", "root").alias("root"))
-            root = old.union(moved.select(F.col("node").alias("c"), F.col("top").alias("root")).join(root, "c", "left_anti"))
-    label = members.select("c", "n", "doc_id") if root is None else members.join(root, "c", "left")
-    label = label.withColumn("root", F.coalesce("root", "c")) if root is not None else label.withColumn("root", F.col("c"))
+    tested = candidates(met)
+    # (c, root) of classes connected so far; empty where the leads found nothing.
+    root = cut_lineage(components(linked(tested).toDF("a", "b")).withColumnRenamed("node", "c"))
+    rows = lists.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    # What lies outside a list's largest component meets all of the list, so that component never meets itself.
+    parts = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("h").agg(F.max_by("root", F.struct("size", "root")).alias("big"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "big")
+    rows = cut_lineage(rows.join(mixed, "h"))
+    every = rows.selectExpr("h", "big = root AS inside", *[f"{x} AS {x}2" for x in [*place, "root"]])
+    met = rows.where("root <> big").join(every, "h").where("root <> root2 AND (inside OR c < c2)")
+    rest = candidates(met, tested.select("c", "c2"))
+    a, b = root.selectExpr("c", "root AS a"), root.selectExpr("c AS c2", "root AS b")
+    more = linked(rest).join(a, "c", "left").join(b, "c2", "left").select(F.coalesce("a", "c").alias("a"), F.coalesce("b", "c2").alias("b"))
+    moved = cut_lineage(components(more).withColumnRenamed("root", "top"))
+    old = root.join(moved, F.col("root") == F.col("node"), "left").select("c", F.coalesce("top", "root").alias("root"))
+    root = old.union(moved.select(F.col("node").alias("c"), F.col("top").alias("root")).join(root, "c", "left_anti"))
+    label = members.select("c", "n", "doc_id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     # The class with its set size names the component of classes that link nothing.
     top = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = label.join(top, "root").select(F.col("c").alias("k"), F.col("n").alias("kn"), "component_id")

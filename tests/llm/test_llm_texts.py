@@ -1,14 +1,19 @@
 """Exact copies, n-gram join, personal data, toxicity."""
 
 import hashlib
+import itertools
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import plain
 from bindery.llm import exact_dedup, graph, ngram_join, pii, rows, toxicity
+from bindery.llm.flat import text_slices
 from bindery.session import ship_code
 
 
@@ -91,6 +96,25 @@ def test_ngram_join(docs_of, universe, pivots):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {k: (want[k], sizes[k]) for k in want}
 
 
+def unlinked_lists():
+    """Two documents at exactly 0.8 whose lists are led by over 16 others, no two of which link."""
+    common = [f"h{i}" for i in range(10)]
+    pairs = [" ".join(["g1", "g2", *common[:6], last]) for last in ("h6", "h7")]
+    combos = list(itertools.combinations(common, 6))
+    fillers = [" ".join(["g1", *c]) for c in combos[:150]] + [" ".join(["g2", *c]) for c in combos[-160:]]
+    return list(enumerate(pairs + fillers))
+
+
+@pytest.mark.parametrize("copies", [0, 2])
+def test_links_do_not_depend_on_other_rows(docs_of, copies):
+    data = unlinked_lists()
+    data += [(1_000 + i, " ".join(f"u{j}" for j in range(20 + i))) for i in range(copies)]
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(docs_of(data), size=1, universe=1.0).collect()}
+    assert got[0] == got[1] == 0
+    assert all(got[i] == i for i in range(2, 312))
+    assert {got[1_000 + i] for i in range(copies)} <= {1_000}
+
+
 def test_ngram_join_edges(docs_of):
     assert ngram_join.join_components(docs_of([])).count() == 0
     assert {r.component_id for r in ngram_join.join_components(docs_of([(3, None), (4, "")])).collect()} == {3, 4}
@@ -125,6 +149,28 @@ def test_contexts_find_the_unseen(docs_of):
     assert pii.find(docs_of([])).count() == 0 == pii.redact(docs_of([])).count()
 
 
+def test_candidates_next_to_many_spans():
+    text = " ".join(f"a{i}@b.cd id{i:06d} or 10.0.0.{i % 256}" for i in range(3000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 6000
+    start = time.process_time()
+    found = [(s, e) for s, e, k, *_ in pii.candidates(text, spans) if k < 0]
+    assert time.process_time() - start < 2
+    assert len(found) == 3000 and all(text[s:e].startswith("id") for s, e in found)
+
+
+def test_marks_take_a_byte_for_a_byte():
+    column = pa.array(["no mark here " * 200, "", "one 1 ", None, "x@y"] * 5_000)  # 13 MB
+    tracemalloc.start()
+    got = [lo + i for lo, _, data, offsets in text_slices(column) for i in pii.marked(data, offsets).tolist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [5 * i + j for i in range(5_000) for j in (2, 4)]
+    assert peak < 8 << 20
+    data, offsets = np.frombuffer(b"ab1", np.uint8), np.array([0, 0, 2, 2, 3, 3])
+    assert pii.marked(data, offsets).tolist() == [3] and pii.marked(data[:0], np.zeros(3, int)).tolist() == []
+
+
 def test_redaction_keeps_columns(docs_of):
     docs = docs_of([(1, "a +1 (017) 555-7713 b", 21, "x"), (2, None, None, "y"), (3, "", 0, None)], "doc_id bigint, text string, n_chars bigint, more string")
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
