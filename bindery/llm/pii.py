@@ -13,6 +13,8 @@ add nothing. Scores are aggregates over the whole corpus with map-side sums.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .flat import buffers
+from .flat import text_slices
 from .rows import mark_members
 
 KINDS = ("email", "ip", "card", "phone")
@@ -82,8 +84,9 @@ def _words(text: str) -> list[str]:
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(start, end, kind or -1, surface, contexts) of base spans and of what else looks like an identifier."""
-    taken = [(s, e, k) for s, k, e in spans]
-    found = list(taken)
+    found = [(s, e, k) for s, k, e in spans]
+    # Spans by start, and the furthest end of each and those before it: one bisection tells an overlap.
+    starts, ends = [s for s, _, _ in spans], list(itertools.accumulate((e for _, _, e in spans), max))
     for m in _WORD.finditer(text) if _MARK.search(text) else ():
         raw = m.group()
         start = m.start() + len(raw) - len(raw.lstrip(_TRIM))
@@ -91,7 +94,8 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         end = start + len(surface)
         if len(surface) < 6 or sum(c.isdigit() for c in surface) < 4 and "@" not in surface:
             continue
-        if not any(s < end and start < e for s, e, _ in taken):
+        before = bisect.bisect_left(starts, end)
+        if not before or ends[before - 1] <= start:
             found.append((start, end, -1))
     out = []
     for start, end, kind in found:
@@ -117,26 +121,29 @@ def _scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column(2)
-            spans, found = [[]] * len(column), [[]] * len(column)
-            for i in _marked(column):
-                value = column[int(i)].as_py()
-                own = base_spans(value)
-                spans[i] = [{"start": s, "kind": k, "end": e} for s, k, e in own]
-                found[i] = [{"start": s, "end": e, "kind": k, "surface": x, "contexts": c} for s, e, k, x, c in candidates(value, own)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(cand))], ["doc_id", "k", "spans", "found"])
+            for lo, hi, data, offsets in text_slices(column):
+                spans, found = [[]] * (hi - lo), [[]] * (hi - lo)
+                for i in marked(data, offsets).tolist():
+                    value = column[lo + i].as_py()
+                    own = base_spans(value)
+                    spans[i] = [{"start": s, "kind": k, "end": e} for s, k, e in own]
+                    found[i] = [{"start": s, "end": e, "kind": k, "surface": x, "contexts": c} for s, e, k, x, c in candidates(value, own)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(cand))], ["doc_id", "k", "spans", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, k bigint, spans array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,surface:string,contexts:array<string>>>")
 
 
-def _marked(column) -> np.ndarray:
-    """Rows whose text has a digit or an @."""
-    data, offsets = buffers(column)
-    mark = ((data >= 48) & (data <= 57)) | (data == 64)
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(mark, out=total[1:])
-    return np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]])
+_MARKS = np.zeros(256, bool)
+_MARKS[[*range(48, 58), 64]] = True
+
+
+def marked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of a slice whose text has a digit or an @: a byte of work space per byte of text."""
+    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+    return filled[np.logical_or.reduceat(_MARKS[data], offsets[filled])] if len(filled) else filled
 
 
 def induce(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -203,19 +210,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settin
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            column, extra = batch.column(at), batch.column(batch.num_columns - 1)
-            out = column.to_pylist()
-            marked = set(_marked(column).tolist())
-            for i, value in enumerate(out):
-                more = extra[i].as_py()
-                if value and (i in marked or more):
-                    out[i] = _replace(value, sorted(base_spans(value) + [(s["start"], s["kind"], s["end"]) for s in more]))
-            arrays = batch.columns[:-1]
-            arrays[at] = pa.array(out, column.type)
-            if "n_chars" in batch.schema.names:
-                j = batch.schema.get_field_index("n_chars")
-                arrays[j] = pa.array([old if new is None else len(new) for old, new in zip(batch.column(j).to_pylist(), out, strict=True)], batch.column(j).type)
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                column, extra = part.column(at), part.column(batch.num_columns - 1)
+                out = column.to_pylist()
+                for i in set(marked(data, offsets).tolist()).union(np.flatnonzero(np.asarray(extra.value_lengths())).tolist()):
+                    if out[i]:
+                        out[i] = _replace(out[i], sorted(base_spans(out[i]) + [(s["start"], s["kind"], s["end"]) for s in extra[i].as_py()]))
+                arrays = part.columns[:-1]
+                arrays[at] = pa.array(out, column.type)
+                if "n_chars" in part.schema.names:
+                    j = part.schema.get_field_index("n_chars")
+                    arrays[j] = pa.array([old if new is None else len(new) for old, new in zip(part.column(j).to_pylist(), out, strict=True)], part.column(j).type)
+                yield pa.RecordBatch.from_arrays(arrays, part.schema.names[:-1])
 
     return every.mapInArrow(run, docs.schema)
 
