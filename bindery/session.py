@@ -36,11 +36,12 @@ def get_session(app: str = "bindery", **extra: str) -> SparkSession:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set only the session settings that change results or plan quality."""
+    """Set only the session settings that change results, plan quality or the memory of Python workers."""
     for key in (
         "spark.sql.session.timeZone",
         "spark.sql.mapKeyDedupPolicy",
         "spark.sql.adaptive.forceOptimizeSkewedJoin",
+        "spark.sql.execution.arrow.maxRecordsPerBatch",
     ):
         spark.conf.set(key, SETTINGS[key])
     return spark
