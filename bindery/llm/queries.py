@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, tune
-from . import ann, bpe, exact_dedup, ngram_join, pack, pii, quotes, token_counts, toxicity, warc
+from . import ann, bpe, exact_dedup, fill_middle, hard_negatives, ngram_join, pack, pii, quotes, shard_tree, token_counts, toxicity, warc
 
 
 @dataclass(frozen=True)
@@ -96,3 +96,19 @@ def op7(spark, read):
     digest = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
     path = F.array_join(F.col("path").cast("array<string>"), "/")
     return found.select(F.col("scope").alias("conv_id"), F.col("position").alias("turn"), "parent_id", "root_id", F.col("depth").cast("bigint").alias("depth"), path.alias("reply_path"), digest.alias("text_sha256"))
+
+
+@add("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark, read):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read("embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@add("op12_shard_tree")
+def op12(spark, read):
+    return shard_tree.shard_rows(read("documents"), 8)
+
+
+@add("op13_fill_middle", fill_middle.SQL)
+def op13(spark, read):
+    return fill_middle.round_trip_digests(read("documents"))
