@@ -34,67 +34,70 @@ CONCEPT, QUOTE, VIEWPOINT, ARGUMENT, CASE, EVIDENCE = "概念", "金句", "观
 RELATION = "人物关系"
 
 
-def _field(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}", "variant")
-
-
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
-
-
-def _string(v: Column, name: str) -> Column:
-    """A text field; null where it is missing or of another type."""
-    return F.when(_is(_field(v, name), "STRING"), F.try_variant_get(v, f"$.{name}", "string"))
+# The same shapes with texts left as they came, to be read by their own type.
+_RAW_TEXT = "struct<text:variant,source_content_indexes:array<variant>>"
+_RAW_CASE = f"struct<summary:variant,relation:variant,source_content_indexes:array<variant>,evidence_quotes:array<{_RAW_TEXT}>>"
+_RAW = (
+    "struct<chapter_title:variant,chapter_theme:variant,subtopics:array<struct<title:variant,"
+    "definitions:array<struct<name:variant,definition:variant,source_content_indexes:array<variant>>>,"
+    f"quotes:array<{_RAW_TEXT}>,"
+    f"viewpoints:array<struct<text:variant,source_content_indexes:array<variant>,arguments:array<{_RAW_TEXT}>,`case`:variant>>,"
+    f"orphan_arguments:array<{_RAW_TEXT}>,orphan_cases:array<{_RAW_CASE}>>>>"
+)
 
 
-def _elements(v: Column, name: str) -> Column:
-    return F.when(_is(_field(v, name), "ARRAY"), F.try_variant_get(v, f"$.{name}", "array<variant>"))
+def _string(v: Column) -> Column:
+    """A text; null where it is missing or of another type. Only scalars are asked for their type."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def parse_analysis(raw: Column) -> Column:
     """Model output to the nested analysis; null when it is not a JSON object.
 
-    Lists are read element by element: what is no object becomes a null
-    element, what is no text a null text, so one bad item never hides its
-    neighbours. A case that is no object has nulls throughout, its list of
-    indexes included, which an object never has.
+    One cast reads the whole shape, element by element: what is no object
+    becomes a null element, what is no list a null list. What is no text
+    becomes a null text, so one bad item never hides its neighbours. A case
+    that is no object has nulls throughout, its list of indexes included,
+    which an object never has.
     """
 
-    def ids(v: Column) -> Column:
-        texts = F.transform(_elements(v, "source_content_indexes"), lambda e: F.when(_is(e, "STRING"), F.try_variant_get(e, "$", "string")))
-        return _list(texts, "string").alias("source_content_indexes")
+    def ids(e: Column) -> Column:
+        return _list(F.transform(e["source_content_indexes"], _string), "string").alias("source_content_indexes")
+
+    def each(e: Column, name: str, item) -> Column:
+        return F.transform(e[name], lambda x: F.when(x.isNotNull(), item(x))).alias(name)
 
-    def each(v: Column, name: str, item) -> Column:
-        return F.transform(_elements(v, name), lambda e: F.when(_is(e, "OBJECT"), item(e))).alias(name)
+    def fields(e: Column, *names: str) -> list[Column]:
+        return [_string(e[n]).alias(n) for n in names]
 
     def text(e: Column) -> Column:
-        return F.struct(_string(e, "text").alias("text"), ids(e))
+        return F.struct(*fields(e, "text"), ids(e))
 
     def definition(e: Column) -> Column:
-        return F.struct(_string(e, "name").alias("name"), _string(e, "definition").alias("definition"), ids(e))
+        return F.struct(*fields(e, "name", "definition"), ids(e))
 
     def case(e: Column) -> Column:
-        return F.struct(_string(e, "summary").alias("summary"), _string(e, "relation").alias("relation"), ids(e), each(e, "evidence_quotes", text))
+        return F.struct(*fields(e, "summary", "relation"), ids(e), each(e, "evidence_quotes", text))
 
     def optional_case(v: Column) -> Column:
-        c = _field(v, "case")
         broken = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("summary", "string"), ("relation", "string"), ("source_content_indexes", "array<string>"), ("evidence_quotes", f"array<{_TEXT}>"))])
-        return F.when(_is(c, "OBJECT"), case(c)).when(c.isNotNull() & ~_is(c, "VOID"), broken).alias("case")
+        there = v.isNotNull() & ~F.is_variant_null(v)
+        return F.when(there, X.let(F.struct(F.try_variant_get(v, "$", _RAW_CASE).alias("c")), lambda s: F.when(s["c"].isNotNull(), case(s["c"])).otherwise(broken))).alias("case")
 
     def viewpoint(e: Column) -> Column:
-        return F.struct(_string(e, "text").alias("text"), ids(e), each(e, "arguments", text), optional_case(e))
+        return F.struct(*fields(e, "text"), ids(e), each(e, "arguments", text), optional_case(e["case"]))
 
     def subtopic(e: Column) -> Column:
         return F.struct(
-            _string(e, "title").alias("title"), each(e, "definitions", definition), each(e, "quotes", text),
+            *fields(e, "title"), each(e, "definitions", definition), each(e, "quotes", text),
             each(e, "viewpoints", viewpoint), each(e, "orphan_arguments", text), each(e, "orphan_cases", case),
         )
 
     def whole(v: Column) -> Column:
-        top = F.struct(_string(v, "chapter_title").alias("chapter_title"), _string(v, "chapter_theme").alias("chapter_theme"), each(v, "subtopics", subtopic))
-        return F.when(_is(v, "OBJECT"), top)
+        return F.when(v.isNotNull(), F.struct(*fields(v, "chapter_title", "chapter_theme"), each(v, "subtopics", subtopic)))
 
-    return X.let(F.struct(F.try_parse_json(X.strip_code_fence(raw)).alias("v")), lambda s: whole(s["v"])).cast(ANALYSIS_SCHEMA)
+    value = F.try_variant_get(F.try_parse_json(X.strip_code_fence(raw)), "$", _RAW)
+    return X.let(F.struct(value.alias("v")), lambda s: whole(s["v"])).cast(ANALYSIS_SCHEMA)
 
 
 def parse_json_object(raw: Column) -> Column:

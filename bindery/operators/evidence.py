@@ -15,7 +15,9 @@ split skewed sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..ordered import assemble, first_per_group, position_block, running
@@ -57,13 +59,24 @@ def direct_evidence(episode_cards: DataFrame, card_sources: DataFrame, members:
 
     `members` must already be limited to current sets.
     """
-    # Sources meet their places first: that is dimension-sized, episode cards are not.
-    cited = episode_cards.join(card_sources.join(members, "content_index"), "card_id")
+    # A fragment's place does not depend on the card, so places are decided on
+    # the dimension; the rows that multiply carry numbers only.
     place = [c for c in members.columns if c != "content_index"]
-    # One row decides the card and the place together.
-    first = F.min(F.struct("position", "card_id", "source_order", *place)).alias("_row")
-    best = cited.groupBy("episode_id", "content_index").agg(first)
-    return best.select("episode_id", "content_index", *[F.col(f"_row.{c}").alias(c) for c in ["card_id", *place]])
+    places = members.groupBy("content_index").agg(F.min(F.struct(*place)).alias("_place"))
+    cited = episode_cards.join(card_sources.select("card_id", "content_index").join(places.select("content_index"), "content_index", "left_semi"), "card_id")
+    best = cited.groupBy("episode_id", "content_index").agg(F.min_by("card_id", _card_order(cited)).alias("card_id"))
+    return best.join(places, "content_index").select("episode_id", "content_index", "card_id", *[F.col(f"_place.{c}").alias(c) for c in place])
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _card_order(cited: DataFrame) -> Column:
+    """Order of cards by position, then id: one number where both are whole numbers, which a hash aggregate can hold."""
+    kinds = {f.name: f.dataType.simpleString() for f in cited.schema.fields}
+    if kinds["card_id"] in _WHOLE and kinds["position"] in _WHOLE[:3]:
+        return F.col("position").cast("decimal(10,0)") * F.lit(Decimal(10**20)) + F.col("card_id").cast("decimal(19,0)")
+    return F.struct("position", "card_id")
 
 
 def cards_without_evidence(episode_cards: DataFrame, card_sources: DataFrame, members: DataFrame) -> DataFrame:
@@ -75,19 +88,22 @@ def cards_without_evidence(episode_cards: DataFrame, card_sources: DataFrame, me
 def auxiliary_context(direct: DataFrame, members: DataFrame, section: str, reach: int = 1) -> DataFrame:
     """Fragments within `reach` positions of direct evidence, same set and section.
 
-    The range condition becomes an equi join by listing the wanted positions.
-    Each direct fragment lists its own position as well, marked, so that one
+    The range condition becomes an equi join on positions: what lies around
+    each position is listed once, on the dimension, its own members marked as
+    direct. Rows per episode then carry an id and two small numbers, and one
     aggregate both removes repeats and drops neighbours that are themselves
     direct; `direct` is read once and no anti join is needed.
     """
+    place = [c for c in members.columns if c != "content_index"]
+    numbered = members.withColumn("_place", F.row_number().over(Window.partitionBy("content_index").orderBy(*place)))
     offsets = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
-    wanted = direct.select("episode_id", "set_id", section, "book_position", F.explode(offsets).alias("_d")).select(
-        "episode_id", "set_id", section, (F.col("book_position") + F.col("_d")).alias("book_position"), (F.col("_d") == 0).alias("_direct")
-    )
-    near = wanted.join(members, ["set_id", section, "book_position"])
-    place = [c for c in members.columns if c not in ("content_index",)]
-    found = near.groupBy("episode_id", "content_index").agg(F.max("_direct").alias("_direct"), F.min(F.struct(*place)).alias("_row"))
-    return found.filter(~F.col("_direct")).select("episode_id", "content_index", *[F.col(f"_row.{c}").alias(c) for c in place])
+    spread = numbered.select("set_id", section, "book_position", "content_index", "_place", F.explode(offsets).alias("_d"))
+    entry = F.struct("content_index", "_place", (F.col("_d") == 0).alias("_direct"))
+    around = spread.groupBy("set_id", section, (F.col("book_position") + F.col("_d")).alias("book_position")).agg(F.collect_list(entry).alias("_around"))
+    near = direct.select("episode_id", "set_id", section, "book_position").join(around, ["set_id", section, "book_position"])
+    near = near.select("episode_id", F.explode("_around").alias("_n")).select("episode_id", "_n.*")
+    found = near.groupBy("episode_id", "content_index").agg(F.max("_direct").alias("_direct"), F.min("_place").alias("_place")).filter(~F.col("_direct"))
+    return found.join(numbered, ["content_index", "_place"]).select("episode_id", "content_index", *place)
 
 
 def bundle_text(kind: str, header: Column, path: Column, body: Column) -> Column:
