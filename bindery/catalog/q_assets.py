@@ -12,7 +12,7 @@ from . import views as V
 from .q_evidence import ANALYSES, analyses, links
 from .q_structure import source_books
 from .q_text import FLAT
-from .registry import query, table, wide_table
+from .registry import query, table
 
 
 def _ref(c: Column) -> Column:
@@ -35,7 +35,7 @@ def composed(spark, d) -> DataFrame:
             F.array(item(F.lit("e"), own), item(F.lit("f"), far)).alias("evidence_quotes"),
         ),
     )
-    line = wide_table(spark, d, "lineitem").select(
+    line = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"),
         F.when(
@@ -180,12 +180,46 @@ def _(spark, d):
 
 @query(
     "strict_failures", "N8",
-    """WITH t AS (SELECT l_orderkey, o_orderkey % 50 = 0 AS bad_title FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-       SELECT l_orderkey AS analysis_id FROM t WHERE bad_title GROUP BY 1""",
+    f"""WITH {LINES}, i AS (
+          SELECT l_orderkey, 0 AS g, 0 AS no, 0 AS part, 'chapter_title 不能为空' AS error FROM lines WHERE bad_title
+          UNION ALL SELECT l_orderkey, 1, item_no, 0, '概念“d' || l_partkey || '” 引用了无效 content_index：content_' || CASE WHEN NOT v1 THEN l_suppkey + 1 ELSE l_suppkey END FROM lines WHERE l_returnflag = 'A' AND NOT (v0 AND v1)
+          UNION ALL SELECT l_orderkey, 2, item_no, 0, '金句 引用了无效 content_index：content_' || l_suppkey FROM lines WHERE l_returnflag = 'R' AND NOT v0
+          UNION ALL SELECT l_orderkey, 3, item_no, 0, CASE WHEN NOT has_text THEN 'viewpoint.text 不能为空' ELSE '主要观点 引用了无效 content_index：content_' || l_suppkey END FROM lines WHERE l_returnflag = 'N' AND NOT (v0 AND has_text)
+          UNION ALL SELECT l_orderkey, 3, item_no, 1, '论据 引用了无效 content_index：content_' || (l_suppkey + 1) FROM lines WHERE l_returnflag = 'N' AND NOT v1
+          UNION ALL SELECT l_orderkey, 3, item_no, 2, CASE WHEN NOT v1 THEN '案例 引用了无效 content_index：content_' || (l_suppkey + 1) WHEN NOT v0 THEN '案例 引用了无效 content_index：content_' || l_suppkey
+                WHEN v50 THEN '案例证据索引必须包含在案例来源索引中' ELSE '案例证据 引用了无效 content_index：content_' || (l_suppkey + 50) END FROM lines WHERE l_returnflag = 'N' AND l_linenumber % 2 = 0)
+        SELECT l_orderkey AS analysis_id, arg_min(error, row(g, no, part)) AS first_error FROM i GROUP BY 1""",
 )
 def _(spark, d):
-    r = A.strict_failures(validated(spark, d))
-    return r.filter(F.col("first_error") == "chapter_title 不能为空").select("analysis_id")
+    return A.strict_failures(validated(spark, d)).select("analysis_id", "first_error")
+
+
+@query(
+    "asset_items_malformed", "N1 N3 N4 N5 N6 N7",
+    """WITH ok AS (SELECT s_suppkey AS k, s_nationkey % 2 AS root FROM supplier), l AS (
+          SELECT l_orderkey, l_linenumber % 5 AS kind, 'q' || l_partkey AS title, 'content_' || l_suppkey AS ref, k IS NOT NULL AS known
+          FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN ok ON k = l_suppkey AND root = o_custkey % 2),
+        i AS (SELECT l_orderkey, '金句' AS asset_type, CASE WHEN kind IN (1, 2) THEN '金句' ELSE title END AS title, CASE kind WHEN 1 THEN 'quotes 条目必须包含 text 和 source_content_indexes' WHEN 2 THEN 'quote.text 不能为空' WHEN 3 THEN '金句 的 source_content_indexes 无效'
+              ELSE CASE WHEN NOT known THEN '金句 引用了无效 content_index：' || ref END END AS error FROM l WHERE kind <> 4
+          UNION ALL SELECT l_orderkey, '观点', title, CASE WHEN NOT known THEN '主要观点 引用了无效 content_index：' || ref END FROM l WHERE kind = 4
+          UNION ALL SELECT l_orderkey, '案例', '案例', 'case 结构无效' FROM l WHERE kind = 4)
+        SELECT l_orderkey AS analysis_id, asset_type, title, error FROM i WHERE error IS NOT NULL""",
+)
+def _(spark, d):
+    # Quotes by line number: an object, a bare text, a numeric text, an index that is a number; a viewpoint whose case is a text.
+    kind, ref = F.col("l_linenumber") % 5, _ref(F.col("l_suppkey"))
+    item = lambda text, more="", ids="": F.concat(F.lit('{"text":'), text, F.lit(',"source_content_indexes":["'), ref, F.lit(f'"{ids}]{more}}}'))
+    title = F.concat(F.lit('"q'), F.col("l_partkey").cast("string"), F.lit('"'))
+    quote = F.when(kind == 0, item(title)).when(kind == 1, title).when(kind == 2, item(F.col("l_partkey").cast("string"))).when(kind == 3, item(title, ids=",7"))
+    view = F.when(kind == 4, item(title, more=',"arguments":"none","case":"told"'))
+    listed = lambda name, c: F.concat(F.lit(f'"{name}":['), F.array_join(F.collect_list(c), ","), F.lit("]"))
+    raw = F.concat(F.lit('{"chapter_title":"t","chapter_theme":"h","subtopics":[{"title":7,"definitions":{},'), listed("quotes", quote), F.lit(","), listed("viewpoints", view), F.lit("}]}"))
+    grouped = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(raw.alias("raw"))
+    told = table(spark, d, "orders").join(grouped, "o_orderkey").select(
+        F.col("o_orderkey").alias("analysis_id"), (F.col("o_custkey") % 2).alias("root_section_id"), F.lit(0).alias("set_id"), A.parse_analysis(F.col("raw")).alias("data")
+    )
+    checked = A.validate(A.resolve(cut_lineage(told), allowed(spark, d)))
+    return unnest(checked, ["analysis_id"], "issues", "i").select("analysis_id", "i.asset_type", "i.title", "i.error")
 
 
 def _id_sql(kind: str, body: str, ix: str) -> str:
@@ -381,7 +415,7 @@ def _(spark, d):
 def _(spark, d):
     chapter = F.struct(F.col("lang").alias("title"), F.col("text").alias("content"), F.array(F.struct(F.col("source").alias("title"))).alias("sectionContents"))
     raw = F.when(F.col("doc_id") % 5 != 0, F.to_json(F.struct(F.array(chapter).alias("chapterContents")))).otherwise(F.lit("nope"))
-    r = unnest(wide_table(spark, d, "documents"), ["doc_id"], J.chapters(raw), "c")
+    r = unnest(table(spark, d, "documents"), ["doc_id"], J.chapters(raw), "c")
     return r.select("doc_id", "c.title", F.length("c.content").cast("bigint").alias("chars"), F.get("c.sectionContents", F.lit(0))["title"].alias("section"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import anchors as A, text as X
 from ..operators import evidence as E, library as L, runs as R, sets as S, structure as ST, versions as W
 from . import views as V
-from .registry import query, table, wide_table
+from .registry import query, table
 
 CTES = V.EVIDENCE_CTES
 
@@ -598,7 +598,7 @@ def _(spark, d):
     before = F.concat_ws(" ", c, k, c)
     after = F.concat_ws(" ", k, F.when(F.col("l_linenumber") % 2 == 1, c), F.when(F.col("l_linenumber") % 3 == 0, F.lit("content_ffffffffff")))
     r = S.id_preservation(before, after)
-    return wide_table(spark, d, "lineitem").withColumn("r", r).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r.missing").cast("bigint").alias("missing"), F.col("r.unexpected").cast("bigint").alias("unexpected"))
+    return table(spark, d, "lineitem").withColumn("r", r).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r.missing").cast("bigint").alias("missing"), F.col("r.unexpected").cast("bigint").alias("unexpected"))
 
 
 @query(
@@ -644,5 +644,5 @@ def _(spark, d):
 )
 def _(spark, d):
     quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = wide_table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return A.locate_quotes(docs, quotes).select("doc_id", "item_id", F.col("quote_offset").cast("bigint").alias("quote_offset"))

@@ -9,7 +9,7 @@ from ..ordered import running
 from ..plans import planning as P
 from ..rows import unnest
 from . import views as V
-from .registry import query, table, wide_table
+from .registry import query, table
 
 
 def chapter_key(c: Column) -> Column:
@@ -110,7 +110,7 @@ def _(spark, d):
 )
 def _(spark, d):
     lines = F.split("text", "\n")
-    m = wide_table(spark, d, "documents").select(
+    m = table(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("title"), F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: i.cast("string")).alias("chapter_keys"),
         F.transform(lines, lambda l: F.length(l)).alias("sizes"), F.lit(5).alias("suggested"),
     )
@@ -218,7 +218,7 @@ def outline(spark, d) -> DataFrame:
         episode(1, F.when(n == 3, F.lit("别的")).otherwise(F.lit("深度解读类")), key), F.lit("\n\n"), episode(2, F.lit("过渡"), F.when(n == 4, F.lit("CHAPTER_777")).otherwise(other)),
         F.when(n == 5, F.lit(" content_ab ")).otherwise(F.lit("")),
     )
-    return wide_table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.round("l_extendedprice").cast("bigint").alias("price"),
         F.concat_ws("-", "l_orderkey", n, "l_partkey", "l_suppkey").alias("run_id"),
         F.lit("MODULE_001").alias("module_key"), F.lit(1).cast("bigint").alias("position"), F.array(key, other).alias("chapter_keys"),
@@ -277,7 +277,7 @@ def _(spark, d):
     )
     allowed = F.array(F.lit("CHAPTER_001"), F.lit("CHAPTER_002"))
     s = P.validate_structured(F.array(a, b), allowed, F.create_map(F.lit("M1"), allowed), n == 4)
-    r = wide_table(spark, d, "lineitem").withColumn("s", s)
+    r = table(spark, d, "lineitem").withColumn("s", s)
     shown = F.transform("s.episodes", lambda e: F.concat_ws("=", e["title"], F.array_join(e["chapter_keys"], ",")))
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.error", F.array_join(shown, ";").alias("episodes"))
 
@@ -300,7 +300,7 @@ def _(spark, d):
 @query("module_lines_tagged", "P14", "SELECT doc_id, md5('## 第1集：' || lang || chr(10) || '模块标识：' || source || chr(10) || text || chr(10) || '## 2集: x模块标识：' || source || chr(10)) AS digest FROM documents")
 def _(spark, d):
     md = F.concat(F.lit("## 第1集："), "lang", F.lit("\n"), "text", F.lit("\n## 2集: x"))
-    return wide_table(spark, d, "documents").select("doc_id", F.md5(P.tag_module_lines(md, F.col("source"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(P.tag_module_lines(md, F.col("source"))).alias("digest"))
 
 
 @query(
@@ -322,7 +322,7 @@ def _(spark, d):
     ids = F.when(n == 1, F.array(card)).when(n == 4, F.array(F.lit("zz"))).otherwise(F.array(F.lit("other")))
     err = P.outline_v1_error(F.array(first, ep(points, kind, ids)), F.array(card, F.lit("other")), F.lit(False))
     ident = P.rebuilt_identifier(F.lit("L 原文索引：old"), F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
-    return wide_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", err.alias("error"), ident.alias("identifier"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", err.alias("error"), ident.alias("identifier"))
 
 
 @query(
@@ -376,11 +376,16 @@ def _(spark, d):
 
 @query(
     "structure_recovered", "P21 P11",
-    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS run_id, CAST(k AS BIGINT) AS position, 't' || l_partkey AS title,
-              left(sha1('episode' || chr(31) || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || chr(31) || k), 16) AS episode_id
-       FROM lineitem, (SELECT unnest([1, 2]) AS k) WHERE l_linenumber = 1""",
+    """WITH r AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag || '-' || CAST(round(l_extendedprice) AS BIGINT) AS run_id,
+            CASE l_linenumber WHEN 2 THEN 'MODULE_001 第 2 集缺少字段：内容类型' WHEN 3 THEN '未知内容类型：别的' WHEN 4 THEN 'MODULE_001 第 2 集引用未知章节：CHAPTER_777' WHEN 5 THEN 'MODULE_001 第 2 集不得包含知识资产 ID或段落原文索引'
+              WHEN 6 THEN 'MODULE_001 应有 3 集，实际解析 2 集' WHEN 7 THEN 'MODULE_001 缺少已生成的模块大纲' END AS error FROM lineitem)
+       SELECT run_id, error, CAST(k AS BIGINT) AS position, 't' || l_partkey AS title, CASE WHEN k = 2 AND l_linenumber <> 2 THEN '过渡' WHEN k = 1 AND l_linenumber <> 3 THEN '解读' END AS content_type,
+              left(sha1('episode' || chr(31) || run_id || chr(31) || k), 16) AS episode_id
+       FROM r, (SELECT unnest([1, 2]) AS k) WHERE l_linenumber <> 7
+       UNION ALL SELECT run_id, error, NULL, NULL, NULL, NULL FROM r WHERE l_linenumber = 7""",
 )
 def _(spark, d):
-    o = outline(spark, d)
+    # Line keys repeat on the smallest tables: flag and price make runs unique.
+    o = outline(spark, d).withColumn("run_id", F.concat_ws("-", "run_id", "l_returnflag", "price"))
     r = P.recover_structure(o.drop("markdown"), o.select("run_id", "module_key", F.col("markdown").alias("content")))
-    return r.filter(F.col("error").isNull()).select("run_id", F.col("position").cast("bigint").alias("position"), "title", "episode_id")
+    return r.select("run_id", "error", F.col("position").cast("bigint").alias("position"), "title", "content_type", "episode_id")

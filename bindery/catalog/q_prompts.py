@@ -9,7 +9,7 @@ from ..operators import evidence as E, versions as W
 from ..plans import generation as G, prompts as P
 from . import views as V
 from .q_evidence import current
-from .registry import query, table, wide_table
+from .registry import query, table
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, d):
 def _(spark, d):
     values = F.create_map(F.lit("text"), F.concat(F.lit("{{lang}} "), "text"), F.lit("source"), F.col("source"), F.lit("lang"), F.lit("never"))
     out = P.render_template(F.lit("A {{text}} B {{source}} C {{source}} {{absent}}"), values)
-    return wide_table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
 
 
 @query(
@@ -156,10 +156,17 @@ def _(spark, d):
     return P.check_match(answers, candidates)
 
 
-@query("texts_generated", "M8 M9 U2", "SELECT CAST(doc_id AS VARCHAR) AS request_id, md5('# note' || chr(10) || chr(10) || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 520)) AS digest, CAST(NULL AS VARCHAR) AS error_category FROM documents")
+@query("texts_generated", "M8 U2", "SELECT CAST(doc_id AS VARCHAR) AS request_id, md5('note: ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS digest, CAST(NULL AS VARCHAR) AS error_category FROM documents")
 def _(spark, d):
     requests = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.lit("note").alias("prompt_id"), F.col("text").alias("source"))
-    return G.generate(requests, G.demo_generator, parallelism=8).select("request_id", F.md5("content").alias("digest"), "error_category")
+    return G.generate(requests, in_capitals, parallelism=8).select("request_id", F.md5("content").alias("digest"), "error_category")
+
+
+def in_capitals(prompt: str, source: str) -> str:
+    return f"{prompt}: {source.translate(_CAPITALS)}"
+
+
+_CAPITALS = {c: c - 32 for c in range(ord("a"), ord("z") + 1)}
 
 
 @query(
@@ -196,19 +203,22 @@ def _(spark, d):
     return G.human_version(texts, V.artifacts(spark, d)).select("episode_id", "version", "content")
 
 
-@query("texts_compressed", "M10 C16 X2", "SELECT doc_id, CAST(NULL AS VARCHAR) AS error FROM documents")
+@query(
+    "texts_compressed", "M10 C16 X2",
+    """SELECT doc_id, CAST(NULL AS VARCHAR) AS error, md5(regexp_replace('content_' || left(sha1(CAST(doc_id AS VARCHAR)), 12) || ' ' || translate(text, 'rl', ''), '[ \t\n\r\f]+', '', 'g')) AS digest FROM documents""",
+)
 def _(spark, d):
     marked = F.concat(F.lit("content_"), F.left(F.sha1(F.col("doc_id").cast("string")), F.lit(12)), F.lit(" "), "text")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), marked.alias("text"))
-    return G.compress(texts, halving_generator).select(F.col("key").alias("doc_id"), "error")
+    r = G.compress(texts, shortened)
+    return r.select(F.col("key").alias("doc_id"), "error", F.md5(F.regexp_replace("compressed", "[ \t\n\r\f]+", "")).alias("digest"))
 
 
-def halving_generator(prompt: str, source: str) -> str:
-    """Refuses long inputs, keeps ids and every other word of short ones."""
+def shortened(prompt: str, source: str) -> str:
+    """Drops letters that no id has; inputs that are too long are cut off, as a model would."""
     if len(source) > 1_800:
         raise G.GenerationError("cut off", "output_truncated", response_chars=len(source))
-    words = source.split()
-    return " ".join(w for n, w in enumerate(words) if n % 2 == 0 or w.startswith(("content_", "knowledge_")))
+    return source.translate(dict.fromkeys(map(ord, "rl")))
 
 
 @query(
@@ -230,12 +240,12 @@ def _(spark, d):
 
         return requests
 
-    made, _ = G.produce_episodes(due, {s: build(s) for s in W.STAGES}, flaky_generator, artifacts)
+    made, _ = G.produce_episodes(due, {s: build(s) for s in W.STAGES}, unless_in_three, artifacts)
     return made.select(F.col("episode_id").cast("bigint").alias("episode_id"), "stage", "version")
 
 
-def flaky_generator(prompt: str, source: str) -> str:
-    """Fails drafts and finals of episodes whose number ends in 3."""
+def unless_in_three(prompt: str, source: str) -> str:
+    """No answer for drafts and finals of episodes whose number ends in 3."""
     if prompt != "outline" and source.endswith("3"):
         raise G.GenerationError("refused", "model_timeout")
     return f"{prompt}: {source}"

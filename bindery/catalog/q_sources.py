@@ -16,18 +16,18 @@ from ..session import shared_folder
 from ..sources import notes as N, readers as RD
 from ..streaming import jobs as JB
 from . import views as V
-from .registry import query, table, wide_table
+from .registry import query, table
 
 
 @query("pages_to_markdown", "S4 U1")
 def _(spark, d):
     md = RD.html_to_markdown(F.col("html"))
-    return wide_table(spark, d, "pages").select("page_id", md.alias("markdown"))
+    return table(spark, d, "pages").select("page_id", md.alias("markdown"))
 
 
 @query("page_headings", "S4 C1 C7")
 def _(spark, d):
-    books = wide_table(spark, d, "pages").select(F.col("page_id").cast("string").alias("book_id"), F.col("url").alias("filename"), RD.html_to_markdown_prose(F.col("html")).alias("text"))
+    books = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("book_id"), F.col("url").alias("filename"), RD.html_to_markdown_prose(F.col("html")).alias("text"))
     return ST.parse_diagnostics(books, ST.parse_books(books))
 
 
@@ -43,7 +43,7 @@ def legacy_bytes(text: pd.Series) -> pd.Series:
 def _(spark, d):
     # Even rows as UTF-8 with a byte order mark, odd rows as GB18030 bytes.
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(legacy_bytes("text"))
-    return wide_table(spark, d, "documents").select("doc_id", F.md5(RD.decode_bytes(raw)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(RD.decode_bytes(raw)).alias("digest"))
 
 
 @query("files_routed", "S1", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'md' WHEN 2 THEN 'txt' ELSE 'pdf' END AS suffix, page_id % 4 <> 3 AS accepted FROM pages")
@@ -181,7 +181,7 @@ def wrapped(body: Column, user: Column) -> Column:
         SELECT path, sha256(body) AS digest FROM n WHERE doc_id % 4 IN (0, 1)""",
 )
 def _(spark, d):
-    docs = wide_table(spark, d, "documents")
+    docs = table(spark, d, "documents")
     path = F.concat(F.lit("n/"), F.col("doc_id").cast("string"))
     user = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("mine "), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
     new = docs.select(path.alias("path"), F.col("text").alias("body"))
@@ -195,7 +195,7 @@ def _(spark, d):
 
 @query("notes_unchanged", "S13", "SELECT count(*) AS notes, CAST(0 AS BIGINT) AS changed FROM documents")
 def _(spark, d):
-    docs = wide_table(spark, d, "documents")
+    docs = table(spark, d, "documents")
     path = F.concat(F.lit("n/"), F.col("doc_id").cast("string"))
     stored = wrapped(F.col("text"), F.lit(""))
     existing = docs.select(path.alias("path"), stored.alias("body"))
@@ -259,7 +259,7 @@ def packed_epub(page: pd.Series) -> pd.Series:
 )
 def _(spark, d):
     broken = F.encode("html", "UTF-8")
-    files = wide_table(spark, d, "pages").select(
+    files = table(spark, d, "pages").select(
         F.concat(F.col("page_id").cast("string"), F.lit(".epub")).alias("path"), F.when(F.col("page_id") % 10 == 7, broken).otherwise(packed_epub("html")).alias("content")
     )
     r = RD.epub_to_spine(files)

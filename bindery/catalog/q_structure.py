@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from . import views as V
 from .q_text import FLAT, NORM, T
 from ..rows import unnest
-from .registry import query, wide_table
+from .registry import query, table
 
 # Atoms of a document in SQL: lines; long ones as sentences; long sentences cut.
 ATOMS = """paras AS (
@@ -62,7 +62,7 @@ def doc_sections(df: DataFrame) -> DataFrame:
         GROUP BY doc_id""",
 )
 def _(spark, d):
-    r = FR.document_rollup(wide_table(spark, d, "documents"), T)
+    r = FR.document_rollup(table(spark, d, "documents"), T)
     return r.select("doc_id", F.col("fragments").cast("bigint").alias("fragments"), F.col("fragment_chars").cast("bigint").alias("fragment_chars"), F.col("words").cast("bigint").alias("words"), "content_fingerprint")
 
 
@@ -71,7 +71,7 @@ def _(spark, d):
     f"WITH RECURSIVE {ATOMS} SELECT doc_id, count(*) AS atoms, max(length(a)) AS longest, md5(string_agg(a, '|' ORDER BY no)) AS digest FROM atoms GROUP BY doc_id",
 )
 def _(spark, d):
-    a = wide_table(spark, d, "documents").withColumn("a", P.fragment_atoms(F.col("text"), terminators=T))
+    a = table(spark, d, "documents").withColumn("a", P.fragment_atoms(F.col("text"), terminators=T))
     return a.select(
         "doc_id", F.size("a").cast("bigint").alias("atoms"), F.array_max(F.transform("a", lambda x: F.length(x))).cast("bigint").alias("longest"),
         F.md5(F.array_join("a", "|")).alias("digest"),
@@ -83,7 +83,7 @@ def _(spark, d):
     f"WITH RECURSIVE {ATOMS} SELECT doc_id, frag, length(f) AS chars, md5(f) AS digest FROM frags",
 )
 def _(spark, d):
-    c = FR.cut(doc_sections(wide_table(spark, d, "documents")), T)
+    c = FR.cut(doc_sections(table(spark, d, "documents")), T)
     return unnest(c, ["doc_id"], "fragments", "f", "p").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("frag"), F.length("f").cast("bigint").alias("chars"), F.md5("f").alias("digest")
     )
@@ -91,7 +91,7 @@ def _(spark, d):
 
 @query("fragments_lossless", "C13", "SELECT count(*) AS documents, 0 AS lossy FROM documents")
 def _(spark, d):
-    c = FR.cut(doc_sections(wide_table(spark, d, "documents")), T)
+    c = FR.cut(doc_sections(table(spark, d, "documents")), T)
     rebuilt = X.compact_text(F.array_join("fragments", ""))
     return c.agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(rebuilt != X.compact_text(F.col("content"))).cast("int").alias("lossy")
@@ -106,7 +106,7 @@ def _(spark, d):
 )
 def _(spark, d):
     lines = F.transform(F.split("text", "\n"), X.collapse_ws)
-    n = wide_table(spark, d, "documents").withColumn("_lines", lines).withColumn("n", P.occurrence_numbers(F.col("_lines")))
+    n = table(spark, d, "documents").withColumn("_lines", lines).withColumn("n", P.occurrence_numbers(F.col("_lines")))
     return unnest(n, ["doc_id"], "n", "o", "p").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("line"), F.col("o").cast("bigint").alias("occurrence")
     )
@@ -114,7 +114,7 @@ def _(spark, d):
 
 def source_books(spark, d) -> tuple[DataFrame, DataFrame]:
     """Books = sources, one confirmed section per document in doc_id order."""
-    docs = wide_table(spark, d, "documents")
+    docs = table(spark, d, "documents")
     sections = docs.select(
         F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("section_id"), F.col("doc_id").alias("position"),
         F.lit("confirmed").alias("status"), F.col("lang").alias("title"), F.col("text").alias("content"), F.lit(1).alias("level"),
@@ -173,7 +173,7 @@ SPLIT = """lines AS (
 )
 def _(spark, d):
     c = P.split_markdown(F.col("text"), 500)
-    return unnest(wide_table(spark, d, "documents"), ["doc_id"], c, "chunk", "p").select("doc_id", (F.col("p") + 1).cast("bigint").alias("part"), "chunk")
+    return unnest(table(spark, d, "documents"), ["doc_id"], c, "chunk", "p").select("doc_id", (F.col("p") + 1).cast("bigint").alias("part"), "chunk")
 
 
 @query(
@@ -199,7 +199,7 @@ def _(spark, d):
 )
 def _(spark, d):
     c = P.semantic_chunks(F.col("text"), terminators=T)
-    return unnest(wide_table(spark, d, "documents"), ["doc_id"], c, "c", "p").select(
+    return unnest(table(spark, d, "documents"), ["doc_id"], c, "c", "p").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("chunk"), F.md5("c").alias("digest")
     )
 
@@ -213,7 +213,7 @@ def _(spark, d):
           first_value(CASE WHEN level = 1 THEN title END) OVER (PARTITION BY book_id ORDER BY i) AS book_title FROM md_heads""",
 )
 def _(spark, d):
-    b = V.markdown_books(wide_table(spark, d, "documents")).withColumn("h", ST.heading_lines(X.normalize_text(F.col("text"))))
+    b = V.markdown_books(table(spark, d, "documents")).withColumn("h", ST.heading_lines(X.normalize_text(F.col("text"))))
     b = b.withColumn("book_title", ST.book_title(F.col("h"), F.col("filename")))
     return unnest(b, ["book_id", "book_title"], "h", "h").select(
         "book_id", F.col("h.level").cast("bigint").alias("level"), "h.title", F.col("h.line").cast("bigint").alias("line"), "book_title"
@@ -245,7 +245,7 @@ MD_SECTIONS = f"""WITH {V.MD}, spans AS (
     f"{MD_SECTIONS} SELECT book_id, section_id, parent_id, level, position, title, md5(body) AS body, kind FROM sections",
 )
 def _(spark, d):
-    s = ST.parse_books(V.markdown_books(wide_table(spark, d, "documents")), include_segments=False)
+    s = ST.parse_books(V.markdown_books(table(spark, d, "documents")), include_segments=False)
     return s.select("book_id", "section_id", "parent_id", F.col("level").cast("bigint").alias("level"), "position", "title", F.md5("content").alias("body"), "kind")
 
 
@@ -257,7 +257,7 @@ def _(spark, d):
         FROM sections s JOIN md_norm n ON n.book_id = s.book_id GROUP BY s.book_id""",
 )
 def _(spark, d):
-    books = V.markdown_books(wide_table(spark, d, "documents"))
+    books = V.markdown_books(table(spark, d, "documents"))
     r = ST.parse_diagnostics(books, ST.parse_books(books))
     return r.select("book_id", "heading_count", "h3_count", "h4_count", F.col("footnote_markers").cast("bigint").alias("footnote_markers"), F.col("literal_newlines_restored").cast("bigint").alias("literal_newlines_restored"))
 
@@ -279,7 +279,7 @@ def _(spark, d):
 )
 def _(spark, d):
     whole = F.concat(F.lit("# "), "source", F.lit("\n#### whole\n"), "text")
-    books = wide_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), F.lit("x.md").alias("filename"), whole.alias("text"))
+    books = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), F.lit("x.md").alias("filename"), whole.alias("text"))
     return ST.parse_books(books).select("book_id", "kind", "position", F.md5("content").alias("digest"))
 
 
@@ -391,7 +391,7 @@ def anchored(spark, d) -> DataFrame:
     q = (
         F.when(k == 0, s).when(k == 1, F.replace(s, F.lit(" "), F.lit("  "))).when(k == 2, F.replace(s, F.lit(" "), F.lit(" ,;"))).otherwise(F.concat(s, F.lit(" zzz")))
     )
-    return wide_table(spark, d, "documents").select("doc_id", "text", q.alias("q"))
+    return table(spark, d, "documents").select("doc_id", "text", q.alias("q"))
 
 
 @query(
@@ -426,7 +426,7 @@ def _(spark, d):
         return F.struct(F.lit(f"part {1 if k == 1 else 2}").alias("title"), F.substring(F.col("text"), at, F.lit(30)).alias("sentence"))
 
     cut = ST.split_by_anchors(F.col("text"), F.array(piece(1), piece(3)))
-    return unnest(wide_table(spark, d, "documents"), ["doc_id"], cut, "c").select("doc_id", "c.title", F.md5("c.content").alias("body"))
+    return unnest(table(spark, d, "documents"), ["doc_id"], cut, "c").select("doc_id", "c.title", F.md5("c.content").alias("body"))
 
 
 # Composed narrative and contents texts --------------------------------------------
@@ -442,14 +442,14 @@ def _(spark, d):
         F.lit("\n\n## C\n### y\n# 正文\n"), F.col("text"),
     )
     titles = ST.toc_child_titles(toc, F.concat(F.lit("B "), F.col("doc_id").cast("string")))
-    return wide_table(spark, d, "documents").select("doc_id", F.array_join(titles, " / ").alias("children"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(titles, " / ").alias("children"))
 
 
-def narrative(df: DataFrame, whole: bool = False) -> DataFrame:
-    """Chapters composed around each document: its first 60 characters, or the `whole` of it on one line."""
+def narrative(df: DataFrame) -> DataFrame:
+    """Chapters composed around each document, the whole of it on one line."""
     n = F.col("doc_id").cast("string")
     plain = F.replace("text", F.lit("#"), F.lit(""))
-    line = F.btrim(X.collapse_ws(plain) if whole else X.excerpt(plain, 60))
+    line = F.btrim(X.collapse_ws(plain))
     text = F.concat(
         F.lit("# 第"), n, F.lit("章 "), F.col("source"), F.lit("\n## 人物关系\n- 甲"), n, F.lit("：朋友\n  续行\n- 乙：对手\n## 子主题："), F.col("lang"),
         F.lit("\n### 金句\n- "), line, F.lit("\n- 第二句\n### 事件1：开端\n**事件背景：** "), line, F.lit("\n**事件经过：**\n- 一\n- 二\n**事件影响：** 深远\n\n## 子主题：尾声\n### 金句\n- 末句\n"),
@@ -464,26 +464,26 @@ def narrative(df: DataFrame, whole: bool = False) -> DataFrame:
        UNION ALL SELECT doc_id, '附录' || doc_id, '附录' || doc_id FROM documents""",
 )
 def _(spark, d):
-    n = narrative(wide_table(spark, d, "documents"), whole=True)
+    n = narrative(table(spark, d, "documents"))
     return unnest(n, ["doc_id"], ST.split_narrative_chapters(F.col("text")), "c").select("doc_id", "c.number", "c.title")
 
 
 @query(
     "narrative_subtopics", "C21 C22",
-    f"""WITH l AS (SELECT *, trim(left({FLAT.replace("(text,", "(replace(text, chr(35), ''),")}, 60)) AS line FROM documents)
-        SELECT doc_id, 'given' AS title, '章节：' || lang || ' 子主题：given' AS content_index, line || '|第二句' AS quotes, '开端' AS events, line AS background, '一|二' AS process, '深远' AS impact,
+    f"""WITH l AS (SELECT *, trim({FLAT.replace("(text,", "(replace(text, chr(35), ''),")}) AS line FROM documents)
+        SELECT doc_id, 'given' AS title, '章节：' || lang || ' 子主题：given' AS content_index, md5(line || '|第二句') AS quotes, '开端' AS events, md5(line) AS background, '一|二' AS process, '深远' AS impact,
                '甲' || doc_id || '=朋友   续行|乙=对手' AS people FROM l
-        UNION ALL SELECT doc_id, '尾声', '章节：' || lang || ' 子主题：尾声', '末句', '', '', '', '', '甲' || doc_id || '=朋友   续行|乙=对手' FROM l""",
+        UNION ALL SELECT doc_id, '尾声', '章节：' || lang || ' 子主题：尾声', md5('末句'), '', md5(''), '', '', '甲' || doc_id || '=朋友   续行|乙=对手' FROM l""",
 )
 def _(spark, d):
-    n = narrative(wide_table(spark, d, "documents")).withColumn("ch", F.get(ST.split_narrative_chapters(F.col("text")), F.lit(0))["body"])
+    n = narrative(table(spark, d, "documents")).withColumn("ch", F.get(ST.split_narrative_chapters(F.col("text")), F.lit(0))["body"])
     subs = ST.narrative_subtopics(F.col("ch"), F.col("lang"), F.array(F.lit("given"), F.lit(" ")))
     people = F.array_join(F.transform(ST.narrative_relations(F.col("ch")), lambda r: F.concat_ws("=", r["character"], r["relationship"])), "|")
     flat = unnest(n.withColumn("people", people), ["doc_id", "people"], subs, "s")
     ev = F.get(F.col("s.events"), F.lit(0))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return flat.select(
-        "doc_id", F.col("s.subtopic_title").alias("title"), "s.content_index", F.array_join("s.golden_quotes", "|").alias("quotes"),
-        F.array_join(F.transform("s.events", lambda e: e["event_title"]), "|").alias("events"), blank(ev["event_background"]).alias("background"),
+        "doc_id", F.col("s.subtopic_title").alias("title"), "s.content_index", F.md5(F.array_join("s.golden_quotes", "|")).alias("quotes"),
+        F.array_join(F.transform("s.events", lambda e: e["event_title"]), "|").alias("events"), F.md5(blank(ev["event_background"])).alias("background"),
         blank(F.array_join(ev["event_process"], "|")).alias("process"), blank(F.array_join(ev["event_impact"], "|")).alias("impact"), "people",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import views as V
-from .registry import query, table, wide_table
+from .registry import query, table
 
 T = ".!?"
 NORM = (
@@ -22,7 +22,7 @@ FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
         FROM documents""",
 )
 def _(spark, d):
-    df = wide_table(spark, d, "documents")
+    df = table(spark, d, "documents")
     n = X.normalize_text(F.col("text"))
     return df.select(
         "doc_id", X.restored_newlines(F.col("text")).cast("bigint").alias("restored"), F.length(n).cast("bigint").alias("chars"), F.md5(n).alias("digest")
@@ -37,7 +37,7 @@ def _(spark, d):
 )
 def _(spark, d):
     c = F.col("text")
-    return wide_table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         "doc_id", F.md5(X.collapse_ws(c)).alias("collapsed"), F.md5(X.compact_text(c)).alias("compacted"), F.md5(X.clean_for_match(c)).alias("cleaned")
     )
 
@@ -47,7 +47,7 @@ def _(spark, d):
     f"SELECT doc_id, left({FLAT}, 360) AS excerpt, left({FLAT}, 120) AS short FROM documents",
 )
 def _(spark, d):
-    return wide_table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"), X.excerpt(F.col("text"), 120).alias("short"))
+    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"), X.excerpt(F.col("text"), 120).alias("short"))
 
 
 @query(
@@ -60,7 +60,7 @@ def _(spark, d):
         FROM documents""",
 )
 def _(spark, d):
-    return wide_table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         "doc_id", X.extract_sentence(F.col("text"), terminators=T).alias("sentence"), X.first_quote(F.col("text"), terminators=T).alias("quote")
     )
 
@@ -72,7 +72,7 @@ def _(spark, d):
 )
 def _(spark, d):
     s = X.sentences(X.collapse_ws(F.col("text")), T)
-    return wide_table(spark, d, "documents").withColumn("s", s).select(
+    return table(spark, d, "documents").withColumn("s", s).select(
         "doc_id", F.size("s").cast("bigint").alias("sentences"), F.md5(F.array_join("s", "|")).alias("digest")
     )
 
@@ -82,7 +82,7 @@ WORDS = "len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\
 
 @query("text_spoken_words", "T9", f"SELECT doc_id, CAST({WORDS} AS BIGINT) AS words FROM documents")
 def _(spark, d):
-    return wide_table(spark, d, "documents").select("doc_id", X.spoken_words(F.col("text")).cast("bigint").alias("words"))
+    return table(spark, d, "documents").select("doc_id", X.spoken_words(F.col("text")).cast("bigint").alias("words"))
 
 
 @query(
@@ -95,7 +95,7 @@ def _(spark, d):
 )
 def _(spark, d):
     c = X.word_count_check(F.col("text"), F.lit(300), F.lit(400))
-    return wide_table(spark, d, "documents").withColumn("c", c).select(
+    return table(spark, d, "documents").withColumn("c", c).select(
         "doc_id", F.col("c.actual").cast("bigint").alias("actual"), "c.within_range", F.col("c.delta").cast("bigint").alias("delta"), "c.instruction"
     )
 
@@ -125,7 +125,7 @@ def cited(spark, d):
         F.lit("["), chapter, F.lit("] ，"), content, F.lit(" x knowledge_"), F.lower(F.hex("l_partkey")), F.lit("  "), content, F.lit(" "),
         F.col("l_returnflag"), F.lit(" "), chapter, F.lit("；"),
     )
-    return wide_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
 
 
 @query(
@@ -180,7 +180,7 @@ def _(spark, d):
 )
 def _(spark, d):
     marked = F.replace("text", F.lit("."), F.concat(F.lit(".["), F.col("doc_id").cast("string"), F.lit("]")))
-    return wide_table(spark, d, "documents").select("doc_id", X.footnote_markers(marked).cast("bigint").alias("notes"))
+    return table(spark, d, "documents").select("doc_id", X.footnote_markers(marked).cast("bigint").alias("notes"))
 
 
 @query(
@@ -247,7 +247,7 @@ def _(spark, d):
 def _(spark, d):
     c = F.col
     key = X.card_key(c("doc_id"), c("lang"), c("text"), F.array(c("source"), F.lit("x")))
-    return wide_table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         "doc_id",
         X.stable_id("section", c("source"), c("doc_id")).alias("section_id"),
         X.content_index(c("doc_id"), c("source"), X.collapse_ws(c("text")), F.lit(1)).alias("content_index"),
@@ -260,7 +260,7 @@ def _(spark, d):
     f"""SELECT doc_id, sha256({FLAT}) AS text_fingerprint, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}}') AS signature FROM documents""",
 )
 def _(spark, d):
-    return wide_table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         "doc_id", X.text_fingerprint(F.col("text")).alias("text_fingerprint"), X.signature(F.col("doc_id"), F.col("lang"), F.col("source")).alias("signature")
     )
 

@@ -42,15 +42,3 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table read for heavy per-row text work.
-
-    A few large files give fewer scan tasks than there are cores; only then
-    are rows spread out. Large inputs already have more splits than cores and
-    are left alone.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

