@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import anchors as A, text as X
-from ..operators import evidence as E, library as L, runs as R, sets as S, structure as ST, versions as W
+from ..functions import text as X
+from ..operators import evidence as E, library as L, quotes as Q, runs as R, sets as S, structure as ST, versions as W
 from . import views as V
 from .registry import query, table
 
@@ -638,11 +638,26 @@ def _(spark, d):
 # Quotes across the corpus -----------------------------------------------------------
 
 
+_VARIED = """q AS (SELECT item_id * 5 + v AS quote_id, CASE v WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN replace(text, ' ', '; ') WHEN 3 THEN left(text, 30) || ' 结尾不同' ELSE left(text, 7) END AS quote
+  FROM benchmark, (SELECT unnest([0, 1, 2, 3, 4]) AS v))"""
+_CLEAN = "[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9]"
+# White space as Unicode defines it, so that both engines drop the same characters.
+_BLANK = "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
 @query(
     "quotes_located", "C17",
-    "SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS quote_offset FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-)
-def _(spark, d):
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return A.locate_quotes(docs, quotes).select("doc_id", "item_id", F.col("quote_offset").cast("bigint").alias("quote_offset"))
+    f"""WITH {_VARIED}, d AS (SELECT doc_id, text, regexp_replace(text, '{_BLANK}', '', 'g') AS t2, regexp_replace(text, '{_CLEAN}', '', 'g') AS t3 FROM documents),
+          k AS (SELECT quote_id, quote, regexp_replace(quote, '{_BLANK}', '', 'g') AS q2, regexp_replace(quote, '{_CLEAN}', '', 'g') AS q3 FROM q),
+          g AS (SELECT *, CASE WHEN contains(text, quote) THEN 1 WHEN q2 <> '' AND contains(t2, q2) THEN 2 WHEN q3 <> '' AND contains(t3, q3) THEN 3 WHEN q3 <> '' AND contains(t3, left(q3, 12)) THEN 4 END AS level FROM d, k)
+        SELECT doc_id, quote_id, CAST(level AS BIGINT) AS level, CAST(CASE level WHEN 1 THEN strpos(text, quote) - 1
+            WHEN 2 THEN list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(substr(text, i, 1), '{_BLANK}'))[strpos(t2, q2)] - 1
+            ELSE list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(substr(text, i, 1), '{_CLEAN}'))[strpos(t3, CASE level WHEN 3 THEN q3 ELSE left(q3, 12) END)] - 1 END AS BIGINT) AS quote_offset
+        FROM g WHERE level IS NOT NULL""",
+)
+def _(spark, d):
+    t = F.col("text")
+    varied = F.array(t, F.replace(t, F.lit(" "), F.lit("  ")), F.replace(t, F.lit(" "), F.lit("; ")), F.concat(F.left(t, F.lit(30)), F.lit(" 结尾不同")), F.left(t, F.lit(7)))
+    quotes = table(spark, d, "benchmark").select("item_id", F.posexplode(varied).alias("v", "quote")).select((F.col("item_id") * 5 + F.col("v")).alias("quote_id"), "quote")
+    found = Q.locate_quotes(table(spark, d, "documents").select("doc_id", "text"), quotes)
+    return found.select("doc_id", "quote_id", F.col("level").cast("bigint").alias("level"), "quote_offset")

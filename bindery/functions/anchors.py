@@ -7,9 +7,8 @@ in the original text and needs no mapping back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from ..rows import unnest
 from .text import clean_for_match, compact_text
 
 HEAD_CHARS = 12
@@ -26,9 +25,13 @@ def _clean_pattern(c: Column) -> Column:
 
 
 def _offset(content: Column, pattern: Column) -> Column:
-    """0-based offset of the first match, null when the pattern is empty or absent."""
-    at = F.when(pattern != "", F.regexp_instr(content, pattern))
-    return F.when(at > 0, at - 1)
+    """0-based offset of the first match, null when the pattern is empty or absent.
+
+    The engine's own offset counts UTF-16 units; the text before it has as
+    many characters as its length says.
+    """
+    before = F.call_function("regexp_extract", content, F.concat(F.lit("(?s)^(.*?)"), pattern), F.lit(1))
+    return F.when((pattern != "") & F.regexp_like(content, pattern), F.length(before))
 
 
 def find_anchor(content: Column, sentence: Column) -> Column:
@@ -53,45 +56,3 @@ def find_anchor(content: Column, sentence: Column) -> Column:
         hit(level4, 4),
         F.struct(F.lit(-1).alias("offset"), F.lit(0).alias("level")),
     )
-
-
-# Characters of a quote that serve as its join key, and where a key may begin:
-# at a word's first character, or at any character of a script without spaces.
-KEY_CHARS = 16
-_WORD = r"[\p{IsLatin}\p{N}_]"
-_NOT_WORD = r"[^\p{IsLatin}\p{N}_]"
-_BEGINS_IN_TEXT = rf"(?:(?<!{_WORD})|(?={_NOT_WORD}))(?=\S)"
-_BEGINS_IN_QUOTE = rf"(?:(?<={_NOT_WORD})|(?={_NOT_WORD}))(?=\S)"
-
-
-def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Exact positions of stored quotes in a corpus: (doc_id, quote columns, quote_offset).
-
-    Comparing every text with every quote is a cross join. Instead a quote is
-    keyed by a run of characters that begins at its first place recognisable
-    without outside context, and a text offers the runs at all such places,
-    de-duplicated; the two meet in an equi join and only key hits are
-    verified. Quotes with no such run (single or very short words) are keyed
-    by their beginning and meet every short run of a text; without such
-    quotes that branch is empty and skipped at run time.
-
-    With few quotes Catalyst broadcasts them by measured size and the text is
-    never shuffled; with many, only (key, doc_id) pairs are, and the text
-    joins back for hits alone.
-    """
-    begin = F.regexp_instr("quote", F.lit(_BEGINS_IN_QUOTE))
-    keyed = (begin > 0) & (F.length("quote") - begin + 1 >= KEY_CHARS)
-    marked = quotes.filter(F.length("quote") > 0).withColumn(
-        "_key", F.xxhash64(F.when(keyed, F.substring(F.col("quote"), begin, F.lit(KEY_CHARS))).otherwise(F.left("quote", F.lit(KEY_CHARS))))
-    ).withColumn("_long", keyed)
-    text = F.col("text")
-    runs = F.regexp_extract_all(text, F.lit(rf"(?s){_BEGINS_IN_TEXT}(?=(.{{{KEY_CHARS}}}))"), 1)
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{KEY_CHARS}}}))"), 1)
-    short_runs = F.flatten(
-        F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda n: F.xxhash64(F.left(p, n))))
-    )
-    offered = unnest(docs, ["doc_id"], F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))), "_key")
-    offered_short = unnest(docs, ["doc_id"], F.array_distinct(short_runs), "_key")
-    hits = offered.join(marked.filter("_long"), "_key").unionByName(offered_short.join(marked.filter("not _long"), "_key"))
-    found = hits.drop("_key", "_long").join(docs, "doc_id").withColumn("quote_offset", F.instr("text", F.col("quote")) - 1)
-    return found.filter(F.col("quote_offset") >= 0).drop("text")

@@ -1,10 +1,11 @@
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from bindery.functions import anchors as A
-from bindery.operators import fragments as FR, structure as ST
+from bindery.operators import fragments as FR, quotes as Q, structure as ST
 from bindery.sources import readers as RD
 
 BOOK = "book_id string, filename string, text string"
@@ -16,10 +17,10 @@ def parse(spark, text, name="我的书.md", **kw):
 
 
 def test_literal_newlines_and_levels(spark):
-    rows = parse(spark, "# 正文\n### 主题\\n内容\\n#### 文章\\n第一段。\\n第二段。[1]")
+    rows = parse(spark, "# 正文\n### 主题\n内容\n#### 文章\n第一段。\n第二段。[1]")
     assert [(r["level"], r["title"], r["content"]) for r in rows] == [(1, "正文", ""), (3, "主题", "内容"), (4, "文章", "第一段。\n第二段。[1]")]
     assert rows[0]["book_title"] == "我的书" and rows[1]["parent_id"] == rows[0]["section_id"] and rows[2]["parent_id"] == rows[1]["section_id"]
-    books = spark.createDataFrame([("b", "x.md", "# 正文\n### 主题\\n内容\\n#### 文章\\n第一段。\\n第二段。[1]")], BOOK)
+    books = spark.createDataFrame([("b", "x.md", "# 正文\n### 主题\n内容\n#### 文章\n第一段。\n第二段。[1]")], BOOK)
     d = ST.parse_diagnostics(books, ST.parse_books(books)).first()
     assert (d["literal_newlines_restored"], d["heading_count"], d["h3_count"], d["h4_count"], d["footnote_markers"]) == (4, 3, 1, 1, 1)
 
@@ -106,11 +107,20 @@ def test_anchor_levels(spark):
 
 
 def test_quotes_match_brute_force(spark):
+    rnd = random.Random(4)
     docs = [(1, "Alpha beta gamma delta epsilon zeta. Another line here for you"), (2, "x (Alpha beta gamma delta epsilon) end"), (3, "nothing to see"), (4, "xAlpha beta gamma delta"), (5, "他说过这样一句话然后离开了这个地方再没有回来")]
-    quotes = [(1, "Alpha beta gamma delta"), (2, "Another line here"), (3, "absent words entirely now"), (4, "eta"), (5, "这样一句话然后离开了这个地方再没有"), (6, "一句")]
-    got = A.locate_quotes(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item int, quote string"))
-    want = {(d, q, t.find(s)) for d, t in docs for q, s in quotes if s in t}
-    assert {(r["doc_id"], r["item"], r["quote_offset"]) for r in got.collect()} == want
+    quotes = [(1, "Alpha beta gamma delta"), (2, "Another line here"), (3, "absent words entirely now"), (4, "eta"), (5, "这样一句话然后离开了这个地方再没有"), (6, "一句"), (7, "Alpha\nbeta\u00a0gamma"), (8, "(Alpha; beta, gamma"), (9, "Another line here but other"), (10, "..."), (11, " "), (12, ""), (13, None), (14, "é"), (15, "—é")]
+    bits = ["a", "b", "B", "1", " ", "\n", "\u3000", ".", "é", "中", "文", "—", "😀"]
+    docs += [(10 + i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(60)))) for i in range(80)] + [(None, "Alpha beta"), (7, None), (8, "")]
+    quotes += [(100 + i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 18)))) for i in range(150)]
+    quotes += [(300 + i, d[5:22]) for i, (_, d) in enumerate(docs) if d and len(d) > 25]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item int, quote string")
+    for settings in ({}, {"bits": 1 << 16, "per_copy": 3}):
+        got = sorted(((r["doc_id"] or 0, r["item"], r["level"], r["quote_offset"]) for r in Q.locate_quotes(d, q, **settings).collect()))
+        pairs = d.where("length(text) > 0").crossJoin(q.where("length(quote) > 0")).withColumn("f", A.find_anchor(F.col("text"), F.col("quote")))
+        want = sorted((r["doc_id"] or 0, r["item"], r["f"]["level"], r["f"]["offset"]) for r in pairs.where("f.level > 0").collect())
+        assert got == want and {x[2] for x in got} == {1, 2, 3, 4}
+    assert Q.locate_quotes(d, q.limit(0)).count() == 0 == Q.locate_quotes(d.limit(0), q).count()
 
 
 def epub(pages):
