@@ -214,6 +214,19 @@ def test_toxicity_without_labels(docs_of):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0 and toxicity.drop_toxic(docs, toxicity.Model()).count() == 1
 
 
+def test_toxicity_of_repeated_ids_and_no_language(docs_of):
+    data, labels = toxic_rows(300)
+    rows_ = [(i, t) for i, t, _ in data]
+    hot = next(i for i, t in labels if t and zlib.crc32(str(i).encode()) % 5)
+    docs, marks = docs_of(rows_ + [(hot, rows_[hot][1])] * 500), docs_of(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, marks)
+    once = toxicity.train(docs_of(rows_), marks)
+    assert np.array_equal(model.tables, once.tables) and model.out_bias == once.out_bias and set(model.by_language) <= {""}
+    assert toxicity.score(docs, model).count() == 800 and toxicity.drop_toxic(docs, model).count() < 800
+    small = toxicity.train(docs, marks, sample_total=50)  # few texts fit, or none
+    assert toxicity.score(docs, small).count() == 800
+
+
 def test_toxicity_never_reads_the_language(docs_of):
     data, labels = toxic_rows(300)
     schema = "doc_id bigint, text string, lang string"
