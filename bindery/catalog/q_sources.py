@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import uuid
 import zipfile
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import text as X
 from ..operators import structure as ST, versions as W
 from ..plans import planning as PL
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import notes as N, readers as RD
 from ..streaming import jobs as JB
 from . import views as V
@@ -205,32 +206,44 @@ def _(spark, d):
     return marks.agg(F.count_if(F.col("c") == 0).alias("notes"), F.count_if(F.col("c") == 1).alias("changed"))
 
 
-def event_stream(spark, d) -> DataFrame:
-    """The events table as a stream, one file at a time."""
-    source = table(spark, d, "events")
-    files = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(d)
-    state = F.lit(None).cast("string")
-    for kind, name in V.RUN_STATES.items():
-        state = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(state)
-    return files.select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), state.alias("status"))
+SLOT_DAYS = 10
 
 
-def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream over what is there and read back the last row per run."""
-    spark = stream.sparkSession
+@query(
+    "run_status_streamed", "R9 R1",
+    f"""WITH {V.RUN_EVENTS}, s AS (SELECT *, last_value(CASE WHEN status <> 'running' THEN status END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS settled FROM run_events),
+          a AS (SELECT * FROM s WHERE NOT (status = 'running' AND settled IS NOT DISTINCT FROM 'cancelled'))
+        SELECT CAST(run_id AS VARCHAR) AS run_id, arg_max(status, (ts, seq)) AS status, count(*) FILTER (WHERE status = 'running') AS attempt, epoch_us(max(ts)) AS heartbeat_us,
+               epoch_us(min(ts) FILTER (WHERE status = 'running')) AS started_us, CASE WHEN arg_max(status, (ts, seq)) IN ('succeeded', 'failed', 'cancelled') THEN epoch_us(max(ts)) END AS finished_us FROM a GROUP BY 1""",
+)
+def _(spark, d):
+    # The log arrives in portions, half of each ten days one portion late; the job is stopped after each and goes on from its checkpoint.
+    root = scratch(spark)
+    e = V.run_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = e.agg(F.min("ts")).first()[0]
+    if first is None:
+        first = datetime.datetime(2024, 1, 1)
+    portion = F.floor(F.date_diff("ts", F.lit(first)) / SLOT_DAYS).cast("int") + F.pmod(F.xxhash64("seq"), F.lit(2)).cast("int")
+    source = cut_lineage(e.select("run_id", "ts", "seq", "status", portion.alias("portion")))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id:09d}")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out/*")
-
-
-@query("run_status_streamed", "R9", f"WITH {V.RUN_EVENTS} SELECT CAST(run_id AS VARCHAR) AS run_id, arg_max(status, (ts, seq)) AS status, count(*) AS events FROM run_events GROUP BY 1")
-def _(spark, d):
-    out = drained(JB.stream_latest_status(event_stream(spark, d)), scratch(spark), "update")
-    return out.groupBy("run_id").agg(F.max_by(F.struct("status", "events"), F.col("batch")).alias("x")).select("run_id", "x.status", "x.events")
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id:09d}")
+
+    try:
+        for n in [r["portion"] for r in source.select("portion").distinct().orderBy("portion").collect()]:  # one per ten days of the log
+            source.where(F.col("portion") == n).drop("portion").write.parquet(f"{root}/log/portion={n}")
+            stream = spark.readStream.schema(source.drop("portion").schema).option("recursiveFileLookup", "true").parquet(f"{root}/log")
+            state = JB.stream_run_state(stream, lateness=f"{SLOT_DAYS + 1} days")
+            state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    rows = spark.read.schema(f"{JB.RUN_STATE}, batch int").parquet(f"{root}/out/*").where("NOT stale")
+    us = lambda c: F.unix_micros(F.col(f"x.{c}"))
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct("status", "attempt", "heartbeat_at", "started_at", "finished_at"), "batch").alias("x"))
+    return last.select("run_id", "x.status", "x.attempt", us("heartbeat_at").alias("heartbeat_us"), us("started_at").alias("started_us"), us("finished_at").alias("finished_us"))
 
 
 # Archives, files and snapshots written from the tables --------------------------------

@@ -1,47 +1,27 @@
 """Run state derived from an event log, and batch roll-ups.
 
-Everything here is an aggregate with map-side combine, an equi join, or a
-look-back through `ordered.running`, so no run's history is ever gathered in
-one place.
+Everything here is an aggregate with map-side combine, an equi join, or a fold
+in pieces (`run_fold`), so no run's history is ever gathered in one place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..ordered import running, time_block
+from . import run_fold
 
 ACTIVE = ("pending", "running")
 TERMINAL = ("succeeded", "partial_failed", "failed", "cancelled")
 
 
-def effective_events(events: DataFrame, block: Column | None = None) -> DataFrame:
-    """Drop 'running' updates that arrive while a run is cancelled.
-
-    A run is cancelled when its last event other than 'running' says so; the
-    look-back crosses ordered time blocks, so a hot run is never one task.
-    """
-    block = time_block(F.col("ts")) if block is None else block
-    settled = F.when(F.col("status") != "running", F.col("status"))
-    seen = running(events, ["run_id"], ["ts", "seq"], block, before={"_settled": settled})
-    ignored = (F.col("status") == "running") & F.col("_settled").eqNullSafe(F.lit("cancelled"))
-    return seen.filter(~ignored).drop("_settled")
-
-
-def fold_runs(events: DataFrame, block: Column | None = None) -> DataFrame:
+def fold_runs(events: DataFrame) -> DataFrame:
     """Current state per run from a log of (run_id, ts, seq, status).
 
     started_at is the first running update and never moves; finished_at is
-    empty again after a re-run; every accepted running update is an attempt.
+    empty again after a re-run; every accepted running update is an attempt;
+    a cancelled run accepts none. No run's events are gathered (`run_fold`).
     """
-    accepted = effective_events(events, block)
-    at = F.struct("ts", "seq")
-    state = accepted.groupBy("run_id").agg(
-        F.max_by("status", at).alias("status"),
-        F.max("ts").alias("heartbeat_at"),
-        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
-        F.count_if(F.col("status") == "running").alias("attempt"),
-    )
+    state = run_fold.fold(events)
     return state.withColumn("finished_at", F.when(F.col("status").isin(*TERMINAL), F.col("heartbeat_at")))
 
 

@@ -23,11 +23,6 @@ def position_block(position: Column, size: int = BLOCK) -> Column:
     return F.call_function("div", p - F.pmod(p, n), n)
 
 
-def time_block(ts: Column, unit: str = "hour") -> Column:
-    """Ordered block of a timestamp."""
-    return F.date_trunc(unit, ts)
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],

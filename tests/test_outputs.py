@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import stand_ins
@@ -119,25 +121,38 @@ def test_demo_generator_shapes():
 
 
 def test_streams_equal_batch(spark, tmp_path):
-    rows = [("r1", 1, "pending"), ("r1", 2, "running"), ("r2", 3, "running"), ("r1", 4, "cancelled"), ("r1", 5, "running"), ("r2", 6, "failed"), ("r2", 7, "running")]
+    """Portions out of order, a restart after each; then a run that falls silent."""
+    kinds = ["pending", "running", "failed", "cancelled", None]
+    rng = random.Random(8)
+    rows = [(f"r{rng.randrange(5)}", i, rng.choice(kinds)) for i in range(200)] + [(None, 200, "running")]
     df = spark.createDataFrame(rows, "run_id string, seq bigint, status string").withColumn("ts", (L(1_704_067_200) + F.col("seq") * 60).cast("timestamp"))
     folder = str(tmp_path / "events")
-    for low, high in ((1, 3), (4, 5), (6, 7)):  # three files, three micro-batches
-        df.filter(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     seen: list = []
 
     def keep(batch, batch_id):
-        seen.extend((batch_id, r["run_id"], r["status"], r["attempt"], r["stale"]) for r in batch.collect())
-
-    q = (
-        JB.stream_run_state(stream, lateness="1 hour").writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    last = {run: (status, attempt) for _, run, status, attempt, stale in sorted(seen) if not stale}
-    want = {r["run_id"]: (r["status"], r["attempt"]) for r in R.fold_runs(df).collect()}
-    assert last == want == {"r1": ("cancelled", 1), "r2": ("running", 2)}
+        seen.extend((batch_id, r["stale"], r) for r in batch.collect())
+
+    def go(lateness="60 minutes"):
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        q = JB.stream_run_state(stream, lateness=lateness).writeStream.outputMode("update").foreachBatch(keep)
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    for n in range(6):  # half of each forty minutes comes one portion late
+        part = df.filter(F.floor(F.col("seq") / 40) + F.pmod(F.xxhash64("seq"), L(2)) == n)
+        part.write.mode("append").parquet(folder)
+        go()
+        last = {r["run_id"]: r for _, stale, r in sorted((x for x in seen if not x[1]), key=lambda x: x[0])}
+        so_far = df.filter(F.floor(F.col("seq") / 40) + F.pmod(F.xxhash64("seq"), L(2)) <= n)
+        want = {r["run_id"]: r for r in R.fold_runs(so_far).collect()}
+        for k, r in want.items():
+            assert all(last[k][c] == r[c] for c in ("status", "attempt", "heartbeat_at", "started_at", "finished_at")), (n, k)
+    late = spark.createDataFrame([("r0", 1, "failed"), ("new", 9_000, "pending")], "run_id string, seq bigint, status string").withColumn("ts", (L(1_704_067_200) + F.col("seq") * 60).cast("timestamp"))
+    late.write.mode("append").parquet(folder)
+    go()
+    final = {r["run_id"]: r for _, stale, r in sorted((x for x in seen if not x[1]), key=lambda x: x[0])}
+    assert final["r0"]["heartbeat_at"] == want["r0"]["heartbeat_at"]  # far too late: dropped
+    silent = {r["run_id"] for _, stale, r in seen if stale}
+    assert {k for k, r in want.items() if r["status"] in ("pending", "running")} <= silent
 
 
 def test_library_stream(spark, tmp_path):

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from bindery.operators import evidence as E, fragments as FR, runs as R, sets as S, versions as W
+from bindery.operators import evidence as E, fragments as FR, run_fold, runs as R, sets as S, versions as W
 from bindery.ordered import assemble, position_block, running
 
 EVENT = "run_id string, ts timestamp, seq bigint, status string"
@@ -21,7 +22,7 @@ def fold_brute_force(history):
             continue
         if s == "running":
             attempts += 1
-        else:
+        elif s is not None:
             last = s
         status = s
     return status, attempts
@@ -38,6 +39,44 @@ def test_fold_matches_brute_force(spark):
     assert done["status"] == "running" and done["finished_at"] is None and done["attempt"] == 2
 
 
+def test_fold_of_stretches_is_the_fold_of_the_whole():
+    rng = random.Random(3)
+    kinds = ["pending", "running", "running", "cancelled", "failed", None]
+    codes = {"running": 0, "cancelled": 1, None: 3}
+
+    def summary(h, base):
+        _, f = run_fold.summarise(np.zeros(len(h), int), np.arange(base, base + len(h)), np.zeros(len(h), int), np.array([codes.get(k, 2) for k in h], np.int8))
+        one = {k: int(v[0]) for k, v in f.items()}
+        time = lambda i: base + i if i < len(h) else None
+        event = lambda i: {"status": h[i], "at": base + i} if i >= 0 else None
+        return {"first": base, "settled": None if one["settled"] < 0 else bool(one["cancelled"]), "free_n": one["free_n"], "free_at": time(one["free_at"]),
+                "sure_n": one["sure_n"], "sure_at": time(one["sure_at"]), "open": event(one["open"]), "shut": event(one["shut"])}
+
+    for _ in range(400):
+        h = [rng.choice(kinds) for _ in range(rng.randint(3, 14))]
+        i, j = sorted(rng.sample(range(1, len(h)), 2))
+        a, b, c = summary(h[:i], 0), summary(h[i:j], i), summary(h[j:], j)
+        whole = summary(h, 0)
+        assert run_fold.compose(run_fold.compose(a, b), c) == whole == run_fold.compose(a, run_fold.compose(b, c)), h
+
+
+def test_fold_of_a_hot_run(spark):
+    rng = random.Random(6)
+    kinds = ["pending", "running", "running", "cancelled", "failed", None]
+    rows = [("hot" if i % 2 else f"r{i % 40}", i // 3, i, rng.choice(kinds)) for i in range(8_000)] + [(None, 5, 1, "running"), (None, 6, 1, "cancelled"), ("lone", None, 3, "running")]
+    df = spark.createDataFrame(rows, "run_id string, us bigint, seq bigint, status string").withColumn("ts", F.timestamp_micros("us"))
+    parts = run_fold.stretches(df.select("run_id", F.col("us").alias("at"), "seq", "status").repartitionByRange(8, "run_id", "at", "seq", "status").sortWithinPartitions("run_id", "at", "seq", "status"))
+    assert parts.where("run_id = 'hot'").count() > 3  # it is cut by count
+    got = {r["run_id"]: (r["status"], r["attempt"]) for r in R.fold_runs(df).collect()}
+    by: dict = {}
+    for k, us, seq, status in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        by.setdefault(k, []).append(status)
+    assert got == {k: fold_brute_force(h) for k, h in by.items()}
+    assert R.fold_runs(df.limit(0)).count() == 0
+    plan = R.fold_runs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("rangepartitioning") == 1
+
+
 def test_running_crosses_blocks_for_a_hot_key(spark):
     # One key holds a third of the rows; blocks are far smaller than the key.
     rows = [("hot" if i % 3 == 0 else f"k{i % 700}", i, i % 5, None if i % 4 else i) for i in range(6_000)]
