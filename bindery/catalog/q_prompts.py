@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 from ..operators import evidence as E, versions as W
 from ..plans import generation as G, prompts as P
+from ..session import cut_lineage
 from . import views as V
 from .q_evidence import current
 from .registry import query, table
@@ -99,32 +100,85 @@ def _(spark, d):
     return r.select("template_id", "source_version_id", "version")
 
 
-def episode_rows(spark, d) -> DataFrame:
-    n = F.col("c_custkey")
-    return table(spark, d, "customer").select(
-        n.alias("episode_id"), F.col("c_name").alias("title"), F.when(n % 9 == 0, F.lit(" ")).otherwise(F.col("c_mktsegment")).alias("content_framework"),
-        F.lit("书").alias("book_title"), F.lit("").alias("book_author"), (n % 2 == 0).alias("narrative"), F.lit(2000).alias("words_min"), F.lit(2500).alias("words_max"),
-        F.when(n % 4 != 3, F.col("c_name")).alias("module_analysis"),
-    )
+def bundle_inputs(spark, d):
+    """Episodes are orders. Those of four orders in five have cards; the others have source sections: none, one that is gone, whole chapters, or fine ones."""
+    o = F.col("o_orderkey")
+    leaf = lambda n: F.concat(F.lit("s"), (n % 90 + 1).cast("string"))
+    sources = F.when(o % 25 == 0, F.array().cast("array<string>")).when(o % 25 == 5, F.array(leaf(o), F.lit("gone"))).when(o % 25 == 10, F.array(F.lit("r1"), leaf(o))).otherwise(F.array(leaf(o + 7), leaf(o)))
+    books = F.array(*[F.lit(f"r{i}") for i in range(4)])
+    episodes = table(spark, d, "orders").select(o.alias("episode_id"), sources.alias("source_section_ids"), books.alias("book_ids"))
+    links = V.episode_cards(spark, d).filter("episode_id % 5 <> 0 AND position <= 2")
+    members = V.members(spark, d).select("set_id", "content_index", "book_position", F.array(F.concat(F.lit("p"), F.col("set_id").cast("string")), F.lit("q")).alias("section_path"))
+    homes = V.members(spark, d).select("content_index", F.col("section_id").alias("source_section_id"), (F.col("set_id") % 5).alias("book_id"))
+    fragments = table(spark, d, "supplier").select(F.col("s_suppkey").alias("content_index"), F.col("s_name").alias("text")).join(homes, "content_index")
+    # Cards whose number ends in 77 are cited by nothing.
+    cited = V.card_sources(spark, d).filter("card_id % 100 <> 77")
+    tree = V.tree(spark, d).select("section_id", "book_id", "parent_id", "position", "title", "content")
+    analysed = table(spark, d, "region").filter("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("book_id"))
+    return episodes, links, V.cards(spark, d), cited, members, V.sets(spark, d), fragments, tree, analysed
+
+
+BUNDLES = f"""{V.EVIDENCE_CTES}, {V.TREE}, ep AS (
+    SELECT o_orderkey AS episode_id, CASE o_orderkey % 25 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 5 THEN ['s' || (o_orderkey % 90 + 1), 'gone'] WHEN 10 THEN ['r1', 's' || (o_orderkey % 90 + 1)]
+      ELSE ['s' || ((o_orderkey + 7) % 90 + 1), 's' || (o_orderkey % 90 + 1)] END AS src FROM orders),
+  cs AS (SELECT * FROM card_sources WHERE card_id % 100 <> 77), cur AS (SELECT * FROM members WHERE set_id IN (SELECT set_id FROM sets WHERE status = 'current')),
+  lk AS (SELECT e.episode_id, e.card_id, e.position, c.kind, c.title, c.body, c.status = 'active' AND c.source_scheme = '{E.EVIDENCE_SCHEME}' AS live FROM episode_cards e JOIN cards c USING (card_id) WHERE e.episode_id % 5 <> 0 AND e.position <= 2),
+  ct AS (SELECT card_id, string_agg(content_index, ', ' ORDER BY source_order, content_index) AS cited FROM cs WHERE content_index IN (SELECT content_index FROM cur) GROUP BY 1),
+  jd AS (SELECT episode_id, bool_or(NOT live) AS stale, arg_min(title, (position, lk.card_id)) FILTER (WHERE cited IS NULL) AS bare FROM lk LEFT JOIN ct USING (card_id) GROUP BY 1),
+  ok AS (SELECT episode_id FROM jd WHERE NOT stale AND bare IS NULL),
+  assets AS (SELECT episode_id, string_agg('## [' || card_id || '] ' || kind || ' · ' || title || chr(10) || body || chr(10) || '证据索引：' || cited, chr(10) || chr(10) ORDER BY position, card_id) AS t FROM lk JOIN ct USING (card_id) WHERE episode_id IN (FROM ok) GROUP BY 1),
+  dr AS (SELECT DISTINCT episode_id, c.content_index, c.set_id, c.section_id, c.book_position FROM lk JOIN cs USING (card_id) JOIN cur c USING (content_index) WHERE episode_id IN (FROM ok)),
+  nr AS (SELECT DISTINCT d.episode_id, m.content_index, m.set_id, m.book_position FROM dr d JOIN members m ON m.set_id = d.set_id AND m.section_id = d.section_id AND m.book_position BETWEEN d.book_position - 1 AND d.book_position + 1
+    WHERE NOT EXISTS (SELECT 1 FROM dr x WHERE x.episode_id = d.episode_id AND x.content_index = m.content_index)),
+  dt AS (SELECT episode_id, string_agg('## 直接证据 [' || content_index || ']' || chr(10) || '章节路径：p' || set_id || ' / q' || chr(10) || s_name, chr(10) || chr(10) ORDER BY set_id % 5, book_position, content_index) AS t FROM dr JOIN supplier ON s_suppkey = content_index GROUP BY 1),
+  nt AS (SELECT episode_id, string_agg('## 辅助上下文 [' || content_index || ']' || chr(10) || '章节路径：p' || set_id || ' / q' || chr(10) || s_name, chr(10) || chr(10) ORDER BY set_id % 5, book_position, content_index) AS t FROM nr JOIN supplier ON s_suppkey = content_index GROUP BY 1),
+  ls AS (SELECT episode_id, unnest(src) AS section_id FROM ep WHERE episode_id NOT IN (SELECT episode_id FROM jd)),
+  lg AS (SELECT episode_id, bool_or(t.section_id IS NULL) AS gone, bool_or(t.section_id IS NOT NULL AND parent_id IS NULL AND book_id IN ('r0', 'r1')) AS unmatched, bool_or(coalesce(book_id, '') NOT IN ('r0', 'r1', 'r2', 'r3')) AS outside,
+    string_agg('## 原文块 [' || ls.section_id || '] ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY book_id, position, ls.section_id) AS t FROM ls LEFT JOIN tree t USING (section_id) GROUP BY 1),
+  bundles AS (
+    SELECT episode_id, CASE WHEN j.stale THEN '{E.STALE_CARDS}' WHEN j.bare IS NOT NULL THEN '知识资产“' || j.bare || '”缺少当前版本原文证据' WHEN j.episode_id IS NOT NULL THEN NULL WHEN l.episode_id IS NULL THEN '{E.NO_SOURCES}'
+        WHEN gone THEN '{E.SOURCES_GONE}' WHEN unmatched THEN '{E.NOT_MATCHED}' WHEN outside THEN '{E.FOREIGN_SOURCES}' END AS error,
+      coalesce('{E.ASSETS_HEAD}' || chr(10) || a.t || chr(10) || chr(10) || '{E.DIRECT_HEAD}' || chr(10) || dt.t || chr(10) || chr(10) || '{E.AUXILIARY_HEAD}' || chr(10) || coalesce(nt.t, '{E.NO_AUXILIARY}'), l.t) AS evidence
+    FROM ep LEFT JOIN jd j USING (episode_id) LEFT JOIN assets a USING (episode_id) LEFT JOIN dt USING (episode_id) LEFT JOIN nt USING (episode_id) LEFT JOIN lg l USING (episode_id))"""
+
+
+@query("evidence_bundles", "M6 J4 J5", f"WITH {BUNDLES} SELECT episode_id, error, CASE WHEN error IS NULL THEN md5(evidence) END AS digest FROM bundles")
+def _(spark, d):
+    return E.evidence_bundles(*bundle_inputs(spark, d)).select("episode_id", "error", F.md5("evidence").alias("digest"))
+
+
+def _stage_sql(stage: str, before: str, label: str) -> str:
+    return f"""SELECT b.episode_id, '{stage}' AS stage, coalesce(b.error, CASE WHEN content IS NULL THEN '缺少上一步产物：{label}' END) AS error,
+      md5(CASE WHEN b.error IS NULL THEN evidence ELSE '' END || '|' || CASE WHEN b.episode_id % 2 = 0 THEN '当前关联原文块未识别到人物关系。' ELSE '非故事类书籍无须提供人物关系。' END || '|' || coalesce(content, '') || '|' || '当前没有可用的上一集终稿。' || '|' || '未填写') AS digest
+      FROM bundles b LEFT JOIN (SELECT episode_id, arg_max(content, version) AS content FROM artifacts WHERE stage = '{before}' GROUP BY 1) f USING (episode_id)"""
 
 
 @query(
     "episode_contexts", "M6",
-    """WITH f AS (SELECT conv_id AS episode_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'system' GROUP BY 1),
-            e AS (SELECT c_custkey AS episode_id, c_name AS evidence FROM customer WHERE c_custkey % 5 <> 0)
-       SELECT c_custkey AS episode_id, CASE WHEN evidence IS NULL THEN '当前声音尚未匹配具体知识资产和原文块，请先执行来源匹配' WHEN content IS NULL THEN '缺少上一步产物：声音细纲' END AS error,
-              md5(coalesce(evidence, '') || '|' || CASE WHEN c_custkey % 2 = 0 THEN '当前关联原文块未识别到人物关系。' ELSE '非故事类书籍无须提供人物关系。' END || '|' || coalesce(content, '') || '|' || '当前没有可用的上一集终稿。' || '|' || '未填写') AS digest
-       FROM customer LEFT JOIN f ON f.episode_id = c_custkey LEFT JOIN e ON e.episode_id = c_custkey""",
+    f"""WITH {BUNDLES}, {V.ARTIFACTS}
+        SELECT o_orderkey AS episode_id, 'outline' AS stage, CASE WHEN o_orderkey % 9 = 0 THEN '声音内容框架不能为空' WHEN o_orderkey % 4 = 3 THEN '当前声音没有可恢复的知识模块，请重新生成并确认专辑大纲' END AS error,
+          md5(CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE o_orderpriority END || '|' || '' || '|' || '' || '|' || '当前没有可用的上一集终稿。' || '|' || '未填写') AS digest FROM orders
+        UNION ALL {_stage_sql("draft", "outline", "声音细纲")}
+        UNION ALL {_stage_sql("final", "draft", "声音初稿")}""",
 )
 def _(spark, d):
-    episodes = episode_rows(spark, d)
-    outlines = W.latest_artifact(V.artifacts(spark, d)).filter("stage = 'outline'")
-    evidence = episodes.filter("episode_id % 5 <> 0").select("episode_id", F.col("title").alias("evidence"))
+    o = F.col("o_orderkey")
+    episodes = table(spark, d, "orders").select(
+        o.alias("episode_id"), F.col("o_orderstatus").alias("title"), F.when(o % 9 == 0, F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("content_framework"),
+        F.lit("书").alias("book_title"), F.lit("").alias("book_author"), (o % 2 == 0).alias("narrative"), F.lit(2000).alias("words_min"), F.lit(2500).alias("words_max"),
+        F.when(o % 4 != 3, F.col("o_orderpriority")).alias("module_analysis"),
+    )
+    evidence = cut_lineage(E.evidence_bundles(*bundle_inputs(spark, d)))
+    newest = W.latest_artifact(V.artifacts(spark, d))
     none = episodes.filter(F.lit(False)).select("episode_id", F.col("title").alias("previous_final"), F.col("title").alias("relations"))
-    r = P.episode_context(episodes, "draft", evidence, none, outlines, none)
-    v = lambda k: F.col("variables")[k]
-    shown = F.concat_ws("|", v("source_text"), v("character_relationships"), v("episode_outline"), v("previous_episode_final"), v("book_author"))
-    return r.select("episode_id", "error", F.md5(shown).alias("digest"))
+    out = None
+    for stage, before, own in (("outline", "none", "none"), ("draft", "outline", "episode_outline"), ("final", "draft", "episode_draft")):
+        r = P.episode_context(episodes, stage, evidence, none, newest.filter(F.col("stage") == before), none)
+        v = lambda k: F.coalesce(F.col("variables")[k], F.lit(""))
+        shown = F.concat_ws("|", v("source_text"), v("character_relationships"), v(own), v("previous_episode_final"), v("book_author"))
+        r = r.select("episode_id", "stage", "error", F.md5(shown).alias("digest"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @query(

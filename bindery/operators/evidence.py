@@ -114,6 +114,85 @@ def bundle_text(kind: str, header: Column, path: Column, body: Column) -> Column
     )
 
 
+# Headings of a bundle and the reasons for having none.
+ASSETS_HEAD, DIRECT_HEAD, AUXILIARY_HEAD = "# 本集知识资产", "# 直接原文证据（可作为事实与引用依据）", "# 邻接辅助上下文（仅帮助理解，不代表本集必须覆盖）"
+NO_AUXILIARY = "无"
+STALE_CARDS = "声音引用的知识资产已过期，请重新生成或调整专辑大纲"
+NO_SOURCES, SOURCES_GONE = "声音没有关联原文块", "声音关联的原文块不存在"
+NOT_MATCHED = "当前声音尚未匹配具体知识资产和原文块，请先执行来源匹配"
+FOREIGN_SOURCES = "声音关联了项目来源书籍之外的原文块"
+
+
+def evidence_bundles(
+    episodes: DataFrame, links: DataFrame, cards: DataFrame, card_sources: DataFrame, members: DataFrame, sets: DataFrame,
+    fragments: DataFrame, sections: DataFrame, analysed: DataFrame,
+) -> DataFrame:
+    """(episode_id, evidence, error): the evidence text of every episode, or why there is none.
+
+    episodes(episode_id, source_section_ids, book_ids); links(episode_id,
+    card_id, position); cards(card_id, kind, title, body, status,
+    source_scheme); card_sources(card_id, content_index, source_order);
+    members(set_id, content_index, book_position, section_path); sets(set_id,
+    status); fragments(content_index, book_id, source_section_id, text);
+    sections(section_id, book_id, parent_id, position, title, content);
+    analysed(book_id): books with a chapter analysis.
+
+    An episode with cards lists them, the fragments they cite, and those
+    around these. One without falls back to its source sections, unless one of
+    those is a whole chapter of an analysed book: that must be matched first.
+    Ids and numbers are joined first; texts only meet what is shown.
+    """
+    homes = fragments.select("content_index", "source_section_id")
+    placed = members.select("set_id", "content_index", "book_position").join(homes, "content_index")
+    current = current_members(placed, sets)
+    used = links.join(cards.select("card_id", "title", "status", "source_scheme"), "card_id")
+    cited = card_sources.join(current.select("content_index").distinct(), "content_index", "left_semi")
+    order = F.sort_array(F.collect_list(F.struct("source_order", "content_index")))
+    listed = cited.groupBy("card_id").agg(F.array_join(F.transform(order, lambda s: s["content_index"].cast("string")), ", ").alias("_cited"))
+    used = used.join(listed, "card_id", "left")
+
+    live = (F.col("status") == "active") & (F.col("source_scheme") == EVIDENCE_SCHEME)
+    bare = F.when(F.col("_cited").isNull(), F.struct("position", "card_id"))
+    judged = used.groupBy("episode_id").agg(F.max(~F.coalesce(live, F.lit(False))).alias("_stale"), F.min_by("title", bare).alias("_bare"))
+    judged = judged.select("episode_id", F.lit(True).alias("_linked"), F.when(F.col("_stale"), F.lit(STALE_CARDS)).when(F.col("_bare").isNotNull(), F.concat(F.lit("知识资产“"), "_bare", F.lit("”缺少当前版本原文证据"))).alias("_why"))
+    good = judged.filter(F.col("_why").isNull()).select("episode_id")
+
+    shown = used.select("episode_id", "card_id", "position", "_cited").join(good, "episode_id", "left_semi").join(cards.select("card_id", "kind", "title", "body"), "card_id")
+    text = F.concat(F.lit("## ["), F.col("card_id").cast("string"), F.lit("] "), "kind", F.lit(" · "), "title", F.lit("\n"), "body", F.lit("\n证据索引："), "_cited")
+    assets = assemble(shown, ["episode_id"], ["position", "card_id"], text, separator="\n\n").withColumnRenamed("text", "_assets")
+
+    def blocks(kind: str, found: DataFrame, name: str) -> DataFrame:
+        full = found.select("episode_id", "set_id", "content_index", "book_position")
+        full = full.join(members.select("set_id", "content_index", "section_path"), ["set_id", "content_index"]).join(fragments.select("content_index", "book_id", "text"), "content_index")
+        line = bundle_text(kind, F.col("content_index").cast("string"), F.col("section_path"), F.col("text"))
+        return assemble(full, ["episode_id"], ["book_id", "book_position", "content_index"], line, separator="\n\n").withColumnRenamed("text", name)
+
+    direct = direct_evidence(links.join(good, "episode_id", "left_semi"), card_sources, current)
+    near = auxiliary_context(direct, placed, "source_section_id")
+    texts = assets.join(blocks("direct", direct, "_direct"), "episode_id").join(blocks("auxiliary", near, "_near"), "episode_id", "left")
+    bundle = F.concat(F.lit(f"{ASSETS_HEAD}\n"), "_assets", F.lit(f"\n\n{DIRECT_HEAD}\n"), "_direct", F.lit(f"\n\n{AUXILIARY_HEAD}\n"), F.coalesce("_near", F.lit(NO_AUXILIARY)))
+
+    alone = episodes.join(judged.select("episode_id"), "episode_id", "left_anti")
+    asked = alone.select("episode_id", F.explode("source_section_ids").alias("section_id"))
+    homed = asked.join(sections.select("section_id", "book_id", F.col("parent_id").isNull().alias("_root"), F.lit(True).alias("_there")), "section_id", "left")
+    homed = homed.join(analysed.select("book_id", F.lit(True).alias("_analysed")).distinct(), "book_id", "left").join(alone.select("episode_id", "book_ids"), "episode_id")
+    state = homed.groupBy("episode_id").agg(
+        F.max(F.col("_there").isNull()).alias("_gone"), F.max(F.coalesce(F.col("_root") & F.col("_analysed"), F.lit(False))).alias("_unmatched"),
+        F.max(~F.coalesce(F.array_contains("book_ids", F.col("book_id")), F.lit(False))).alias("_foreign"),
+    )
+    why = F.when(F.col("_gone"), F.lit(SOURCES_GONE)).when(F.col("_unmatched"), F.lit(NOT_MATCHED)).when(F.col("_foreign"), F.lit(FOREIGN_SOURCES))
+    state = state.select("episode_id", F.lit(True).alias("_sourced"), why.alias("_legacy_why"))
+    fine = state.filter(F.col("_legacy_why").isNull()).select("episode_id")
+    whole = asked.join(fine, "episode_id", "left_semi").join(sections.select("section_id", "book_id", "position", "title", "content"), "section_id")
+    line = F.concat(F.lit("## 原文块 ["), F.col("section_id").cast("string"), F.lit("] "), "title", F.lit("\n"), "content")
+    legacy = assemble(whole, ["episode_id"], ["book_id", "position", "section_id"], line, separator="\n\n").withColumnRenamed("text", "_legacy")
+
+    out = episodes.select("episode_id").join(judged, "episode_id", "left").join(texts.select("episode_id", bundle.alias("_bundle")), "episode_id", "left")
+    out = out.join(state, "episode_id", "left").join(legacy, "episode_id", "left")
+    error = F.when(F.col("_linked"), F.col("_why")).when(F.col("_sourced").isNull(), F.lit(NO_SOURCES)).otherwise(F.col("_legacy_why"))
+    return out.select("episode_id", F.when(error.isNull(), F.coalesce("_bundle", "_legacy")).alias("evidence"), error.alias("error"))
+
+
 def previous_final(episodes: DataFrame, finals: DataFrame, block: Column | None = None) -> DataFrame:
     """As-of join: each episode with the newest final of the nearest smaller position.
 

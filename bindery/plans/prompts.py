@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..operators.evidence import NOT_MATCHED
 from ..operators.sets import template_token_errors
 
 TOKEN = r"\{\{([a-z][a-z0-9_]*)\}\}"
@@ -119,7 +120,7 @@ def episode_context(episodes: DataFrame, stage: str, evidence: DataFrame, previo
 
     episodes(episode_id, title, content_framework, book_title, book_author,
     narrative, words_min, words_max, module_analysis); evidence(episode_id,
-    evidence); previous(episode_id, previous_final); stage_inputs(episode_id,
+    evidence, error) as `evidence_bundles` gives it; previous(episode_id, previous_final); stage_inputs(episode_id,
     content) is the newest text of the stage before; relations(episode_id,
     relations).
     """
@@ -143,7 +144,7 @@ def episode_context(episodes: DataFrame, stage: str, evidence: DataFrame, previo
         )
     elif stage in ("draft", "final"):
         base = (
-            base.join(evidence.select("episode_id", "evidence"), "episode_id", "left")
+            base.join(evidence.select("episode_id", "evidence", F.col("error").alias("_why")), "episode_id", "left")
             .join(stage_inputs.select("episode_id", F.col("content").alias("_input")), "episode_id", "left")
             .join(relations.select("episode_id", "relations"), "episode_id", "left")
         )
@@ -154,7 +155,7 @@ def episode_context(episodes: DataFrame, stage: str, evidence: DataFrame, previo
             ("episode_outline" if stage == "draft" else "episode_draft", F.col("_input")),
         ]
         label = "声音细纲" if stage == "draft" else "声音初稿"
-        error = F.when(F.col("evidence").isNull(), F.lit("当前声音尚未匹配具体知识资产和原文块，请先执行来源匹配")).when(
+        error = F.when(F.col("evidence").isNull(), F.coalesce("_why", F.lit(NOT_MATCHED))).when(
             F.col("_input").isNull(), F.lit(f"缺少上一步产物：{label}")
         )
     else:

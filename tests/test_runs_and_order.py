@@ -157,6 +157,33 @@ def test_neighbours_stay_in_section_and_skip_direct(spark):
     assert got == {"f1", "f5", "f7"}
 
 
+def test_evidence_bundles(spark):
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    episodes = frame(
+        [("two", [], ["b"]), ("alone", [], ["b"]), ("stale", [], ["b"]), ("bare", [], ["b"]), ("nothing", [], ["b"]), ("gone", ["x"], ["b"]), ("chapter", ["root"], ["b"]), ("legacy", ["s2", "s1"], ["b"]), ("foreign", ["t1"], ["b"]), ("null", None, ["b"])],
+        "episode_id string, source_section_ids array<string>, book_ids array<string>",
+    )
+    links = frame([("two", "k2", 2), ("two", "k1", 1), ("alone", "k3", 1), ("stale", "k1", 1), ("stale", "old", 2), ("bare", "k1", 1), ("bare", "un", 2)], "episode_id string, card_id string, position int")
+    cards = frame([(k, "观点", f"T{k}", f"B{k}", "superseded" if k == "old" else "active", E.EVIDENCE_SCHEME) for k in ("k1", "k2", "k3", "old", "un")], "card_id string, kind string, title string, body string, status string, source_scheme string")
+    sources = frame([("k1", "f2", 1), ("k2", "f3", 1), ("k2", "f2", 2), ("k3", "g1", 1), ("un", "h1", 1), ("old", "f2", 1)], "card_id string, content_index string, source_order int")
+    members = frame([("now", f"f{i}", i, ["章", f"节{i}"]) for i in range(1, 6)] + [("now", "g1", 9, ["乙"]), ("past", "h1", 1, ["旧"])], "set_id string, content_index string, book_position int, section_path array<string>")
+    sets = frame([("now", "current"), ("past", "historical")], "set_id string, status string")
+    fragments = frame([(f"f{i}", "b", "s1" if i < 4 else "s2", f"文{i}") for i in range(1, 6)] + [("g1", "b", "s3", "文g"), ("h1", "b", "s1", "文h")], "content_index string, book_id string, source_section_id string, text string")
+    sections = frame([("root", "b", None, 0, "章", "全"), ("s1", "b", "root", 1, "一", "甲"), ("s2", "b", "root", 2, "二", "乙"), ("t1", "c", "t0", 1, "他", "丙")], "section_id string, book_id string, parent_id string, position int, title string, content string")
+    got = {r["episode_id"]: (r["error"], r["evidence"]) for r in E.evidence_bundles(episodes, links, cards, sources, members, sets, fragments, sections, frame([("b",), ("b",)], "book_id string")).collect()}
+    assert {k: v[0] for k, v in got.items() if v[0]} == {
+        "stale": E.STALE_CARDS, "bare": "知识资产“Tun”缺少当前版本原文证据", "nothing": E.NO_SOURCES, "null": E.NO_SOURCES, "gone": E.SOURCES_GONE, "chapter": E.NOT_MATCHED, "foreign": E.FOREIGN_SOURCES,
+    }
+    # The cards by position, what they cite in reading order, and what lies around within the section (f1, not f4).
+    assert got["two"][1] == (
+        f"{E.ASSETS_HEAD}\n## [k1] 观点 · Tk1\nBk1\n证据索引：f2\n\n## [k2] 观点 · Tk2\nBk2\n证据索引：f3, f2\n\n"
+        f"{E.DIRECT_HEAD}\n## 直接证据 [f2]\n章节路径：章 / 节2\n文2\n\n## 直接证据 [f3]\n章节路径：章 / 节3\n文3\n\n"
+        f"{E.AUXILIARY_HEAD}\n## 辅助上下文 [f1]\n章节路径：章 / 节1\n文1"
+    )
+    assert got["alone"][1].endswith(f"文g\n\n{E.AUXILIARY_HEAD}\n无")
+    assert got["legacy"][1] == "## 原文块 [s1] 一\n甲\n\n## 原文块 [s2] 二\n乙"
+
+
 def test_reused_and_missing(spark):
     links = spark.createDataFrame([("e1", "a"), ("e1", "a"), ("e2", "b"), ("e3", "b")], "e string, c string")
     assert [r[0] for r in S.reused_assets(links, "e", "c").collect()] == ["b"]
