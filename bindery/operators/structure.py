@@ -204,60 +204,69 @@ def heading_parent(sections: DataFrame) -> DataFrame:
     return carried.withColumn("computed_parent", nearest["section_id"]).drop(*last)
 
 
-def lineage(sections: DataFrame, levels: int = 6) -> DataFrame:
+def lineage(sections: DataFrame) -> DataFrame:
     """Adds root_id, ancestors (root first, self last) and section_path titles.
 
-    One equi join per level above a section, `levels` of them at a time, until
-    every row has reached its root: headings nest six deep, but moved sections
-    may stand anywhere. The parent side is the same narrow shuffle every time
-    and is reused. Finished rows get a key of their own that matches nothing,
-    so they do not pile up on one null key. A chain that comes back to itself
-    ends there; its sections then have no root but the one before the loop.
+    By pointer doubling: each round a section takes over the ancestors that
+    the topmost one it knows has found, so a tree of any depth is done in as
+    many rounds as its depth has binary digits, one equi join each. Only
+    sections that are not done are joined, so none pile up on a null key. A
+    chain that comes back to itself ends there; its sections then have no root
+    but the one before the loop.
     """
-    parents = sections.select(
-        F.col("book_id").alias("_b"), F.col("section_id").alias("_id"), F.col("parent_id").alias("_next"), F.col("title").alias("_title")
+    state = cut_lineage(
+        sections.select("book_id", "section_id", F.col("parent_id").alias("_up"), F.array("section_id").alias("ancestors"), F.array("title").alias("section_path"))
     )
-    state = sections.select(
-        "book_id", "section_id", F.col("parent_id").alias("_up"), F.array("section_id").alias("ancestors"), F.array("title").alias("section_path")
-    )
-    found = F.col("_id").isNotNull()
-
-    def climb(state: DataFrame) -> DataFrame:
-        probe = state.withColumn("_key", F.coalesce("_up", F.concat(F.lit("\x00"), F.col("section_id"))))
-        joined = probe.join(parents, (F.col("book_id") == F.col("_b")) & (F.col("_key") == F.col("_id")), "left")
-        again = F.array_contains("ancestors", F.col("_next")) | (F.col("_next") == F.col("_id"))
-        return joined.select(
-            "book_id",
-            "section_id",
-            F.when(~F.coalesce(again, F.lit(False)), F.col("_next")).alias("_up"),
-            F.when(found, F.concat(F.array("_id"), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
-            F.when(found, F.concat(F.array("_title"), "section_path")).otherwise(F.col("section_path")).alias("section_path"),
+    while not state.filter(F.col("_up").isNotNull()).isEmpty():
+        above = state.select(
+            F.col("book_id").alias("_b"), F.col("section_id").alias("_id"), F.col("_up").alias("_next"), F.col("ancestors").alias("_more"), F.col("section_path").alias("_titles")
+        )
+        open_ = state.filter(F.col("_up").isNotNull()).join(above, (F.col("book_id") == F.col("_b")) & (F.col("_up") == F.col("_id")), "left")
+        # Of what lies above, nearest last, only that behind the last section already known is new.
+        seen = F.arrays_overlap("_more", "ancestors")
+        known = F.transform("_more", lambda x: F.array_contains("ancestors", x))
+        kept = F.when(seen, F.array_position(F.reverse(known), F.lit(True)).cast("int") - 1).otherwise(F.size("_more"))
+        tail = lambda c: F.slice(c, F.size("_more") - kept + 1, kept)
+        found = F.col("_id").isNotNull()
+        grown = open_.select(
+            "book_id", "section_id", F.when(~F.coalesce(seen, F.lit(False)), F.col("_next")).alias("_up"),
+            F.when(found, F.concat(tail("_more"), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
+            F.when(found, F.concat(tail("_titles"), "section_path")).otherwise(F.col("section_path")).alias("section_path"),
         )
-    while True:
-        for _ in range(levels):
-            state = climb(state)
-        state = cut_lineage(state)
-        if state.filter(F.col("_up").isNotNull()).isEmpty():
-            break
+        state = cut_lineage(state.filter(F.col("_up").isNull()).unionByName(grown))
     return state.select(
         "book_id", "section_id", F.get("ancestors", F.lit(0)).alias("root_id"), "ancestors", "section_path"
     )
 
 
-def subtree_size(sections: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Characters below every section: own body plus titles and bodies of descendants."""
-    tree = lineage(sections) if lines is None else lines
-    weighed = sections.select(
-        "book_id",
-        "section_id",
-        F.length(X.strip(F.col("content"))).alias("_body"),
-        F.length("title").alias("_title"),
-    ).join(tree.select("book_id", "section_id", "ancestors"), ["book_id", "section_id"])
-    spread = weighed.select("book_id", "_body", "_title", "section_id", F.explode("ancestors").alias("_top"))
-    own = F.col("_top") == F.col("section_id")
-    return spread.groupBy("book_id", F.col("_top").alias("section_id")).agg(
-        F.sum(F.col("_body") + F.when(own, F.lit(0)).otherwise(F.col("_title"))).alias("subtree_chars")
-    )
+def subtree_size(sections: DataFrame) -> DataFrame:
+    """(book_id, section_id, subtree_chars, cyclic): own body plus titles and bodies of all descendants.
+
+    By pointer doubling: after k rounds a section holds the sum of all that
+    lies less than 2^k levels below it and points 2^k levels up; one round
+    adds its sum to the section it points to and takes over that one's
+    pointer. Each round is a sum with map-side combine and a join over narrow
+    rows, as many rounds as the depth has binary digits. Sections that stand
+    below themselves are marked cyclic and have no size; those hanging from
+    them have.
+    """
+    titled = F.coalesce(F.length("title"), F.lit(0))
+    weight = F.coalesce(F.length(X.strip(F.col("content"))), F.lit(0)) + titled
+    key = ["book_id", "section_id"]
+    state = cut_lineage(sections.select(*key, F.col("parent_id").alias("_up"), weight.cast("bigint").alias("_sum"), titled.alias("_title")))
+    total, reach = state.count(), 1
+    pointing = state.filter(F.col("_up").isNotNull())
+    while reach <= total and not pointing.isEmpty():
+        added = pointing.groupBy("book_id", F.col("_up").alias("section_id")).agg(F.sum("_sum").alias("_add"))
+        tops = state.select("book_id", F.col("section_id").alias("_up"), F.col("_up").alias("_next"))
+        moved = pointing.join(tops, ["book_id", "_up"]).filter(F.col("_next").isNotNull()).select(*key, "_next")
+        state = state.join(added, key, "left").join(moved, key, "left")
+        state = cut_lineage(state.select(*key, F.col("_next").alias("_up"), (F.col("_sum") + F.coalesce("_add", F.lit(0))).alias("_sum"), "_title"))
+        pointing, reach = state.filter(F.col("_up").isNotNull()), 2 * reach
+    # A pointer that goes further up than there are sections ends on a loop.
+    looped = pointing.select("book_id", F.col("_up").alias("section_id"), F.lit(True).alias("_loop")).distinct()
+    marked = state.join(looped, key, "left")
+    return marked.select(*key, F.when(F.col("_loop").isNull(), F.col("_sum") - F.col("_title")).alias("subtree_chars"), F.col("_loop").isNotNull().alias("cyclic"))
 
 
 def candidate_verdict(

@@ -99,6 +99,47 @@ def test_deep_and_circular_lineage(spark):
     assert got["x"]["ancestors"] == ["y", "x"] and got["y"]["ancestors"] == ["x", "y"] and got["z"]["root_id"] == "z"
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, made = 10_000, []
+    monkeypatch.setattr(ST, "cut_lineage", lambda df, real=ST.cut_lineage: made.append(1) or real(df))
+    chain = spark.range(n).select(F.lit("b").alias("book_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("section_id"), F.when(F.col("id") > 0, F.concat(F.lit("s"), (F.col("id") - 1).cast("string"))).alias("parent_id"), F.lit("ti").alias("title"), F.lit(" x ").alias("content"))
+    sizes = {r["section_id"]: (r["subtree_chars"], r["cyclic"]) for r in ST.subtree_size(chain).collect()}
+    assert all(sizes[f"s{i}"] == (1 + 3 * (n - 1 - i), False) for i in range(n))
+    assert len(made) <= 16
+    short = chain.filter("cast(substring(section_id, 2) as int) < 600")
+    made.clear()
+    deep = ST.lineage(short).filter("section_id = 's599'").first()
+    assert deep["root_id"] == "s0" and deep["ancestors"] == [f"s{i}" for i in range(600)] and len(made) <= 12
+
+
+def test_sizes_and_lineage_match_brute_force(spark):
+    rnd = random.Random(9)
+    rows = []
+    for book in ("a", "b"):
+        ids = [f"n{i}" for i in range(60)]
+        for i, s in enumerate(ids):
+            up = rnd.choice([None, "gone", *ids[:i], *ids[:i]]) if book == "a" else rnd.choice([None, *ids])  # the second book has loops
+            rows.append((book, s, up, "t" * rnd.randrange(4), "c" * rnd.randrange(5)))
+    df = spark.createDataFrame(rows, "book_id string, section_id string, parent_id string, title string, content string")
+    node = {(b, s): (p, len(t), len(c)) for b, s, p, t, c in rows}
+
+    def climb(b, s):
+        path = [s]
+        while (up := node[b, path[-1]][0]) is not None and (b, up) in node and up not in path:
+            path.append(up)
+        return path, up is not None and (b, up) in node and up == s
+
+    want = {k: climb(*k) for k in node}
+    got = {(r["book_id"], r["section_id"]): r["ancestors"] for r in ST.lineage(df).collect()}
+    assert got == {k: v[0][::-1] for k, v in want.items()}
+    sizes = {(r["book_id"], r["section_id"]): (r["subtree_chars"], r["cyclic"]) for r in ST.subtree_size(df).collect()}
+    for (b, s), (_, loop) in want.items():
+        below = [k for k, v in want.items() if k[0] == b and s in v[0]]
+        size = None if loop else sum(node[k][2] + (node[k][1] if k[1] != s else 0) for k in below)
+        assert sizes[b, s] == (size, loop)
+    assert ST.subtree_size(df.limit(0)).count() == 0 == ST.lineage(df.limit(0)).count()
+
+
 def test_anchor_levels(spark):
     rows = [("你好，世界 再见", "世界", 1, 3), ("a  b c", "ab", 2, 0), ("x, y! z.", "x y z", 3, 0), ("目标句子一二三四五六七八九十后文", "目标句子一二三四五六七八不同结尾", 4, 0), ("abc", "zzz", 0, -1)]
     df = spark.createDataFrame(rows, "c string, q string, level int, at int").withColumn("f", A.find_anchor(F.col("c"), F.col("q")))
