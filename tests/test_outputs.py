@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import stand_ins
-from bindery.operators import versions as W
+from bindery.operators import fragments as FR, structure as ST, versions as W
 from bindery.plans import generation as G, prompts as P
 from bindery.sources import notes as N, readers as RD
 from bindery.streaming import jobs as JB
@@ -156,12 +156,29 @@ def test_streams_equal_batch(spark, tmp_path):
 
 
 def test_library_stream(spark, tmp_path):
-    inbox = tmp_path / "in"
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()
-    out = str(tmp_path / "out")
-    sink = lambda df, batch_id: df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    for name, text in (("a.md", "# 甲\n正文"), ("b.txt", "纯文本")):
-        (inbox / name).write_text(text)
-        JB.stream_library(spark, str(inbox), sink, str(tmp_path / "cp"), availableNow=True).awaitTermination()
-    rows = spark.read.parquet(f"{out}/*").select("title", "content").collect()
-    assert sorted(map(tuple, rows)) == [("b", "纯文本"), ("甲", "正文")]
+    go = lambda: JB.stream_library(spark, str(inbox), out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    assert JB.delivered(spark, out) == []
+    portions = [{"a.md": "# 甲\n正文。又一句。\n## 乙\n下文", "b.txt": "纯文本"}, {"c.md": "# 丙\n别的", "again.md": "# 甲\n正文。又一句。\n## 乙\n下文", "x.pdf": "%PDF"}, {"b2.txt": "纯文本"}]
+    for portion in portions:
+        for name, text in portion.items():
+            (inbox / name).write_text(text)
+        go()
+    read = lambda name: JB.read_delivered(spark, out, name)
+    assert sorted(r["filename"] for r in read("books").collect()) == ["a.md", "b.txt", "c.md"]
+    assert sorted(r["title"] for r in read("sections").collect()) == ["b", "丙", "乙", "甲"]
+    assert [(r["path"].rsplit("/", 1)[1], r["error"]) for r in read("rejects").collect()] == [("x.pdf", RD.UNSUPPORTED)]
+    # The same as reading all files at once, copies left out.
+    files = RD.with_suffix(spark.read.format("binaryFile").load(str(inbox))).where("path not like '%again.md' and path not like '%b2.txt'")
+    sections = ST.parse_books(RD.read_library(files)[0]).withColumn("status", L("confirmed"))
+    want = FR.fragment_records(FR.cut_library(sections), ST.lineage(sections))
+    key = lambda df: sorted((r["content_index"], r["book_position"], r["text"]) for r in df.collect())
+    assert key(read("fragments")) == key(want) and len(key(want)) == 4
+    # A batch that is repeated, with whatever, is not written again; one that failed half-way is.
+    done = sorted(JB.delivered(spark, out))
+    assert not JB.deliver(files.withColumn("content_hash", L("h")), done[0], out)
+    read("sections").limit(1).write.parquet(f"{out}/batches/000000099/sections")
+    assert key(read("fragments")) == key(want) and 99 not in JB.delivered(spark, out)
+    assert JB.deliver(files.where("path like '%c.md'").withColumn("content_hash", L("h")), 99, out)
+    assert len(read("books").collect()) == 4
