@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators import evidence as E, versions as W
 from ..plans import generation as G, prompts as P
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from . import views as V
 from .q_evidence import current
 from .registry import query, table
@@ -276,30 +279,55 @@ def shortened(prompt: str, source: str) -> str:
 
 
 @query(
-    "episodes_produced", "M13 W7",
+    "episodes_produced", "M13 M7 M8 W7",
     f"""WITH {V.ARTIFACTS}, h AS (SELECT DISTINCT episode_id, stage FROM artifacts), e AS (SELECT DISTINCT episode_id FROM artifacts),
-          f AS (SELECT episode_id, CASE WHEN episode_id NOT IN (SELECT episode_id FROM h WHERE stage = 'outline') THEN 1 WHEN episode_id NOT IN (SELECT episode_id FROM h WHERE stage = 'draft') THEN 2 ELSE 3 END AS start FROM e),
+          f AS (SELECT episode_id, episode_id % 3 = 0 AS bare, episode_id % 3 = 0 AND episode_id % 10 = 7 AS outside,
+                CASE WHEN episode_id NOT IN (SELECT episode_id FROM h WHERE stage = 'outline') THEN 1 WHEN episode_id NOT IN (SELECT episode_id FROM h WHERE stage = 'draft') THEN 2 ELSE 3 END AS start FROM e),
           t AS (SELECT episode_id, stage, max(version) AS top FROM artifacts GROUP BY 1, 2)
-        SELECT episode_id, s.stage, coalesce(top, 0) + 1 AS version FROM f JOIN (SELECT unnest(['outline', 'draft', 'final']) AS stage, unnest([1, 2, 3]) AS k) s ON k >= start
-        LEFT JOIN t USING (episode_id, stage) WHERE NOT (episode_id % 10 = 3 AND k >= greatest(start, 2))""",
+        SELECT episode_id, '{P.MATCH_STAGE}' AS stage, CASE WHEN NOT outside THEN CAST(1 AS BIGINT) END AS version, CASE WHEN outside THEN '来源匹配返回了所选章节范围之外的知识资产' END AS error,
+               CASE WHEN NOT outside THEN md5('{{"knowledge_item_ids":["' || episode_id % 100 || '","' || (episode_id % 100 + 1) || '"]}}') END AS digest FROM f WHERE bare
+        UNION ALL
+        SELECT episode_id, s.stage, CASE WHEN NOT (episode_id % 10 = 3 AND k >= 2) THEN coalesce(top, 0) + 1 END, CASE WHEN episode_id % 10 = 3 AND k >= 2 THEN 'refused' END,
+               CASE WHEN NOT (episode_id % 10 = 3 AND k >= 2) THEN md5(s.stage || ': ' || s.stage || ' ' || episode_id || CASE WHEN bare THEN ' ' || episode_id % 100 || ' ' || (episode_id % 100 + 1) ELSE '' END) END
+        FROM f JOIN (SELECT unnest(['outline', 'draft', 'final']) AS stage, unnest([1, 2, 3]) AS k) s ON k >= start
+        LEFT JOIN t USING (episode_id, stage) WHERE NOT outside AND NOT (episode_id % 10 = 3 AND k > greatest(start, 2))""",
 )
 def _(spark, d):
     artifacts = V.artifacts(spark, d)
     artifacts = artifacts.withColumn("episode_id", F.col("episode_id").cast("string"))
-    due = W.first_missing_stage(artifacts.select("episode_id").distinct(), artifacts)
+    every = artifacts.select("episode_id").distinct()
+    number = F.col("episode_id").cast("bigint")
+    due = W.first_missing_stage(every, artifacts, every.filter(number % 3 != 0))
+    near = F.sequence(number % 100, number % 100 + 2)
+    candidates = every.select("episode_id", F.explode(near.cast("array<string>")).alias("card_id"))
+
+    def match(healthy: DataFrame, so_far: DataFrame) -> DataFrame:
+        listed = candidates.groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("card_id").cast("int"))).cast("array<string>"), " ").alias("source"))
+        return healthy.join(listed, "episode_id").select(F.col("episode_id").alias("request_id"), F.lit(P.MATCH_STAGE).alias("prompt_id"), F.concat_ws(" ", "episode_id", "source").alias("source"))
 
     def build(stage: str):
         def requests(healthy: DataFrame, so_far: DataFrame) -> DataFrame:
-            return healthy.select(F.col("episode_id").alias("request_id"), F.lit(stage).alias("prompt_id"), F.concat_ws(" ", F.lit(stage), "episode_id").alias("source"))
+            # What the match has found goes into the stages behind it.
+            links = P.matched_links(so_far).groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "card_id"))), lambda x: x["card_id"]), " ").alias("_ids"))
+            asked = healthy.select("episode_id").join(links, "episode_id", "left")
+            return asked.select(F.col("episode_id").alias("request_id"), F.lit(stage).alias("prompt_id"), F.concat_ws(" ", F.lit(stage), "episode_id", "_ids").alias("source"))
 
         return requests
 
-    made, _ = G.produce_episodes(due, {s: build(s) for s in W.STAGES}, unless_in_three, artifacts)
-    return made.select(F.col("episode_id").cast("bigint").alias("episode_id"), "stage", "version")
+    stages = {P.MATCH_STAGE: match, **{s: build(s) for s in W.STAGES}}
+    ledger = f"{shared_folder(spark)}/bindery-{uuid.uuid4().hex}/ledger"
+    made, failed = G.produce_episodes(due, stages, unless_in_three, artifacts, ledger=ledger, checks={P.MATCH_STAGE: P.match_check(candidates)}, parallelism=8)
+    none = F.lit(None).cast("string")
+    return made.select(number.alias("episode_id"), "stage", "version", none.alias("error"), F.md5("content").alias("digest")).unionByName(
+        failed.select(number.alias("episode_id"), "stage", F.lit(None).cast("bigint").alias("version"), "error", none.alias("digest"))
+    )
 
 
 def unless_in_three(prompt: str, source: str) -> str:
-    """No answer for drafts and finals of episodes whose number ends in 3."""
-    if prompt != "outline" and source.endswith("3"):
+    """Names two cards for a match, one of them unknown if the episode ends in 7; has no answer for drafts and finals of episodes that end in 3."""
+    words = source.split()
+    if prompt == P.MATCH_STAGE:
+        return json.dumps({"knowledge_item_ids": [words[1], "none" if words[0].endswith("7") else words[2]]}, separators=(",", ":"))
+    if prompt != "outline" and words[1].endswith("3"):
         raise G.GenerationError("refused", "model_timeout")
     return f"{prompt}: {source}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import packing, text as X
 from ..operators.sets import id_preservation
@@ -59,6 +60,43 @@ def generate(requests: DataFrame, fn: Generator, *, parallelism: int | None = No
     return narrow.mapInPandas(call, schema)
 
 
+LEDGER = "signature string, attempt bigint, content string, error_category string, error string, diagnostics map<string,string>"
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    try:
+        return spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException:  # nothing answered so far
+        return spark.createDataFrame([], LEDGER)
+
+
+def generate_once(requests: DataFrame, fn: Generator, ledger: str, *, parallelism: int = 64) -> DataFrame:
+    """`generate`, but an input that was ever answered is not asked again, whatever failed since.
+
+    Answers go to the `ledger` folder, keyed by the signature of prompt and
+    source. The work is cut into `parallelism` tasks, and the answers of a task
+    are in the ledger as soon as it ends, not when the job does: after a lost
+    executor, a failed job or a stopped driver only what no task has finished
+    is asked again. Equal inputs are asked once. Failures are kept as well but
+    do not count as answers; each run tries them anew.
+    """
+    spark = requests.sparkSession
+    signed = cut_lineage(
+        requests.select(F.col("request_id").cast("string").alias("request_id"), "prompt_id", "source", X.signature(F.col("prompt_id"), F.col("source")).alias("signature"))
+    )
+    before = read_ledger(spark, ledger)
+    attempt = (before.agg(F.max("attempt")).first()[0] or 0) + 1
+    answered = before.filter(F.col("error_category").isNull()).select("signature").distinct()
+    asked = signed.join(answered, "signature", "left_anti").groupBy("signature").agg(F.any_value("prompt_id").alias("prompt_id"), F.any_value("source").alias("source"))
+    fresh = generate(asked.withColumnRenamed("signature", "request_id"), fn, parallelism=parallelism)
+    rows = fresh.select(F.col("request_id").alias("signature"), F.lit(attempt).cast("bigint").alias("attempt"), "content", "error_category", "error", "diagnostics")
+    # The second version of the committer publishes the files of a task when that task commits.
+    rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(ledger)
+    kept = F.struct("content", "error_category", "error", "diagnostics")
+    best = read_ledger(spark, ledger).groupBy("signature").agg(F.max_by(kept, F.struct(F.col("error_category").isNull(), "attempt")).alias("r"))
+    return signed.join(best, "signature").select("request_id", "r.*")
+
+
 def classify_output(timed_out: Column, http_status: Column, connected: Column, well_formed: Column, finish: Column, content: Column) -> Column:
     """Failure category of a gateway answer, null for a usable one."""
     return (
@@ -155,26 +193,41 @@ def compress(texts: DataFrame, fn: Generator, *, prompt_id: str = "chapter_compr
     )
 
 
-def produce_episodes(episodes: DataFrame, stages: dict[str, Callable[[DataFrame, DataFrame], DataFrame]], fn: Generator, artifacts: DataFrame, *, parallelism: int | None = None) -> tuple[DataFrame, DataFrame]:
+def produce_episodes(
+    episodes: DataFrame, stages: dict[str, Callable[[DataFrame, DataFrame], DataFrame]], fn: Generator, artifacts: DataFrame, *,
+    ledger: str | None = None, checks: dict[str, Callable[[DataFrame], DataFrame]] | None = None, parallelism: int = 64,
+) -> tuple[DataFrame, DataFrame]:
     """Run the missing stages of each episode in order.
 
     episodes(episode_id, target_stages); `stages` maps a stage name, in order,
     to a function (healthy episodes, artifacts so far) -> requests
-    (request_id = episode_id, prompt_id, source). Returns (new artifacts,
-    failures); an episode stops at its first error, the others go on.
+    (request_id = episode_id, prompt_id, source). `checks` maps a stage to a
+    function (episode_id, content) -> (episode_id, error) that refuses answers,
+    as the match of sources needs it. Returns (new artifacts, failures); an
+    episode stops at its first error, the others go on. With a `ledger` a
+    repeated run asks only for what no earlier run was answered.
     """
     healthy, failures, made = episodes, None, None
     so_far = artifacts.select("episode_id", "stage", F.col("version").cast("bigint").alias("version"), "content")
     for stage, build in stages.items():
         due = healthy.filter(F.array_contains("target_stages", stage))
-        answers = cut_lineage(generate(build(due, so_far), fn, parallelism=parallelism))
+        requests = build(due, so_far)
+        answers = generate_once(requests, fn, ledger, parallelism=parallelism) if ledger else generate(requests, fn, parallelism=parallelism)
+        answers = cut_lineage(answers.select(F.col("request_id").alias("episode_id"), "content", "error_category", "error"))
+        if checks and stage in checks:
+            told = answers.filter(F.col("error_category").isNull()).select("episode_id", "content")
+            refused = checks[stage](told).filter(F.col("error").isNotNull()).select("episode_id", F.col("error").alias("_refused"))
+            answers = cut_lineage(
+                answers.join(refused, "episode_id", "left").select(
+                    "episode_id", "content", F.when(F.col("_refused").isNotNull(), F.lit("refused_output")).otherwise(F.col("error_category")).alias("error_category"),
+                    F.coalesce("_refused", "error").alias("error"),
+                )
+            )
         good = answers.filter(F.col("error_category").isNull())
-        bad = answers.filter(F.col("error_category").isNotNull()).select(
-            F.col("request_id").alias("episode_id"), F.lit(stage).alias("stage"), "error_category", "error"
-        )
+        bad = answers.filter(F.col("error_category").isNotNull()).select("episode_id", F.lit(stage).alias("stage"), "error_category", "error")
         failures = bad if failures is None else failures.unionByName(bad)
         top = so_far.filter(F.col("stage") == stage).groupBy("episode_id").agg(F.max("version").alias("_top"))
-        fresh = good.select(F.col("request_id").alias("episode_id"), F.lit(stage).alias("stage"), "content").join(top, "episode_id", "left")
+        fresh = good.select("episode_id", F.lit(stage).alias("stage"), "content").join(top, "episode_id", "left")
         fresh = fresh.select("episode_id", "stage", (F.coalesce("_top", F.lit(0)) + 1).cast("bigint").alias("version"), "content")
         made = fresh if made is None else made.unionByName(fresh)
         so_far = so_far.unionByName(fresh)

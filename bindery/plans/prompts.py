@@ -18,6 +18,10 @@ RELATIONS_NOT_NEEDED = "非故事类书籍无须提供人物关系。"
 UNKNOWN_AUTHOR = "未填写"
 
 
+#: The stage that comes first where an episode has no cards yet.
+MATCH_STAGE = "match_episode_sources"
+
+
 def tokens(template: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(template, F.lit(TOKEN), 1))
 
@@ -190,3 +194,24 @@ def check_match(answers: DataFrame, candidates: DataFrame) -> DataFrame:
         F.col("_x"), F.lit("来源匹配返回了所选章节范围之外的知识资产")
     )
     return out.select("episode_id", F.coalesce("_n", F.lit(0)).alias("chosen_count"), error.alias("error"))
+
+
+def matched_ids(content: Column) -> Column:
+    """The card ids that an answer of the match stage names; null where it is no such JSON."""
+    return F.from_json(X.strip_code_fence(content), "knowledge_item_ids array<string>")["knowledge_item_ids"]
+
+
+def match_check(candidates: DataFrame):
+    """The check of the match stage for `produce_episodes`; candidates(episode_id, card_id) as text."""
+
+    def check(answers: DataFrame) -> DataFrame:
+        return check_match(answers.select("episode_id", F.coalesce(matched_ids(F.col("content")), F.array().cast("array<string>")).alias("chosen")), candidates)
+
+    return check
+
+
+def matched_links(artifacts: DataFrame, stage: str = MATCH_STAGE) -> DataFrame:
+    """(episode_id, card_id, position) of the cards that the newest match of each episode names, repeats left out."""
+    newest = artifacts.filter(F.col("stage") == stage).groupBy("episode_id").agg(F.max_by("content", "version").alias("_c"))
+    ids = F.array_distinct(F.filter(F.transform(matched_ids(F.col("_c")), X.strip), lambda x: x != ""))
+    return newest.select("episode_id", F.posexplode(ids).alias("position", "card_id")).select("episode_id", "card_id", (F.col("position") + 1).alias("position"))

@@ -1,5 +1,8 @@
+import os
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 import stand_ins
@@ -96,6 +99,56 @@ def test_generation_isolates_failures(spark):
     assert got["1"]["diagnostics"] == {"timeout_seconds": "3"}
 
 
+def test_answers_survive_a_failed_job(spark, tmp_path):
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    folder = str(calls)
+
+    def asked(source):
+        with open(f"{folder}/{source}", "a") as f:
+            f.write("x")
+
+    def dies(prompt, source):
+        asked(source)
+        if source == "s0":
+            time.sleep(12)  # the others are done by then
+            os._exit(1)
+        if source == "s1":
+            raise G.GenerationError("慢", "model_timeout")
+        return source.upper()
+
+    def answers(prompt, source):
+        asked(source)
+        return source.upper()
+
+    rows = requests(spark, *[f"s{i}" for i in range(20)], "s5")  # the last repeats an input
+    with pytest.raises(Exception):
+        G.generate_once(rows, dies, ledger, parallelism=16).collect()
+    stored = {r["content"] for r in G.read_ledger(spark, ledger).where("error_category is null").collect()}
+    assert len(stored) >= 8 and "S0" not in stored
+    got = {r["request_id"]: r["content"] for r in G.generate_once(rows, answers, ledger, parallelism=16).collect()}
+    assert got == {**{str(i): f"S{i}" for i in range(20)}, "20": "S5"}
+    count = {f.name: len(f.read_text()) for f in calls.iterdir()}
+    assert all(count[s.lower()] == 1 for s in stored)  # what a finished task had stored is not asked again
+    assert count["s0"] == 2 and count["s1"] == 2 and sum(count.values()) > 20
+    again = G.generate_once(rows, dies, ledger).collect()
+    assert len(again) == 21 and {f.name: len(f.read_text()) for f in calls.iterdir()} == count
+
+
+def test_stages_with_a_match_first(spark, tmp_path):
+    artifacts = spark.createDataFrame([("a", "outline", 1, "x")], "episode_id string, stage string, version int, content string")
+    episodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "episode_id string")
+    due = W.first_missing_stage(episodes, artifacts, episodes.where("episode_id = 'a'"))
+    candidates = spark.createDataFrame([(e, k) for e in "bcd" for k in ("k1", "k2")], "episode_id string, card_id string")
+    ask = lambda stage: lambda healthy, so_far: healthy.select(F.col("episode_id").alias("request_id"), L(stage).alias("prompt_id"), "episode_id").withColumnRenamed("episode_id", "source")
+    told = {"b": '```json\n{"knowledge_item_ids": ["k2", " k2", "k1"]}\n```', "c": '{"knowledge_item_ids": ["k9"]}', "d": "none of them"}
+    fn = lambda prompt, source: told[source] if prompt == P.MATCH_STAGE else f"{prompt} {source}"
+    made, failed = G.produce_episodes(due, {s: ask(s) for s in (P.MATCH_STAGE, *W.STAGES)}, fn, artifacts, ledger=str(tmp_path / "l"), checks={P.MATCH_STAGE: P.match_check(candidates)}, parallelism=2)
+    assert sorted((r["episode_id"], r["stage"]) for r in made.collect()) == [("a", "draft"), ("a", "final"), ("b", "draft"), ("b", "final"), ("b", P.MATCH_STAGE), ("b", "outline")]
+    assert sorted((r["episode_id"], r["stage"], r["error"]) for r in failed.collect()) == [("c", P.MATCH_STAGE, "来源匹配返回了所选章节范围之外的知识资产"), ("d", P.MATCH_STAGE, "没有匹配到能够支撑当前声音的知识资产")]
+    assert sorted((r["episode_id"], r["card_id"], r["position"]) for r in P.matched_links(made).collect()) == [("b", "k1", 2), ("b", "k2", 1)]
+
+
 def test_compression_keeps_ids_and_order(spark):
     ids = [f"content_{i:020x}" for i in range(60)]
     source = "\n\n".join(f"{i} " + "正文" * 100 for i in ids)
