@@ -258,7 +258,7 @@ def _(spark, d):
     "structured_checked", "P12 X7",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber WHEN 1 THEN '专辑第 2 条字段不完整' WHEN 2 THEN '专辑第 1 条未知内容类型：别的' WHEN 3 THEN '专辑第 2 条引用未知章节：CHAPTER_777'
          WHEN 4 THEN '叙事类书籍不能生成过渡声音' WHEN 5 THEN '专辑第 2 条缺少有效模块标识' WHEN 6 THEN '专辑第 1 条主要内容缺少“核心主题：”' END AS error,
-         CASE WHEN l_linenumber = 7 THEN 't' || l_partkey || '=CHAPTER_001;u=CHAPTER_001,CHAPTER_002' END AS episodes FROM lineitem""",
+         CASE WHEN l_linenumber = 7 THEN 't' || l_partkey || '=CHAPTER_001=[CHAPTER_001] A' || l_returnflag || '=s' || l_suppkey || ';u=CHAPTER_001,CHAPTER_002=[CHAPTER_001] A' || l_returnflag || '、[CHAPTER_002] B' || l_linestatus || '=s' || l_suppkey || ',s2' END AS episodes FROM lineitem""",
 )
 def _(spark, d):
     n = F.col("l_linenumber")
@@ -276,9 +276,14 @@ def _(spark, d):
         F.when(n == 3, F.array(F.lit("CHAPTER_777"))).otherwise(F.array(F.lit("CHAPTER_001"), F.lit("CHAPTER_002"))), F.when(n == 5, F.lit("M9")).otherwise(F.lit("M1")),
     )
     allowed = F.array(F.lit("CHAPTER_001"), F.lit("CHAPTER_002"))
-    s = P.validate_structured(F.array(a, b), allowed, F.create_map(F.lit("M1"), allowed), n == 4)
+    entry = lambda title, section: F.struct(title.alias("title"), section.alias("section_id"))
+    catalog = F.create_map(
+        F.lit("CHAPTER_001"), entry(F.concat(F.lit("A"), "l_returnflag"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))),
+        F.lit("CHAPTER_002"), entry(F.concat(F.lit("B"), "l_linestatus"), F.lit("s2")),
+    )
+    s = P.validate_structured(F.array(a, b), catalog, F.create_map(F.lit("M1"), allowed), n == 4)
     r = table(spark, d, "lineitem").withColumn("s", s)
-    shown = F.transform("s.episodes", lambda e: F.concat_ws("=", e["title"], F.array_join(e["chapter_keys"], ",")))
+    shown = F.transform("s.episodes", lambda e: F.concat_ws("=", e["title"], F.array_join(e["chapter_keys"], ","), e["section_identifier"], F.array_join(e["source_section_ids"], ",")))
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.error", F.array_join(shown, ";").alias("episodes"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..ordered import assemble, first_per_group, position_block, running
+from ..session import cut_lineage
 
 EVIDENCE_SCHEME = "paragraph_evidence_v1"
 
@@ -277,27 +278,29 @@ def recover_module(episodes: DataFrame, modules: DataFrame) -> DataFrame:
     run_at, module_key, chapters). Per run an exact match beats containment;
     the newest run with any match decides; several equals are ambiguous.
 
-    Equal chapter sets are reduced to one row on both sides first, so only
-    distinct sets are compared; containment is probed through one chapter per
-    set, the one held by the fewest module sets of the project.
+    Equal chapter sets are one row on both sides, and those on offer are
+    numbered in the order of their projects. An inverted index holds, for each
+    chapter, which numbers contain it, 64 to a word; what contains all asked
+    chapters is the AND of their words. Rows that multiply carry numbers only.
     """
     chapter_set = F.array_sort(F.array_distinct("chapters"))
     offered = modules.withColumn("_have", chapter_set).groupBy("project_id", "run_id", "run_at", "_have").agg(
         F.count(F.lit(1)).alias("_n"), F.min("module_key").alias("_key")
     )
+    order = ("project_id", "_have", "run_id", "run_at")
+    # Neighbours in this order share words.
+    sets = cut_lineage(offered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_no", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("_no", 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_no") % 64).cast("int"))
+    index = sets.select("project_id", F.explode("_have").alias("_c"), word.alias("_word"), bit.alias("_bit")).groupBy("project_id", "_c", "_word").agg(F.bit_or("_bit").alias("_bits"))
     wanted = episodes.select("project_id", "episode_id", chapter_set.alias("_want"))
-    asked = wanted.select("project_id", "_want").distinct()
-    exploded = offered.select("*", F.explode("_have").alias("_c"))
-    spread = exploded.groupBy("project_id", "_c").agg(F.count(F.lit(1)).alias("_m"))
-    probe = (
-        asked.select("project_id", "_want", F.explode("_want").alias("_c"))
-        .join(spread, ["project_id", "_c"], "left")
-        .groupBy("project_id", "_want")
-        .agg(F.min_by("_c", F.struct(F.coalesce("_m", F.lit(0)), "_c")).alias("_c"))
-    )
-    hits = probe.join(exploded, ["project_id", "_c"]).filter(F.size(F.array_except("_want", "_have")) == 0)
-    exact = F.size("_have") == F.size("_want")
-    per_run = hits.groupBy("project_id", "_want", "run_id", "run_at").agg(
+    asked = cut_lineage(wanted.select("project_id", "_want").distinct().withColumn("_ask", F.monotonically_increasing_id()))
+    probes = asked.select("project_id", "_ask", F.size("_want").alias("_size"), F.explode("_want").alias("_c")).join(index, ["project_id", "_c"])
+    held = probes.groupBy("_ask", "_size", "_word").agg(F.count(F.lit(1)).alias("_found"), F.bit_and("_bits").alias("_bits")).filter((F.col("_found") == F.col("_size")) & (F.col("_bits") != 0))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("_bits"), i) == 1)
+    hits = held.select("_ask", "_size", "_word", F.explode(set_bits).alias("_i")).select("_ask", "_size", (F.col("_word") * 64 + F.col("_i")).alias("_no"))
+    hits = hits.join(sets.select("_no", "run_id", "run_at", "_n", "_key", F.size("_have").alias("_held")), "_no")
+    exact = F.col("_held") == F.col("_size")
+    per_run = hits.groupBy("_ask", "run_id", "run_at").agg(
         F.sum(F.when(exact, F.col("_n")).otherwise(0)).alias("_ne"),
         F.sum("_n").alias("_nc"),
         F.min(F.when(exact, F.col("_key"))).alias("_ke"),
@@ -305,9 +308,9 @@ def recover_module(episodes: DataFrame, modules: DataFrame) -> DataFrame:
     )
     chosen = F.when(F.col("_ne") > 0, F.col("_ne")).otherwise(F.col("_nc"))
     key = F.when(F.col("_ne") > 0, F.col("_ke")).otherwise(F.col("_kc"))
-    picked = per_run.select("project_id", "_want", "run_id", "run_at", chosen.alias("_k"), key.alias("module_key"))
-    best = first_per_group(picked, ["project_id", "_want"], F.struct("run_at", "run_id"), ["run_id", "_k", "module_key"])
-    out = wanted.join(best, ["project_id", "_want"], "left")
+    picked = per_run.select("_ask", "run_id", "run_at", chosen.alias("_k"), key.alias("module_key"))
+    best = first_per_group(picked, ["_ask"], F.struct("run_at", "run_id"), ["run_id", "_k", "module_key"])
+    out = wanted.join(asked, ["project_id", "_want"], "left").join(best, "_ask", "left")
     one = F.col("_k") == 1
     return out.select(
         "episode_id",

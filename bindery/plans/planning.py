@@ -399,13 +399,15 @@ def parse_outlines(modules: DataFrame, markdown: str = "markdown") -> DataFrame:
     return shaped.withColumn("error", error).withColumn("episodes", F.transform("_eps", episode)).drop("_eps")
 
 
-def validate_structured(raw: Column, allowed: Column, modules: Column, narrative: Column) -> Column:
+def validate_structured(raw: Column, catalog: Column, modules: Column, narrative: Column) -> Column:
     """Struct(episodes, error) of one structured album.
 
     raw: array<struct<title, main_points, content_type, chapter_keys,
-    module_key>>; allowed: array of chapter keys; modules: map<module_key,
-    array<chapter_key>> (null for none).
+    module_key>>; catalog: map<chapter_key, struct<title, section_id>>;
+    modules: map<module_key, array<chapter_key>> (null for none). Episodes
+    name the sections of their chapters, and show them with key and title.
     """
+    allowed = F.map_keys(catalog)
 
     def keys_of(e: Column) -> Column:
         cleaned = F.transform(e["chapter_keys"], lambda k: F.btrim(X.strip(k), F.lit("[]")))
@@ -445,8 +447,10 @@ def validate_structured(raw: Column, allowed: Column, modules: Column, narrative
             X.normalize_content_type(e["content_type"]).alias("content_type"),
             F.lit("观点").alias("style"),
             X.strip(e["main_points"]).alias("content_framework"),
+            F.array_join(F.transform(keys_of(e), lambda c: F.concat(F.lit("["), c, F.lit("] "), F.try_element_at(catalog, c)["title"])), "、").alias("section_identifier"),
             X.strip(F.coalesce(e["module_key"], F.lit(""))).alias("module_key"),
             keys_of(e).alias("chapter_keys"),
+            F.transform(keys_of(e), lambda c: F.try_element_at(catalog, c)["section_id"]).alias("source_section_ids"),
         ),
     )
     return F.struct(F.when(error.isNull(), episodes).alias("episodes"), error.alias("error"))

@@ -150,6 +150,30 @@ def test_module_recovery(spark):
     }
 
 
+def test_module_recovery_matches_brute_force(spark):
+    rng = random.Random(12)
+    pick = lambda top: sorted(rng.sample("abcdefgh", rng.randint(1, top)))
+    modules = [(f"p{rng.randrange(3)}", f"r{r}", r, f"m{i}", pick(6)) for i in range(400) for r in [rng.randrange(4)]]
+    episodes = [(f"p{rng.randrange(4)}", f"e{i}", pick(3) * 2) for i in range(150)] + [("p0", "empty", [])]
+    want = {}
+    for p, e, c in episodes:
+        runs = {}
+        for mp, run, at, key, have in modules:
+            if mp == p and c and set(c) <= set(have):
+                runs.setdefault((at, run), []).append((key, set(have) == set(c)))
+        if runs:
+            best = max(runs)
+            hits = [k for k, exact in runs[best] if exact] or [k for k, _ in runs[best]]
+            want[e] = (best[1], hits[0] if len(hits) == 1 else None, "recovered" if len(hits) == 1 else "ambiguous")
+        else:
+            want[e] = (None, None, "none")
+    got = E.recover_module(
+        spark.createDataFrame(episodes, "project_id string, episode_id string, chapters array<string>"),
+        spark.createDataFrame(modules, "project_id string, run_id string, run_at int, module_key string, chapters array<string>"),
+    )
+    assert {r["episode_id"]: (r["run_id"], r["module_key"], r["outcome"]) for r in got.collect()} == want
+
+
 def test_neighbours_stay_in_section_and_skip_direct(spark):
     members = spark.createDataFrame([(f"f{i}", 1, i, 0 if i < 4 else 1) for i in range(8)], "content_index string, set_id int, book_position bigint, section int")
     direct = members.filter("content_index in ('f2', 'f3', 'f6')").withColumn("episode_id", F.lit("e"))
