@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..operators import structure as ST, versions as W
 from ..plans import planning as PL
 from ..session import cut_lineage, shared_folder
-from ..sources import notes as N, readers as RD
+from ..sources import note_sink as NS, notes as N, readers as RD
 from ..streaming import jobs as JB
 from . import views as V
 from .registry import query, table
@@ -194,6 +194,23 @@ def _(spark, d):
     return changed.select("path", "digest")
 
 
+@query(
+    "notes_stored", "S13",
+    f"""SELECT 'n' || doc_id % 7 || '/' || doc_id || '.md' AS path, md5('{N.SYSTEM_BEGIN}' || chr(10) || regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END, '^\s+|\s+$', '', 'g') || chr(10) || '{N.SYSTEM_END}' || chr(10) || chr(10) || '{N.USER_BEGIN}' || chr(10) || chr(10) || '{N.USER_END}' || chr(10)) AS digest,
+              CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS written FROM documents""",
+)
+def _(spark, d):
+    # Written, found unchanged, and a third of them written again after a change; then read back from the files.
+    root = f"{scratch(spark)}/vault"
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("n"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    first = docs.select(path.alias("path"), F.col("text").alias("body"))
+    second = docs.select(path.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")).alias("body"))
+    written = NS.sync(first, root).select("path").unionByName(NS.sync(first, root).select("path")).unionByName(NS.sync(second, root).select("path"))
+    times = written.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("written"))
+    return N.read_notes(RD.read_files(spark, root), root).select("path", F.md5("body").alias("digest")).join(times, "path")
+
+
 @query("notes_unchanged", "S13", "SELECT count(*) AS notes, CAST(0 AS BIGINT) AS changed FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents")

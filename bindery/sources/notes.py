@@ -7,9 +7,6 @@ book or a fragment's fame come in numbered parts.
 
 from __future__ import annotations
 
-import pathlib
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
@@ -277,22 +274,6 @@ def sync_notes(new: DataFrame, existing: DataFrame, manifest: DataFrame) -> tupl
     return changed, untouched.unionByName(ready.select("path", "digest"))
 
 
-def write_notes(changed: DataFrame, root: str) -> None:
-    """Write note files under a folder every executor can reach.
-
-    Writing is idempotent: a retried task rewrites the same bytes.
-    """
-    base = pathlib.PurePosixPath(root)
-
-    def write(rows: Iterable) -> None:
-        for row in rows:
-            target = pathlib.Path(str(base / row["path"]))
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(row["body"], encoding="utf-8")
-
-    changed.select("path", "body").foreachPartition(write)
-
-
 def read_notes(df_files: DataFrame, root: str) -> DataFrame:
     """Stored notes as (path relative to root, body) from a binaryFile frame."""
     prefix = root.rstrip("/") + "/"

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import time
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import stand_ins
 from bindery.operators import fragments as FR, structure as ST, versions as W
 from bindery.plans import generation as G, prompts as P
-from bindery.sources import notes as N, readers as RD
+from bindery.sources import note_sink as NS, notes as N, readers as RD
 from bindery.streaming import jobs as JB
 from bindery.operators import runs as R
 
@@ -55,21 +56,38 @@ def test_note_merge(one):
 
 def test_sync_writes_once(spark, tmp_path):
     new = spark.createDataFrame([("a/1.md", "一"), ("b.md", "二")], "path string, body string")
-    none = spark.createDataFrame([], "path string, body string")
-    manifest = spark.createDataFrame([("other.md", "d")], "path string, digest string")
-    changed, after = N.sync_notes(new, none, manifest)
-    root = str(tmp_path / "vault")
-    N.write_notes(changed, root)
-    assert changed.count() == 2 and after.count() == 3
-    note = tmp_path / "vault" / "a" / "1.md"
-    existing = lambda: N.read_notes(RD.read_files(spark, root), root)
-    assert N.sync_notes(new, existing(), after)[0].count() == 0
+    vault = tmp_path / "vault"
+    root, note = str(vault), vault / "a" / "1.md"
+    names = lambda df: sorted(r["path"] for r in df.collect())
+    assert names(NS.sync(new, root)) == ["a/1.md", "b.md"] and NS.read_manifest(spark, root).count() == 2
+    assert names(NS.sync(new, root)) == []
     note.write_text(note.read_text().replace(f"{N.USER_BEGIN}\n\n", f"{N.USER_BEGIN}\n手写\n"))
-    again, _ = N.sync_notes(new.withColumn("body", F.concat("body", L("改"))), existing(), after)
-    kept = {r["path"]: r["body"] for r in again.collect()}
-    assert len(kept) == 2 and "手写" in kept["a/1.md"] and "一改" in kept["a/1.md"]
-    (tmp_path / "vault" / "b.md").unlink()
-    assert [r["path"] for r in N.sync_notes(new, existing(), after)[0].select("path").collect() if r["path"] == "b.md"] == ["b.md"]
+    assert names(NS.sync(new.withColumn("body", F.concat("body", L("改"))), root)) == ["a/1.md", "b.md"]
+    assert "手写" in note.read_text() and "一改" in note.read_text()
+    (vault / "b.md").unlink()
+    assert names(NS.sync(new.withColumn("body", F.concat("body", L("改"))), root)) == ["b.md"]
+    more = spark.createDataFrame([("c.md", "三")], "path string, body string")
+    assert names(NS.sync(more, root)) == ["c.md"] and NS.read_manifest(spark, root).count() == 3
+    assert not any((vault / NS.STAGED).iterdir())
+
+
+def test_failed_and_interrupted_syncs(spark, tmp_path):
+    root = tmp_path / "vault"
+    first = spark.createDataFrame([(f"{i}.md", f"t{i}") for i in range(12)], "path string, body string")
+    NS.sync(first, str(root))
+    before = {p.name: p.read_text() for p in root.glob("*.md")}
+    rows = [(f"{i}.md", "other") for i in range(11)] + [("../out.md", "x")]
+    with pytest.raises(Exception):  # one task fails: nothing of the others shows
+        NS.stage(spark.createDataFrame(rows, "path string, body string").repartition(6), str(root), "bad")
+    assert {p.name: p.read_text() for p in root.glob("*.md")} == before and not (root / NS.STAGED / "bad" / NS.COMMITTED).exists()
+    # Committed but not put in place, then half put in place: the next sync finishes it.
+    NS.stage(spark.createDataFrame(rows[:11], "path string, body string").repartition(3), str(root), "late")
+    assert {p.name: p.read_text() for p in root.glob("*.md")} == before
+    listed = next((root / NS.STAGED / "late").rglob("list.json"))
+    one = json.loads(listed.read_text().splitlines()[0])
+    (root / one["staged"]).rename(root / one["path"])
+    assert NS.publish(spark, str(root)) == ["late"] and NS.publish(spark, str(root)) == []
+    assert sum(p.read_text() == "other" for p in root.glob("*.md")) == 11 and not (tmp_path / "out.md").exists()
 
 
 def test_library_write_replaces_only_its_buckets(spark, tmp_path):
