@@ -196,7 +196,7 @@ def _(spark, d):
 
 @query(
     "notes_stored", "S13",
-    f"""SELECT 'n' || doc_id % 7 || '/' || doc_id || '.md' AS path, md5('{N.SYSTEM_BEGIN}' || chr(10) || regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END, '^\s+|\s+$', '', 'g') || chr(10) || '{N.SYSTEM_END}' || chr(10) || chr(10) || '{N.USER_BEGIN}' || chr(10) || chr(10) || '{N.USER_END}' || chr(10)) AS digest,
+    f"""SELECT 'n' || doc_id % 7 || '/' || doc_id || '.md' AS path, md5('{N.SYSTEM_BEGIN}' || chr(10) || regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END, '^\\s+|\\s+$', '', 'g') || chr(10) || '{N.SYSTEM_END}' || chr(10) || chr(10) || '{N.USER_BEGIN}' || chr(10) || chr(10) || '{N.USER_END}' || chr(10)) AS digest,
               CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS written FROM documents""",
 )
 def _(spark, d):

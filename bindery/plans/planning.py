@@ -325,15 +325,27 @@ def validate_outline(markdown: Column, allowed: Column, expected: Column) -> Col
     return X.let(blocks, judge)
 
 
-def outline_field(body: Column, label: str) -> Column:
-    """Text after a label up to the next label, blank lines dropped; empty if absent.
+_LABEL_HEAD = rf"(?sd)\A[\s\u3000]*(?:\*\*)?({FIELD_LABELS}){_LABEL_CLOSE}"
 
-    A label given twice keeps its last block.
+
+def outline_fields(body: Column) -> Column:
+    """array<struct<label, text>> of a block: the text after each label up to the next, blank lines dropped.
+
+    The body is cut once, where labels begin.
     """
-    block = rf"(?msd){_LABEL_OPEN}{label}{_LABEL_CLOSE}(.*?)(?={_LABEL_OPEN}(?:{FIELD_LABELS}){_LABEL_CLOSE}|\z)"
-    found = F.coalesce(F.try_element_at(F.regexp_extract_all(body, F.lit(block), 1), F.lit(-1)), F.lit(""))
-    lines = F.filter(F.transform(F.split(found, "\n"), X.strip), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    parts = F.split(body, rf"(?md)(?={_LABEL_OPEN}(?:{FIELD_LABELS}){_LABEL_CLOSE})")
+
+    def entry(part: Column) -> Column:
+        lines = F.filter(F.transform(F.split(F.regexp_replace(part, _LABEL_HEAD, ""), "\n"), X.strip), lambda x: x != "")
+        return F.struct(F.regexp_extract(part, _LABEL_HEAD, 1).alias("label"), F.array_join(lines, "\n").alias("text"))
+
+    return F.filter(F.transform(parts, entry), lambda e: e["label"] != "")
+
+
+def outline_field(fields: Column, label: str) -> Column:
+    """The text of a label, of its last block where it is given twice; empty if absent."""
+    own = F.filter(fields, lambda e: e["label"] == label)
+    return F.coalesce(F.try_element_at(own, F.lit(-1))["text"], F.lit(""))
 
 
 def parse_outlines(modules: DataFrame, markdown: str = "markdown") -> DataFrame:
@@ -348,10 +360,13 @@ def parse_outlines(modules: DataFrame, markdown: str = "markdown") -> DataFrame:
             parts,
             lambda p: X.let(
                 X.strip(F.regexp_replace(p, EPISODE_HEADING, "")),
-                lambda body: F.struct(
-                    X.strip(F.regexp_extract(p, EPISODE_HEADING, 1)).alias("title"),
-                    body.alias("body"),
-                    *[outline_field(body, name).alias(f"f{i}") for i, name in enumerate(REQUIRED_FIELDS)],
+                lambda body: X.let(
+                    outline_fields(body),
+                    lambda found: F.struct(
+                        X.strip(F.regexp_extract(p, EPISODE_HEADING, 1)).alias("title"),
+                        body.alias("body"),
+                        *[outline_field(found, name).alias(f"f{i}") for i, name in enumerate(REQUIRED_FIELDS)],
+                    ),
                 ),
             ),
         ),
