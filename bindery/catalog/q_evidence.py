@@ -76,10 +76,11 @@ def _(spark, d):
 
 @query(
     "cards_without_evidence", "J4 J13",
-    f"WITH {CURRENT} SELECT episode_id, card_id, position FROM episode_cards WHERE card_id NOT IN (SELECT card_id FROM card_sources JOIN cur USING (content_index))",
+    f"WITH {CURRENT} SELECT episode_id, card_id, position FROM episode_cards WHERE card_id NOT IN (SELECT card_id FROM card_sources JOIN cur USING (content_index) WHERE card_id % 100 <> 77)",
 )
 def _(spark, d):
-    return E.cards_without_evidence(V.episode_cards(spark, d), V.card_sources(spark, d), current(spark, d)).select("episode_id", "card_id", "position")
+    # Cards whose number ends in 77 are cited by nothing.
+    return E.cards_without_evidence(V.episode_cards(spark, d), V.card_sources(spark, d).filter("card_id % 100 <> 77"), current(spark, d)).select("episode_id", "card_id", "position")
 
 
 @query(
@@ -152,10 +153,10 @@ def books(spark, d) -> DataFrame:
 
 @query(
     "books_to_ready", "J9",
-    f"WITH {BOOKS} SELECT book_id FROM books WHERE book_type = 'non_narrative' AND status = 'analyzed' AND book_id NOT IN (SELECT o_custkey FROM orders)",
+    f"WITH {BOOKS} SELECT book_id FROM books WHERE book_type = 'non_narrative' AND status = 'analyzed' AND book_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 def _(spark, d):
-    owned = table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"))
+    owned = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("book_id"))
     return E.analyzed_without_cards(books(spark, d), owned).select("book_id")
 
 
@@ -581,10 +582,10 @@ def _(spark, d):
 # Set operations -------------------------------------------------------------------
 
 
-@query("missing_keys", "X1", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("missing_keys", "X1", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 10 = 0)")
 def _(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag")
-    return S.missing_keys(li, li.filter("l_returnflag = 'R'"), ["l_partkey"])
+    li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_suppkey")
+    return S.missing_keys(li, li.filter("l_returnflag = 'R' AND l_suppkey % 10 = 0"), ["l_partkey"])
 
 
 @query(
