@@ -25,8 +25,9 @@ _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|tr|table|h[1-6]|article|section
 _CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+# An open tag ends at the next < or >, so tags that are never closed are passed over once.
+_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^<>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HEX = re.compile(rb"[0-9A-Fa-f]+")
 #: Responses that have no body, whatever their headers say.
 _BODILESS = re.compile(r"HTTP/\S+\s+(?:1\d\d|204|304)\b")
@@ -38,14 +39,41 @@ OUT_BYTES = 1 << 22
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
+def _tagged(page: str) -> tuple[str, str]:
+    """A page up to its last >, where every tag that is opened ends somewhere, and the rest."""
+    at = page.rfind(">") + 1
+    return page[:at], page[at:]
+
+
+def _without_hidden(page: str) -> tuple[str, str]:
+    """`_tagged` without comments, scripts and the like; what is left open hides all behind it."""
+    head, tail = _tagged(page)
+    parts, at, open_ = [], 0, False
+    for m in _DROPPED.finditer(head):
+        parts.append(head[at : m.start()])
+        at = m.end()
+        closed = rf"(?i)</{m[1]}\s*>\Z" if m[1] else r"-->\Z"
+        open_ = at == len(head) and not re.search(closed, m.group())
+    comment = tail.find("<!--")
+    tail = "" if open_ else tail[:comment] if comment >= 0 else tail
+    return "".join([*parts, head[at:]]), tail
+
+
 def page_text(page: str) -> str:
     """Visible text, a line per block."""
-    page = _DROPPED.sub("", page)
-    page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", page)))
+    head, tail = _without_hidden(page)
+    page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", head))) + tail
     lines = (x.strip() for x in _BLANKS.sub(" ", html.unescape(page)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def page_title(page: str) -> str | None:
+    head, _ = _tagged(page)
+    start = _TITLE.search(head)
+    end = _TITLE_END.search(head, start.end()) if start else None
+    return head[start.end() : end.start()] if end else None
+
+
 def _headers(block: bytes) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for line in block.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
@@ -171,7 +199,7 @@ def derive_one(raw: bytes | None) -> list[dict]:
     except (ValueError, zlib.error):
         return [row | {"kind": "error", "error": "encoding of the body can't be undone"}]
     page = _decode(headers, entity)
-    title = _TITLE.search(page)
+    title = page_title(page)
     links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(page)]
     about = {
         "Envelope": {
@@ -184,7 +212,7 @@ def derive_one(raw: bytes | None) -> list[dict]:
                     "Headers": headers,
                     "Entity-Length": len(body),
                     "Entity-Digest": digest(body),
-                    "HTML-Metadata": {"Title": page_text(title[1]) if title else None, "Links": links},
+                    "HTML-Metadata": {"Title": page_text(title) if title is not None else None, "Links": links},
                 }
             },
         }

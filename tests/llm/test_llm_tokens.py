@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 import random
+import time
 import struct
 import tracemalloc
 import zlib
@@ -270,6 +271,25 @@ def test_derivatives_of_bad_records(table):
     assert warc.derive(table([], "page_id bigint, record binary")).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<a href=", "<title>", "<!--", "<script>", "</p", "<a href href ", "<img src='", "<style></style ", "&amp", "< ", "<p"])
+@pytest.mark.parametrize("end", ["", ">", "<b>x</b>"])
+def test_a_megabyte_of_open_tags(piece, end):
+    page = piece * ((1 << 20) // len(piece)) + end
+    start = time.process_time()
+    warc.page_text(page), warc.page_title(page), list(warc._LINK.finditer(page))
+    assert time.process_time() - start < 1.5
+
+
+def test_what_is_open_hides_the_rest():
+    text = {
+        "a<script>x</script>b": "ab", "a<script>x</b>": "a", "a<script>x</b> c": "a", "a<!-- x --> b": "a b", "a<!-- <b>x</b>": "a", "a <b>c</b> < d": "a c < d", "a<style>x</style>": "a", "a<style>x</style> b <": "a b <",
+        "<title>t</title>x": "t\nx", "a <!-- b": "a", "1 < 2 <p>3": "1 < 2\n3",
+    }
+    assert {k: warc.page_text(k) for k in text} == text
+    assert warc.page_title("<TITLE >a<b>c</b></title >d") == "a<b>c</b>" and warc.page_title("<title>a") is None and warc.page_title("") is None
+    assert [m[3] or m[4] or m[5] for m in warc._LINK.finditer('<a <a href="x"><img src=y><script src=\'z\'>')] == ["x", "y", "z"]
+
+
 def test_bodies_are_read_whole_or_refused():
     page, packed = b"<p>one</p><p>two</p>", gzip.compress
     chunk = lambda b: f"{len(b):x}\r\n".encode() + b + b"\r\n"
