@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .flat import bounds, mix
 from .graph import components
-from .rows import mark_members
+from .rows import mark_members, shuffled_joins
 from .shingles import WORDS, shingle_sets
 
 #: Jaccard threshold as a ratio of whole numbers.
@@ -209,6 +209,11 @@ def join_components(docs: DataFrame, size: int = WORDS, threshold=THRESHOLD, uni
     unless all its ids are null; repeated rows give repeated rows; an empty
     table gives no rows.
     """
+    with shuffled_joins(docs.sparkSession):
+        return _join_components(docs, size, threshold, universe, pivots, id_col, text)
+
+
+def _join_components(docs: DataFrame, size: int, threshold, universe: float, pivots: int, id_col: str, text: str) -> DataFrame:
     known = cut_lineage(classes(docs, size, id_col, text))
     members = cut_lineage(known.where("n_shingles > 0").groupBy("c", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("doc_id"), *[F.min(x).alias(x) for x in _PARITY]))
     lists = cut_lineage(postings(docs, size, threshold, universe, text).join(members.drop("doc_id"), ["c", "n"]))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..session import cut_lineage
 
@@ -19,6 +22,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+@contextlib.contextmanager
+def shuffled_joins(spark: SparkSession) -> Iterator[None]:
+    """Within this block joins are broadcast only where a hint says so.
+
+    Steps with dozens of joins would else build a relation for each in the
+    driver, of a few MiB however small the table, many at a time.
+    """
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def mark_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, flag: str, bits: int = MAP_BITS) -> DataFrame:
     """Add a boolean `flag`: false means that no row of `members` has this key.
 
