@@ -104,7 +104,7 @@ def op11(spark, read):
     return hard_negatives.mine(read("embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-@add("op12_shard_tree")
+@add("op12_shard_tree", shard_tree.SQL)
 def op12(spark, read):
     return shard_tree.shard_rows(read("documents"), 8)
 

@@ -121,3 +121,18 @@ def shard_rows(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text: st
     parts = parts.repartition(tasks, "shard", "from")
     to = F.least(F.col("from") + (COPIES - 1), F.col("upto") - 1)
     return parts.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("from", to)).alias("slot"), "grown_shard", "region", "rack")
+
+
+_DRAW = f"-ln((CAST('0x' || left(md5(s || ':' || k), {BITS // 4}) AS BIGINT) + 0.5) / {float(1 << BITS):.1f})"
+SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM b),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+  coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM d, t),
+g AS (SELECT *, list_transform(range(9), lambda s: {_DRAW}) AS draws, CAST('0x' || left(md5(k || ':' || size || ':' || text_crc32), {BITS // 4}) AS BIGINT) AS place FROM c),
+p AS (SELECT *, list_position(draws[1:8], list_min(draws[1:8])) - 1 AS shard, list_position(draws, list_min(draws)) - 1 AS grown FROM g)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, size, text_crc32) - 1 AS slot,
+  CAST(grown AS INTEGER) AS grown_shard, CAST(shard // 4 AS INTEGER) AS region, CAST(shard // 2 AS INTEGER) AS rack FROM p
+"""
