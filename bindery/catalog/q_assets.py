@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import modeljson as J
 from ..operators import assets as A
 from ..rows import unnest
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from . import views as V
 from .q_evidence import ANALYSES, analyses, links
 from .q_structure import source_books
@@ -188,10 +190,18 @@ def _(spark, d):
           UNION ALL SELECT l_orderkey, 3, item_no, 1, '论据 引用了无效 content_index：content_' || (l_suppkey + 1) FROM lines WHERE l_returnflag = 'N' AND NOT v1
           UNION ALL SELECT l_orderkey, 3, item_no, 2, CASE WHEN NOT v1 THEN '案例 引用了无效 content_index：content_' || (l_suppkey + 1) WHEN NOT v0 THEN '案例 引用了无效 content_index：content_' || l_suppkey
                 WHEN v50 THEN '案例证据索引必须包含在案例来源索引中' ELSE '案例证据 引用了无效 content_index：content_' || (l_suppkey + 50) END FROM lines WHERE l_returnflag = 'N' AND l_linenumber % 2 = 0)
-        SELECT l_orderkey AS analysis_id, arg_min(error, row(g, no, part)) AS first_error FROM i GROUP BY 1""",
+        SELECT l_orderkey AS analysis_id, arg_min(error, row(g, no, part)) AS first_error FROM i GROUP BY 1
+        UNION ALL SELECT NULL, count(*) || ' of ' || (SELECT count(DISTINCT l_orderkey) FROM lines) FROM (SELECT DISTINCT l_orderkey FROM i)""",
 )
 def _(spark, d):
-    return A.strict_failures(validated(spark, d)).select("analysis_id", "first_error")
+    # Written strictly: the count that the failed write tells is a row as well.
+    path = f"{shared_folder(spark)}/bindery-{uuid.uuid4().hex}/analyses"
+    try:
+        told = A.write_strict(validated(spark, d).select("analysis_id", "rejected_reason", "issues"), path)
+    except A.RefusedAnalyses as refused:
+        told = {"refused": refused.refused, "total": refused.total}
+    counts = spark.range(1).select(F.lit(None).cast("bigint").alias("analysis_id"), F.lit(f"{told['refused']} of {told['total']}").alias("first_error"))
+    return A.read_strict(spark, path, True).select("analysis_id", "first_error").unionByName(counts)
 
 
 @query(

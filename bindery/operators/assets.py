@@ -8,7 +8,7 @@ else is nested array work inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import text as X
 from ..rows import computed_once, unnest
@@ -497,10 +497,44 @@ def validate(resolved: DataFrame) -> DataFrame:
     )
 
 
+def _first_error() -> Column:
+    return F.coalesce(F.col("rejected_reason"), F.get("issues", F.lit(0))["error"])
+
+
 def strict_failures(validated: DataFrame) -> DataFrame:
     """Analyses a strict check refuses, with the first error of each."""
-    first = F.coalesce(F.col("rejected_reason"), F.get("issues", F.lit(0))["error"])
-    return validated.withColumn("first_error", first).filter(F.col("first_error").isNotNull())
+    return validated.withColumn("first_error", _first_error()).filter(F.col("first_error").isNotNull())
+
+
+class RefusedAnalyses(RuntimeError):
+    """A strict write met analyses with errors; they are in quarantine."""
+
+    def __init__(self, refused: int, total: int, first: str):
+        super().__init__(f"{refused} of {total} analyses refused, the first: {first}")
+        self.refused, self.total = refused, total
+
+
+def write_strict(validated: DataFrame, path: str, *, strict: bool = True) -> dict:
+    """Validate and write in one pass: accepted analyses below refused=false, the others, with first_error, below refused=true.
+
+    How many were refused is measured while they are written, so nothing is
+    read or validated twice; a strict write with any raises
+    `RefusedAnalyses` once all are stored. Returns the counts.
+    """
+    seen = Observation()
+    error = F.col("first_error")
+    marked = computed_once(validated, first_error=_first_error()).withColumn("refused", error.isNotNull())
+    measured = marked.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(error.isNotNull()).alias("refused"), F.min(error).alias("first"))
+    measured.write.mode("overwrite").partitionBy("refused").parquet(path)
+    counts = seen.get
+    if strict and counts["refused"]:
+        raise RefusedAnalyses(counts["refused"], counts["total"], counts["first"])
+    return counts
+
+
+def read_strict(spark: SparkSession, path: str, refused: bool) -> DataFrame:
+    """The accepted or the refused analyses of `write_strict`."""
+    return spark.read.parquet(path).filter(F.col("refused") == refused).drop("refused")
 
 
 # Cards -----------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from bindery.functions import modeljson as J
@@ -79,6 +80,16 @@ def test_hard_errors_and_strict(spark):
     assert A.strict_failures(run(spark, CHAPTER)).first()["first_error"] == "definition.definition 不能为空"
 
 
+def test_strict_write_keeps_what_it_refuses(spark, tmp_path):
+    fine = {"chapter_title": "t", "chapter_theme": "h", "subtopics": [{"title": "s", "quotes": [text("q", "content_a")]}]}
+    v, path = run(spark, CHAPTER, fine, {**CHAPTER, "subtopics": []}), str(tmp_path / "out")
+    with pytest.raises(A.RefusedAnalyses, match="2 of 3"):
+        A.write_strict(v, path)
+    assert {r["analysis_id"]: r["first_error"] for r in A.read_strict(spark, path, True).collect()} == {"a0": "definition.definition 不能为空", "a2": "subtopics 必须是非空数组"}
+    assert [r["analysis_id"] for r in A.read_strict(spark, path, False).collect()] == ["a1"]
+    assert A.write_strict(v, path, strict=False)["refused"] == 2 and A.write_strict(run(spark, fine), path)["refused"] == 0
+
+
 def test_cards_links_and_rendering(spark):
     v = run(spark, CHAPTER)
     cards = A.derive_cards(v).orderBy("card_no").collect()
