@@ -242,9 +242,11 @@ def _(spark, d):
         first = datetime.datetime(2024, 1, 1)
     portion = F.floor(F.date_diff("ts", F.lit(first)) / SLOT_DAYS).cast("int") + F.pmod(F.xxhash64("seq"), F.lit(2)).cast("int")
     source = cut_lineage(e.select("run_id", "ts", "seq", "status", portion.alias("portion")))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
+    provider, parts = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k, None) for k in (provider, parts)}
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # A state store and a Python worker per partition and micro-batch: as many as there are cores.
+    spark.conf.set(parts, str(min(int(before[parts]), spark.sparkContext.defaultParallelism)))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id:09d}")
@@ -256,7 +258,8 @@ def _(spark, d):
             state = JB.stream_run_state(stream, lateness=f"{SLOT_DAYS + 1} days")
             state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(f"{JB.RUN_STATE}, batch int").parquet(f"{root}/out/*").where("NOT stale")
     us = lambda c: F.unix_micros(F.col(f"x.{c}"))
     last = rows.groupBy("run_id").agg(F.max_by(F.struct("status", "attempt", "heartbeat_at", "started_at", "finished_at"), "batch").alias("x"))
