@@ -26,6 +26,25 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", md.alias("markdown"))
 
 
+_WHITE = "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+@query(
+    "composed_pages_read", "S4",
+    f"""WITH w AS (SELECT *, trim(regexp_replace(translate(text, '&<>', ''), '{_WHITE}+', ' ', 'g')) AS words FROM documents)
+        SELECT doc_id, md5('b {{}}' || rest) AS markdown, md5(rest) AS prose FROM (SELECT doc_id, chr(10) || '## ' || lang || chr(10) || chr(10) || CASE WHEN words = '' THEN '' ELSE ' ' || words || ' ' END || 'bold' || chr(10)
+          || chr(10) || 'one & two' || chr(10) || chr(10) || source || chr(10) || chr(10) || '#### ' || doc_id || chr(10) || 'end' AS rest FROM w)""",
+)
+def _(spark, d):
+    # A page around each document, with every kind of mark.
+    page = F.concat(
+        F.lit("<html><head><style>b {}</style></head><body><h2 class='x'>"), F.col("lang"), F.lit("</h2><p> "), F.translate("text", "&<>", ""), F.lit(" <b>bold</b></p><ul><li>one &amp; two</li><li>"),
+        F.col("source"), F.lit("</li></ul><h4>"), F.col("doc_id").cast("string"), F.lit("</h4><br>end</body></html>"),
+    )
+    pages = table(spark, d, "documents").select("doc_id", page.alias("page"))
+    return pages.select("doc_id", F.md5(RD.html_to_markdown("page")).alias("markdown"), F.md5(RD.html_to_markdown_prose("page")).alias("prose"))
+
+
 @query("page_headings", "S4 C1 C7")
 def _(spark, d):
     books = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("book_id"), F.col("url").alias("filename"), RD.html_to_markdown_prose(F.col("html")).alias("text"))
