@@ -1,9 +1,13 @@
 import json
 import os
+import pathlib
 import random
+import subprocess
+import sys
 import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import stand_ins
@@ -253,3 +257,12 @@ def test_library_stream(spark, tmp_path):
     assert key(read("fragments")) == key(want) and 99 not in JB.delivered(spark, out)
     assert JB.deliver(files.where("path like '%c.md'").withColumn("content_hash", L("h")), 99, out)
     assert len(read("books").collect()) == 4
+
+
+def test_processor_travels_without_the_package(tmp_path):
+    """The worker that reads a state schema beside the driver knows no shipped files."""
+    packed = cloudpickle.dumps(JB.RunStateProcessor(1))
+    code = "import sys, pickle; print(type(pickle.load(sys.stdin.buffer)).__name__)"
+    spark_home = pathlib.Path(cloudpickle.__file__).parents[2]
+    got = subprocess.run([sys.executable, "-c", code], input=packed, cwd=tmp_path, env={"PYTHONPATH": str(spark_home)}, capture_output=True, check=False)
+    assert got.stdout.decode().strip() == "RunStateProcessor", got.stderr.decode()
