@@ -233,3 +233,20 @@ def test_toxicity_never_reads_the_language(docs_of):
     model = toxicity.train(docs_of(data, schema), docs_of(labels, "doc_id bigint, toxic int"))
     score = lambda rows_: sorted((r.doc_id, r.score) for r in toxicity.score(docs_of(rows_, schema), model).collect())
     assert score(data) == score([(i, t, "xx") for i, t, _ in data])
+
+
+def test_toxicity_is_fitted_on_every_labelled_row(docs_of, monkeypatch):
+    long = "w1 w2 w3 " * 22_000  # 66,000 words
+    data = [(i, long + "foul" if i % 2 else "w1 w2 w3 nice") for i in range(24)]
+    model = toxicity.train(docs_of(data), docs_of([(i, i % 2) for i, _ in data], "doc_id bigint, toxic int"))
+    assert not model.empty
+    # Dealt to many copies of the model: every text is counted, and twice the same model comes out.
+    data, labels = toxic_rows()
+    docs, marks = docs_of(data, "doc_id bigint, text string, lang string"), docs_of(labels, "doc_id bigint, toxic int")
+    counted = toxicity._bucket_counts(docs_of([(False, "a b a"), (True, "a"), (True, "a c"), (True, None)], "toxic boolean, text string"))
+    assert sorted(counted[0][counted[0] > 0]) == sorted(counted[1][counted[1] > 0]) == [1, 1, 1, 2]
+    monkeypatch.setattr(toxicity, "PER_COPY", 100)
+    model, again = toxicity.train(docs, marks), toxicity.train(docs.repartition(5), marks)
+    assert np.array_equal(model.tables, again.tables) and model.out_bias == again.out_bias
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(t) for i, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]) > 0.95
