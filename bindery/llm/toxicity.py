@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .flat import FOLD, bounds, ragged, span_hashes, text_slices, words
+from .rows import mark_members
 
 #: Labelled rows per copy of the model, while there are fewer copies than this.
 PER_COPY, COPIES = 4096, 64
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
+#: Bits of the map of labelled ids, at most: 8 MiB.
+MARK_BITS = 1 << 26
 #: Texts that hold a bucket, for it to be trained.
 MIN_SUPPORT = 3
 
@@ -315,6 +318,14 @@ def _with_language(docs: DataFrame) -> DataFrame:
     return docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
 
 
+def _perhaps_labelled(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """`docs` without most rows whose id is not among the `n` ids of `known`, so that their texts are not shuffled to find it out."""
+    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        return docs  # hashes of equal ids would differ
+    bits = min(MARK_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    return mark_members(docs, F.col("doc_id"), known, F.col("doc_id"), "_known", bits).where("_known").drop("_known")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_total: int | None = None) -> Model:
     """Fit on every labelled row; fold 0 of five (crc32 of the id) is never used.
 
@@ -327,8 +338,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_total: int | None = None) -
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 0).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    copies = min(COPIES, known.count() // PER_COPY + 1)
-    texts = _with_language(docs).where(fold != 0).select("doc_id", F.struct("lang", "text").alias("r")).join(known, "doc_id")
+    n = known.count()
+    copies = min(COPIES, n // PER_COPY + 1)
+    rest = _with_language(docs).where(fold != 0).select("doc_id", F.struct("lang", "text").alias("r"))
+    texts = _perhaps_labelled(rest, known, n).join(known, "doc_id")
     one = texts.groupBy("doc_id", "toxic").agg(F.max_by("r", F.struct(F.xxhash64("r.text"), "r.text", "r.lang")).alias("r"))
     k = F.xxhash64("doc_id")
     rows = one.select(F.pmod(F.xxhash64(k), F.lit(copies)).cast("int").alias("copy"), "toxic", (F.pmod(k, F.lit(5)) == 0).alias("held"), F.col("r.lang").cast("string").alias("lang"), "r.text", k.alias("k"))

@@ -250,3 +250,12 @@ def test_toxicity_is_fitted_on_every_labelled_row(docs_of, monkeypatch):
     assert np.array_equal(model.tables, again.tables) and model.out_bias == again.out_bias
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(t) for i, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]) > 0.95
+
+
+def test_toxicity_moves_few_texts_without_label(docs_of):
+    docs = docs_of([(i, "a") for i in range(5000)], "doc_id bigint, text string")
+    known = docs_of([(i,) for i in range(0, 5000, 10)], "doc_id bigint")
+    left = {r.doc_id for r in toxicity._perhaps_labelled(docs, known, 500).collect()}
+    assert left >= set(range(0, 5000, 10)) and len(left) < 1000
+    # Ids of other types hash to other places, so nothing is dropped.
+    assert toxicity._perhaps_labelled(docs, known.selectExpr("cast(doc_id AS int)"), 500).count() == 5000
