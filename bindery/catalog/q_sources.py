@@ -227,7 +227,7 @@ def _(spark, d):
     second = docs.select(path.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")).alias("body"))
     written = NS.sync(first, root).select("path").unionByName(NS.sync(first, root).select("path")).unionByName(NS.sync(second, root).select("path"))
     times = written.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("written"))
-    return N.read_notes(RD.read_files(spark, root), root).select("path", F.md5("body").alias("digest")).join(times, "path")
+    return NS.with_stored(times, root, "body").where("body IS NOT NULL").select("path", F.md5("body").alias("digest"), "written")
 
 
 @query("notes_unchanged", "S13", "SELECT count(*) AS notes, CAST(0 AS BIGINT) AS changed FROM documents")

@@ -17,17 +17,19 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..session import cut_lineage
-from .notes import read_notes, sync_notes
-from .readers import read_files
+from .notes import merged_notes, sync_parts, user_block
 
 # Spark's readers pass over names that begin like this.
 STAGED, MANIFEST = ".staged", ".manifest"
+#: Notes that are read at a time.
+READ_ROWS = 256
 COMMITTED, CURRENT = "COMMITTED", "current"
 
 
@@ -50,6 +52,14 @@ def _put(fs: pafs.FileSystem, path: str, content: bytes) -> None:
     fs.move(part, path)
 
 
+def _checked_place(path: str) -> str:
+    """`path`, if a note may lie there."""
+    parts = pathlib.PurePosixPath(path).parts
+    if not parts or parts[0] == "/" or ".." in parts or parts[0] in (STAGED, MANIFEST):
+        raise ValueError(f"no place for a note: {path}")
+    return path
+
+
 @dataclass
 class Staged(WriterCommitMessage):
     listing: str
@@ -66,10 +76,7 @@ class NoteWriter(DataSourceWriter):
         fs.create_dir(f"{base}/{folder}", recursive=True)
         with fs.open_output_stream(f"{base}/{folder}/list.json") as listing:
             for row in iterator:
-                parts = pathlib.PurePosixPath(row["path"]).parts
-                if not parts or parts[0] == "/" or ".." in parts or parts[0] in (STAGED, MANIFEST):
-                    raise ValueError(f"no place for a note: {row['path']}")
-                name = f"{folder}/{hashlib.sha256(row['path'].encode()).hexdigest()}"
+                name = f"{folder}/{hashlib.sha256(_checked_place(row['path']).encode()).hexdigest()}"
                 with fs.open_output_stream(f"{base}/{name}") as note:
                     note.write(row["body"].encode())
                 listing.write(json.dumps({"staged": name, "path": row["path"]}).encode() + b"\n")
@@ -115,10 +122,13 @@ def publish(spark: SparkSession, root: str) -> list[str]:
 
     def move(rows: Iterable[Row]) -> None:
         fs, base = open_folder(root)
+        folder = None
         for row in rows:
             staged, target = f"{base}/{row['staged']}", f"{base}/{row['path']}"
             if _exists(fs, staged):  # else an earlier attempt has moved it
-                fs.create_dir(posixpath.dirname(target), recursive=True)
+                if folder != posixpath.dirname(target):
+                    folder = posixpath.dirname(target)
+                    fs.create_dir(folder, recursive=True)
                 fs.move(staged, target)
 
     for job in sorted(jobs):
@@ -132,6 +142,34 @@ def publish(spark: SparkSession, root: str) -> list[str]:
     return sorted(jobs)
 
 
+def with_stored(df: DataFrame, root: str, name: str) -> DataFrame:
+    """`df` and, as text in the column `name`, the note that lies at its `path`; null where there is none.
+
+    Tasks open the places that their rows name. The folder is not listed, so
+    neither the driver nor a split per few files stands between rows and notes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_folder(root)
+
+        def stored(path: str) -> bytes | None:
+            try:
+                with fs.open_input_stream(f"{base}/{_checked_place(path)}") as f:
+                    return f.read()
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            at = batch.schema.get_field_index("path")
+            for lo in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(lo, READ_ROWS)
+                found = pa.array([stored(p) for p in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
+    return df.mapInArrow(run, schema).withColumn(name, F.col(name).cast("string"))
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path, digest) of the notes as the last finished sync left them."""
     fs, base = open_folder(root)
@@ -151,8 +189,12 @@ def sync(new: DataFrame, root: str) -> DataFrame:
     fs, base = open_folder(root)
     fs.create_dir(base, recursive=True)
     publish(spark, root)
-    changed, after = sync_notes(new, read_notes(read_files(spark, root), root), read_manifest(spark, root))
-    changed, job = cut_lineage(changed), uuid.uuid4().hex
+    known = read_manifest(spark, root)
+    met = with_stored(new.select("path", "body"), root, "_stored")
+    met = met.select("path", "body", user_block(F.col("_stored")).alias("_user"), F.when(F.col("_stored").isNotNull(), F.lit(True)).alias("_there"))
+    # Notes are read once: what is to be written and the new manifest come from one table.
+    changed, after = sync_parts(cut_lineage(merged_notes(met, known)), known)
+    job = uuid.uuid4().hex
     after.write.parquet(f"{root.rstrip('/')}/{MANIFEST}/{job}")
     stage(changed, root, job)
     publish(spark, root)

@@ -263,15 +263,23 @@ def sync_notes(new: DataFrame, existing: DataFrame, manifest: DataFrame) -> tupl
     notes only that part is shuffled. Unchanged ones go no further.
     """
     old = existing.select("path", user_block(F.col("body")).alias("_user"), F.lit(True).alias("_there"))
+    return sync_parts(merged_notes(new.join(old, "path", "left"), manifest), manifest)
+
+
+def merged_notes(met: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, digest, body, changed) of met(path, body, _user, _there); the body of an unchanged note is null."""
     known = manifest.select("path", F.col("digest").alias("_known"))
-    merged = new.join(old, "path", "left").join(known, "path", "left")
-    ready = merged.select(
+    ready = met.join(known, "path", "left").select(
         "path", _note(F.col("_user"), F.col("body")).alias("body"), F.col("_there").isNull().alias("_gone"), "_known"
     ).withColumn("digest", F.sha2("body", 256))
     same = F.col("digest").eqNullSafe(F.col("_known")) & ~F.col("_gone")
-    changed = ready.filter(~same).select("path", "body", "digest")
-    untouched = known.join(ready.select("path"), "path", "left_anti").select("path", F.col("_known").alias("digest"))
-    return changed, untouched.unionByName(ready.select("path", "digest"))
+    return ready.select("path", "digest", F.when(~same, F.col("body")).alias("body"), (~same).alias("changed"))
+
+
+def sync_parts(ready: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed notes to write, new manifest) of `merged_notes`."""
+    untouched = manifest.select("path", "digest").join(ready.select("path"), "path", "left_anti")
+    return ready.where("changed").select("path", "body", "digest"), untouched.unionByName(ready.select("path", "digest"))
 
 
 def read_notes(df_files: DataFrame, root: str) -> DataFrame:

@@ -77,6 +77,21 @@ def test_sync_writes_once(spark, tmp_path):
     assert not any((vault / NS.STAGED).iterdir())
 
 
+def test_sync_reads_the_places_of_its_notes(spark, tmp_path):
+    root = str(tmp_path / "vault")
+    rows = [("_drafts/1.md", "一"), (".own/b c%20d.md", "二"), ("c.md", "三")]
+    new = spark.createDataFrame(rows, "path string, body string")
+    assert NS.sync(new, root).count() == 3
+    # Nothing lists the folder, so names that Spark's readers pass over count as well, and other files are not read.
+    draft = tmp_path / "vault" / "_drafts" / "1.md"
+    draft.write_text(draft.read_text().replace(f"{N.USER_BEGIN}\n\n", f"{N.USER_BEGIN}\n手写\n"))
+    assert {r["path"] for r in NS.sync(new, root).collect()} == {"_drafts/1.md"} and "手写" in draft.read_text()
+    assert NS.sync(new, root).count() == 0
+    asked = spark.createDataFrame([*[(p, 1) for p, _ in rows], ("gone.md", 2)], "path string, n int")
+    got = {r["path"]: r for r in NS.with_stored(asked, root, "body").collect()}
+    assert got["gone.md"]["body"] is None and got["gone.md"]["n"] == 2 and "二" in got[".own/b c%20d.md"]["body"]
+
+
 def test_failed_and_interrupted_syncs(spark, tmp_path):
     root = tmp_path / "vault"
     first = spark.createDataFrame([(f"{i}.md", f"t{i}") for i in range(12)], "path string, body string")
