@@ -161,3 +161,17 @@ def test_one_bad_element_hides_no_other(spark):
 def test_broken_subtopic_rejects(spark):
     r = run(spark, {"chapter_title": "章", "chapter_theme": "题", "subtopics": [{"title": "a"}, "oops"]}, ["no object"])
     assert {x["rejected_reason"] for x in r.collect()} == {"第 2 个子主题结构无效", "模型输出必须是 JSON 对象"}
+
+
+def test_indexes_are_trimmed_once_and_issues_made_where_wanted(one):
+    places = F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(1)).cast("map<string,bigint>")
+    given = lambda *xs: F.array(*[F.lit(x).cast("string") for x in xs])
+    checked = lambda *xs: one(A.check_indexes(given(*xs), F.lit("x"), places))
+    assert str(A.check_indexes(F.col("raw"), F.lit("x"), F.col("p"))).count("trim(") == 1
+    assert checked(" a", "b ", "a").indexes == ["b", "a"] and checked(" a").indexes == ["a"] and checked("a").error is None
+    assert checked().error.endswith("至少一个 source_content_indexes") and checked().indexes == []
+    assert checked("a", None).error.endswith("无效") and checked(None).indexes == [None] and checked("a", " c").error.endswith("：c")
+    text = lambda t: F.struct(F.lit(t).alias("text"), given("a").alias("source_content_indexes"))
+    good, bad = (one(A._checked_text(text(t), "f", "l", "k", "s", places)) for t in ("t ", " "))
+    assert good.ok and good.item.text == "t" and good.issue is None
+    assert not bad.ok and bad.item is None and bad.issue.error == "f 不能为空"
