@@ -289,7 +289,8 @@ def _entry_sql(kind: str, label: str, body: str, ix: str) -> str:
         SELECT l_orderkey AS analysis_id, string_agg(t, {_NL} ORDER BY g, i, j) AS compact_markdown FROM blocks GROUP BY 1""",
 )
 def _(spark, d):
-    v = cut_lineage(validated(spark, d).filter(F.col("rejected_reason").isNull()))
+    accepted = validated(spark, d).filter(F.col("rejected_reason").isNull())
+    v = cut_lineage(accepted.select("analysis_id", "book_id", "root_section_id", "homes", "valid"))
     return A.render_compact(v, A.derive_cards(v)).select("analysis_id", "compact_markdown")
 
 
