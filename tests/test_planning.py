@@ -127,3 +127,22 @@ def test_album_snapshot_switches_last(spark, tmp_path):
     assert P.read_album(spark, root)[0].first()[0] == "e1"
     P.replace_album(two, two, root, "0003")
     assert P.read_album(spark, root)[0].first()[0] == "e2"
+
+
+def test_outline_lines_and_repeats(spark):
+    md = "  ## 第1集：甲\n　核心主题：旧\n听众钩子：a  \n \t\n　b\nc 核心主题：d\n\n**核心主题**\n：新\n核心要点：x\n内容类型：*解读*\n来源章节：CHAPTER_002 my_content_ab\n##\n第二行"
+    r = outlines(spark, md, suggested=1)
+    assert r["error"] is None and r["episodes"][0]["title"] == "甲"
+    assert r["episodes"][0]["main_points"] == "听众钩子：a\nb\nc 核心主题：d\n核心主题：新\n核心要点：\nx"
+    assert outlines(spark, md.replace("my_", "my "), suggested=1)["error"] == "MODULE_001 第 1 集不得包含知识资产 ID或段落原文索引"
+    long = "## 第1集：甲\n" + "".join(f"{n}：" + "行\n" * 20_000 for n in P.REQUIRED_FIELDS)
+    assert outlines(spark, long.replace("内容类型：", "内容类型：解读\n模块标识：", 1), suggested=1)["error"] == "MODULE_001 第 1 集缺少来源章节"
+
+
+def test_recovery_parses_once(spark):
+    m = spark.createDataFrame([("r", f"M{k}", k, ["CHAPTER_001", "CHAPTER_002"], ["CHAPTER_001", "CHAPTER_002"], 2) for k in (1, 2)], "run_id string, module_key string, position bigint, chapter_keys array<string>, catalog_keys array<string>, suggested int")
+    o = spark.createDataFrame([("r", "M1", ""), ("r", "M2", OUTLINE)], "run_id string, module_key string, content string")
+    r = P.recover_structure(m, o)
+    # The stored parse is read; no plan of the result cuts a text again.
+    assert "regexp_extract" not in r._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["module_key"], x["position"] or 0) for x in r.collect()) == [("M1", 0), ("M2", 1), ("M2", 2)]
