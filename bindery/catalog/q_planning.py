@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..ordered import running
 from ..plans import planning as P
-from ..rows import unnest
+from ..rows import computed_once, unnest
 from . import views as V
 from .registry import query, table
 
@@ -147,7 +147,8 @@ def composed_plan(spark, d) -> DataFrame:
         FROM mods m JOIN bad USING (project_id)""",
 )
 def _(spark, d):
-    r = composed_plan(spark, d).withColumn("p", P.parse_module_plan(F.col("markdown"), F.col("allowed")))
+    # Two columns are taken from the parsed plan: it is parsed once.
+    r = computed_once(composed_plan(spark, d), p=P.parse_module_plan(F.col("markdown"), F.col("allowed")))
     return unnest(r, ["project_id", F.col("p.error").alias("error")], "p.modules", "m").select(
         "project_id", F.col("m.position").cast("bigint").alias("position"), "m.module_key", "m.title", "m.listener_question",
         F.array_join("m.chapter_keys", ",").alias("chapter_keys"), F.col("m.suggested").cast("bigint").alias("suggested"), "error",
@@ -282,7 +283,7 @@ def _(spark, d):
         F.lit("CHAPTER_002"), entry(F.concat(F.lit("B"), "l_linestatus"), F.lit("s2")),
     )
     s = P.validate_structured(F.array(a, b), catalog, F.create_map(F.lit("M1"), allowed), n == 4)
-    r = table(spark, d, "lineitem").withColumn("s", s)
+    r = computed_once(table(spark, d, "lineitem"), s=s).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s")
     shown = F.transform("s.episodes", lambda e: F.concat_ws("=", e["title"], F.array_join(e["chapter_keys"], ","), e["section_identifier"], F.array_join(e["source_section_ids"], ",")))
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.error", F.array_join(shown, ";").alias("episodes"))
 

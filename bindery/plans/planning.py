@@ -119,15 +119,20 @@ def parse_module_plan(markdown: Column, allowed: Column) -> Column:
     blocks = F.filter(F.split(X.strip(markdown), r"(?mUd)(?=^##\s+)"), lambda b: X.strip(b) != "")
 
     def module(b: Column) -> Column:
-        title = X.nonblank(F.regexp_extract(b, MODULE_HEADING, 1))
-        count = F.regexp_extract(b, MODULE_COUNT, 1)
-        return F.struct(
-            title.alias("title"),
-            F.coalesce(X.nonblank(F.regexp_extract(b, MODULE_QUESTION, 1)), title).alias("listener_question"),
-            chapter_keys_in(b).alias("chapter_keys"),
-            F.greatest(
-                F.lit(1), F.least(F.lit(MAX_EPISODES), F.coalesce(F.nullif(count, F.lit("")).cast("int"), F.lit(DEFAULT_EPISODES)))
-            ).alias("suggested"),
+        read = F.struct(
+            X.nonblank(F.regexp_extract(b, MODULE_HEADING, 1)).alias("title"), X.nonblank(F.regexp_extract(b, MODULE_QUESTION, 1)).alias("question"),
+            chapter_keys_in(b).alias("keys"), F.regexp_extract(b, MODULE_COUNT, 1).alias("count"),
+        )
+        return X.let(
+            read,
+            lambda m: F.struct(
+                m["title"].alias("title"),
+                F.coalesce(m["question"], m["title"]).alias("listener_question"),
+                m["keys"].alias("chapter_keys"),
+                F.greatest(
+                    F.lit(1), F.least(F.lit(MAX_EPISODES), F.coalesce(F.nullif(m["count"], F.lit("")).cast("int"), F.lit(DEFAULT_EPISODES)))
+                ).alias("suggested"),
+            ),
         )
 
     found = F.filter(F.transform(blocks, module), lambda m: m["title"].isNotNull() & (F.size(m["chapter_keys"]) > 0))
@@ -432,53 +437,62 @@ def validate_structured(raw: Column, catalog: Column, modules: Column, narrative
     modules: map<module_key, array<chapter_key>> (null for none). Episodes
     name the sections of their chapters, and show them with key and title.
     """
-    allowed = F.map_keys(catalog)
-
     def keys_of(e: Column) -> Column:
         cleaned = F.transform(e["chapter_keys"], lambda k: F.btrim(X.strip(k), F.lit("[]")))
         return F.array_distinct(F.filter(cleaned, lambda k: k != ""))
 
+    def read(e: Column) -> Column:
+        """What the checks and the result share, found once; the map of modules is built once, here."""
+        module = X.strip(F.coalesce(e["module_key"], F.lit("")))
+        return F.struct(
+            e.isNull().alias("absent"), X.strip(e["title"]).alias("title"), X.strip(e["main_points"]).alias("points"), X.strip(e["content_type"]).alias("type"),
+            X.normalize_content_type(e["content_type"]).alias("kind"), F.coalesce(F.size(e["chapter_keys"]), F.lit(0)).alias("n"), keys_of(e).alias("keys"), module.alias("module"),
+            F.try_element_at(modules, module).alias("own"),
+        )
+
     def blank(c: Column) -> Column:
-        return X.strip(F.coalesce(c, F.lit(""))) == ""
+        return F.coalesce(c, F.lit("")) == ""
 
-    def problem(e: Column, k: Column) -> Column:
+    def problem(e: Column, k: Column, allowed: Column, given: Column) -> Column:
         where = F.format_string("专辑第 %d 条", k + 1)
-        kind = X.normalize_content_type(e["content_type"])
-        unknown = F.array_except(keys_of(e), allowed)
-        own = F.try_element_at(modules, X.strip(F.coalesce(e["module_key"], F.lit(""))))
-        outside = F.array_sort(F.array_except(keys_of(e), own))
-        lacking = F.get(F.filter(F.array(*[F.lit(m) for m in MARKERS]), lambda m: ~F.contains(e["main_points"], m)), F.lit(0))
-        incomplete = (
-            blank(e["title"]) | blank(e["main_points"]) | blank(e["content_type"]) | (F.coalesce(F.size(e["chapter_keys"]), F.lit(0)) < 1)
-        )
+        unknown = F.array_except(e["keys"], allowed)
+        outside = F.array_sort(F.array_except(e["keys"], e["own"]))
+        # The markers hold no space, so the trimmed text has them where the text has.
+        lacking = F.coalesce(*[F.when(~F.contains(e["points"], F.lit(m)), F.lit(m)) for m in MARKERS])
+        incomplete = blank(e["title"]) | blank(e["points"]) | blank(e["type"]) | (e["n"] < 1)
         return (
-            F.when(e.isNull(), _cat(where, "结构无效"))
+            F.when(e["absent"], _cat(where, "结构无效"))
             .when(incomplete, _cat(where, "字段不完整"))
-            .when(kind.isNull(), _cat(where, "未知内容类型：", X.strip(e["content_type"])))
+            .when(e["kind"].isNull(), _cat(where, "未知内容类型：", e["type"]))
             .when(F.size(unknown) > 0, _cat(where, "引用未知章节：", F.array_join(unknown, "、")))
-            .when(narrative & (kind != "解读"), F.lit("叙事类书籍不能生成过渡声音"))
-            .when(modules.isNotNull() & own.isNull(), _cat(where, "缺少有效模块标识"))
-            .when(modules.isNotNull() & (F.size(outside) > 0), _cat(where, "引用了所属模块之外的章节：", F.array_join(outside, "、")))
+            .when(narrative & (e["kind"] != "解读"), F.lit("叙事类书籍不能生成过渡声音"))
+            .when(given & e["own"].isNull(), _cat(where, "缺少有效模块标识"))
+            .when(given & (F.size(outside) > 0), _cat(where, "引用了所属模块之外的章节：", F.array_join(outside, "、")))
             .when(lacking.isNotNull(), _cat(where, "主要内容缺少“", lacking, "”"))
         )
 
-    first = F.get(F.filter(F.transform(raw, problem), lambda x: x.isNotNull()), F.lit(0))
-    error = F.when(F.coalesce(F.size(raw), F.lit(0)) < 1, F.lit("结构化专辑大纲缺少 album_outline")).otherwise(first)
-    episodes = F.transform(
-        raw,
-        lambda e, k: F.struct(
+    def episode(e: Column, k: Column, shelf: Column) -> Column:
+        return F.struct(
             (k + 1).alias("position"),
-            X.strip(e["title"]).alias("title"),
-            X.normalize_content_type(e["content_type"]).alias("content_type"),
+            e["title"].alias("title"),
+            e["kind"].alias("content_type"),
             F.lit("观点").alias("style"),
-            X.strip(e["main_points"]).alias("content_framework"),
-            F.array_join(F.transform(keys_of(e), lambda c: F.concat(F.lit("["), c, F.lit("] "), F.try_element_at(catalog, c)["title"])), "、").alias("section_identifier"),
-            X.strip(F.coalesce(e["module_key"], F.lit(""))).alias("module_key"),
-            keys_of(e).alias("chapter_keys"),
-            F.transform(keys_of(e), lambda c: F.try_element_at(catalog, c)["section_id"]).alias("source_section_ids"),
-        ),
-    )
-    return F.struct(F.when(error.isNull(), episodes).alias("episodes"), error.alias("error"))
+            e["points"].alias("content_framework"),
+            F.array_join(F.transform(e["keys"], lambda c: F.concat(F.lit("["), c, F.lit("] "), F.try_element_at(shelf, c)["title"])), "、").alias("section_identifier"),
+            e["module"].alias("module_key"),
+            e["keys"].alias("chapter_keys"),
+            F.transform(e["keys"], lambda c: F.try_element_at(shelf, c)["section_id"]).alias("source_section_ids"),
+        )
+
+    def judged(s: Column) -> Column:
+        problems = F.transform(s["eps"], lambda e, k: problem(e, k, s["allowed"], s["given"]))
+        first = F.get(F.filter(problems, lambda x: x.isNotNull()), F.lit(0))
+        return F.struct(s["eps"].alias("eps"), F.when(F.coalesce(F.size(s["eps"]), F.lit(0)) < 1, F.lit("结构化专辑大纲缺少 album_outline")).otherwise(first).alias("error"))
+
+    # The catalog is looked up for the albums that pass, and built for those alone.
+    shared = F.struct(F.transform(raw, read).alias("eps"), F.map_keys(catalog).alias("allowed"), modules.isNotNull().alias("given"))
+    shown = lambda j: X.let(F.struct(catalog.alias("c")), lambda s: F.transform(j["eps"], lambda e, k: episode(e, k, s["c"])))
+    return X.let(shared, lambda s: X.let(judged(s), lambda j: F.struct(F.when(j["error"].isNull(), shown(j)).alias("episodes"), j["error"].alias("error"))))
 
 
 def total_error(actual: Column, expected: Column, low: Column, high: Column) -> Column:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from bindery.plans import planning as P
@@ -146,3 +147,25 @@ def test_recovery_parses_once(spark):
     # The stored parse is read; no plan of the result cuts a text again.
     assert "regexp_extract" not in r._jdf.queryExecution().executedPlan().toString()
     assert sorted((x["module_key"], x["position"] or 0) for x in r.collect()) == [("M1", 0), ("M2", 1), ("M2", 2)]
+
+
+@pytest.mark.parametrize("name, mark", [("structured_checked", "字段不完整"), ("module_plans_parsed", "模块计划遗漏章节")])
+def test_parsed_columns_are_computed_once(spark, name, mark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(mark) == 1
+
+
+def test_structured_album(spark):
+    ep = "struct<title:string,main_points:string,content_type:string,chapter_keys:array<string>,module_key:string>"
+    good = ("甲 ", "听众钩子：a\n核心主题：b\n核心要点：c ", "解读类", ["[CHAPTER_001]", " CHAPTER_001"], " M1")
+    rows = [(1, [good], True), (2, [good, None], True), (3, [], True), (4, None, True), (5, [good[:4] + ("M2",)], True), (6, [good[:4] + ("M2",)], False)]
+    df = spark.createDataFrame(rows, f"id int, raw array<{ep}>, given boolean")
+    catalog = F.create_map(L("CHAPTER_001"), F.struct(L("章").alias("title"), L("s1").alias("section_id")))
+    modules = F.when(F.col("given"), F.create_map(L("M1"), F.array(L("CHAPTER_001"))))
+    got = {r["id"]: r["s"] for r in df.select("id", P.validate_structured(F.col("raw"), catalog, modules, L(False)).alias("s")).collect()}
+    assert [got[k]["error"] for k in range(1, 7)] == [None, "专辑第 2 条结构无效", *["结构化专辑大纲缺少 album_outline"] * 2, "专辑第 1 条缺少有效模块标识", None]
+    e = got[1]["episodes"][0]
+    assert (e["title"], e["content_framework"], e["section_identifier"], e["module_key"], e["chapter_keys"], e["source_section_ids"]) == ("甲", good[1].strip(), "[CHAPTER_001] 章", "M1", ["CHAPTER_001"], ["s1"])
+    assert got[2]["episodes"] is None
