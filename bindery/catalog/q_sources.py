@@ -265,7 +265,7 @@ def _(spark, d):
     before = {k: spark.conf.get(k, None) for k in (provider, parts)}
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # A state store and a Python worker per partition and micro-batch: as many as there are cores.
-    spark.conf.set(parts, str(min(int(before[parts]), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(parts, str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism)))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id:09d}")

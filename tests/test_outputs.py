@@ -11,6 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import stand_ins
 from bindery.catalog.q_prompts import shortened
 from bindery.operators import fragments as FR, structure as ST, versions as W
@@ -247,6 +248,17 @@ def test_streams_equal_batch(spark, tmp_path):
     assert {k for k, r in want.items() if r["status"] in ("pending", "running")} <= silent
 
 
+def test_run_status_streamed_in_a_session_that_sets_no_partitions(spark):
+    parts = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts)
+    spark.conf.unset(parts)
+    try:
+        assert entry.queries()["run_status_streamed"](spark, "/root/testdata/sf0.001").count() == 15
+        assert spark.conf.get(parts, None) is None  # left as it was
+    finally:
+        spark.conf.set(parts, before)
+
+
 def test_library_stream(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()
