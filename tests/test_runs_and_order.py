@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindery.operators import evidence as E, fragments as FR, run_fold, runs as R, sets as S, versions as W
 from bindery.ordered import assemble, position_block, running
+from bindery.plans import prompts as P
 
 EVENT = "run_id string, ts timestamp, seq bigint, status string"
 
@@ -246,3 +247,15 @@ def test_fragments_of_a_bundle_are_shuffled_once(spark):
     assert [x.split("]")[0] for x in text.split("## 辅助上下文 [")[1:]] == ["f1", "f5", "f7"]
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(episode_id#\d+, content_index#", plan)
+
+
+def test_contexts_of_several_stages_join_evidence_once(spark):
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    episodes = frame([("e", "题", " 框架 ", "书", "", True, 300, 500, "模块"), ("f", "题", " ", "书", "作者", False, 300, 500, None)], "episode_id string, title string, content_framework string, book_title string, book_author string, narrative boolean, words_min int, words_max int, module_analysis string")
+    evidence = frame([("e", "证据", None), ("f", None, "因由")], "episode_id string, evidence string, error string")
+    previous, people = frame([("f", "上集")], "episode_id string, previous_final string"), frame([("e", "甲与乙")], "episode_id string, relations string")
+    stages = {"outline": frame([], "episode_id string, content string"), "draft": frame([("e", "细纲")], "episode_id string, content string"), "final": frame([("f", "初稿")], "episode_id string, content string")}
+    both = P.episode_contexts(episodes, stages, evidence, previous, people)
+    got = sorted(map(str, both.collect()))
+    assert got == sorted(str(r) for k, v in stages.items() for r in P.episode_context(episodes, k, evidence, previous, v, people).collect()) and len(got) == 6
+    assert {(r["episode_id"], r["stage"]): r["error"] for r in both.collect()}[("e", "final")] == "缺少上一步产物：声音初稿"
