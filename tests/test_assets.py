@@ -175,3 +175,15 @@ def test_indexes_are_trimmed_once_and_issues_made_where_wanted(one):
     good, bad = (one(A._checked_text(text(t), "f", "l", "k", "s", places)) for t in ("t ", " "))
     assert good.ok and good.item.text == "t" and good.issue is None
     assert not bad.ok and bad.item is None and bad.issue.error == "f 不能为空"
+
+
+def test_revalidation_composes_and_validates_once(spark, monkeypatch):
+    """One table of analyses and one of what the second look found."""
+    import __spark_entry__ as entry
+    from bindery.catalog import q_assets
+
+    stored, cut = [], A.cut_lineage
+    monkeypatch.setattr(q_assets, "cut_lineage", lambda df: stored.append("composed") or cut(df))
+    monkeypatch.setattr(A, "cut_lineage", lambda df: stored.append("checked") or cut(df))
+    entry.queries()["analyses_revalidated"](spark, "/root/testdata/sf0.001")
+    assert stored == ["composed", "checked"]
